@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from .plans import phrases
+
+MODULES = (phrases,)
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        clash = out.keys() & m.QUERIES.keys()
+        if clash:
+            raise ValueError(f"registered twice: {clash}")
+        out |= m.QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
