@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import phrases
+from .plans import features, phrases
 
-MODULES = (phrases,)
+MODULES = (phrases, features)
 
 
 def _all() -> dict:
