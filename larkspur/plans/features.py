@@ -110,7 +110,7 @@ def rule_scores(spark, d):
     profile = O.user_features(i).select("user", F.transform(O.preferred(F.col("preferred")), lambda x: x["category"]).alias("cats"), "slots", R.price_tier(F.col("median_price") * 12).alias("avg_tier"))
     rows = i.where(F.col("ts") > F.expr(NOW)).select("ord", "line", "user", "item", "category", "tier", "slot").join(profile, "user")
     parts = {"category_match": F.array_contains("cats", F.col("category")).cast("double"), "price_match": (F.col("avg_tier") == F.col("tier")).cast("double"), "time_match": F.coalesce(F.try_element_at("slots", F.col("slot")), F.lit(0.0))}
-    return rows.select("ord", "line", "user", "item", F.round(R.rule_score(parts), 9).alias("score"))
+    return rows.select("ord", "line", "user", "item", F.round(R.rule_score(parts), 12).alias("score"))
 
 
 def splits(spark, d):
@@ -170,7 +170,7 @@ coalesce(price_mean, 0.5) AS user_price_mean, coalesce((top_region = x.region)::
 FROM x LEFT JOIN items USING (item) LEFT JOIN uc ON uc.user = x.user AND uc.category = x.category LEFT JOIN ur ON ur.user = x.user AND ur.region = x.region LEFT JOIN us ON us.user = x.user, m"""),
     "user_profiles": (user_profiles, f"WITH {SQL_I}, {_PROFILE} SELECT user, array_to_string(cats, '|') AS top3, median_price, (SELECT round(s, 6) FROM ss WHERE ss.user = mp.user AND slot = 'lunch') AS lunch FROM mp JOIN c3 USING (user)"),
     "feedback_30d": (feedback, f"WITH {SQL_I} SELECT user, item, round(avg(weight), 9) AS feedback FROM x WHERE ts <= {NOW} AND ts > {NOW} - INTERVAL 30 DAY GROUP BY user, item"),
-    "rule_scores": (rule_scores, f"WITH {SQL_I}, {_PROFILE} SELECT ord, line, x.user, item, round(list_contains(cats, category)::INT * 0.30::DOUBLE + (CASE WHEN median_price * 12 < 10000 THEN 'LOW' WHEN median_price * 12 < 20000 THEN 'MID' ELSE 'HIGH' END = tier)::INT * 0.15::DOUBLE + coalesce(s, 0.0) * 0.15::DOUBLE, 9) AS score FROM x JOIN c3 USING (user) JOIN mp USING (user) LEFT JOIN ss ON ss.user = x.user AND ss.slot = x.slot WHERE ts > {NOW}"),
+    "rule_scores": (rule_scores, f"WITH {SQL_I}, {_PROFILE} SELECT ord, line, x.user, item, round(list_contains(cats, category)::INT * 0.30::DOUBLE + (CASE WHEN median_price * 12 < 10000 THEN 'LOW' WHEN median_price * 12 < 20000 THEN 'MID' ELSE 'HIGH' END = tier)::INT * 0.15::DOUBLE + coalesce(s, 0.0) * 0.15::DOUBLE, 12) AS score FROM x JOIN c3 USING (user) JOIN mp USING (user) LEFT JOIN ss ON ss.user = x.user AND ss.slot = x.slot WHERE ts > {NOW}"),
     "feature_dist": (feature_dist, f"WITH {SQL_I}, {_SPLIT}, l AS (SELECT split, unnest(['weight','price','label']) AS feature, unnest([weight, price, label::DOUBLE]) AS v FROM s) SELECT split, feature, count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0.0), 6) AS std FROM l GROUP BY split, feature"),
     "feature_top": (feature_top, f"WITH {SQL_I}, {_SPLIT}, l AS (SELECT split, unnest(['weight','label','quarter']) AS feature, unnest([weight, label::DOUBLE, quarter(ts)::DOUBLE]) AS v FROM s), c AS (SELECT split, feature, v, count(*) AS c FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY split, feature ORDER BY c DESC, v) AS r FROM c QUALIFY r <= 5) SELECT split, feature, string_agg(round(v, 4)::VARCHAR || ':' || c::VARCHAR, ',' ORDER BY r) AS top FROM r GROUP BY split, feature"),
     "split_meta": (split_meta, f"WITH {SQL_I}, {_SPLIT} SELECT split, count(DISTINCT user) AS users, count(DISTINCT item) AS items, sum(label)::BIGINT AS positives FROM s GROUP BY split"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import features, phrases
+from .plans import features, ops, phrases, sampling
 
-MODULES = (phrases, features)
+MODULES = (phrases, features, sampling, ops)
 
 
 def _all() -> dict:
