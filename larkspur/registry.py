@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import features, ops, phrases, sampling
+from .plans import datasets, features, ops, phrases, retrieval, sampling
 
-MODULES = (phrases, features, sampling, ops)
+MODULES = (phrases, features, sampling, ops, retrieval, datasets)
 
 
 def _all() -> dict:
