@@ -177,7 +177,7 @@ def stream_goodput(spark, d):
 
 
 def stream_skip(spark, d):
-    s = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_seconds("ts").alias("ts"))
+    s = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts")
     return _run(S.skip_recent(s, 60), "append", spark)
 
 

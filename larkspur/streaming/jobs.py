@@ -73,27 +73,29 @@ def rolling_goodput(sdf: DataFrame, n: int = 100, sla_ms: float = 2000.0) -> Dat
     return sdf.groupBy("key").applyInPandasWithState(step, "key string, requests long, goodput_tps double", "ms array<double>, tokens array<long>, met array<boolean>", "update", GroupStateTimeout.NoTimeout)
 
 
-def skip_recent(sdf: DataFrame, minutes: int = 60) -> DataFrame:
+def skip_recent(sdf: DataFrame, minutes: int = 60, watermark: str = "1 day") -> DataFrame:
     """(key, id, skip): a request is skipped if the last accepted one of its key is younger than the
-    interval; otherwise it is accepted and remembered. Columns: key, id, ts (seconds). The state of a key
-    goes after two intervals of processing time without requests."""
+    interval; otherwise it is accepted and remembered. Columns: key, id, ts. A key's state goes when
+    the watermark has passed two intervals behind its last request."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get[0] if state.exists and not state.hasTimedOut else None
         if state.hasTimedOut:
             state.remove()
             return
+        last = state.get[0] if state.exists else None
         out = []
         for pdf in batches:
             for i, ts in zip(*(pdf.sort_values(["ts", "id"])[c] for c in ("id", "ts"))):
-                skip = last is not None and ts - last < minutes * 60
-                last = last if skip else int(ts)
+                now = int(ts.timestamp())
+                skip = last is not None and now - last < minutes * 60
+                last = last if skip else now
                 out.append((key[0], i, skip))
         state.update((last,))
-        state.setTimeoutDuration(2 * minutes * 60_000)
+        state.setTimeoutTimestamp(max(last * 1000 + 2 * minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "id", "skip"])
 
-    return sdf.groupBy("key").applyInPandasWithState(step, "key string, id long, skip boolean", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = sdf.withWatermark("ts", watermark)
+    return marked.groupBy("key").applyInPandasWithState(step, "key string, id long, skip boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def accumulate_trigger(sdf: DataFrame, n: int = 20) -> DataFrame:
