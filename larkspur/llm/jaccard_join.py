@@ -1,18 +1,20 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-1. A first pass counts shingles into a fixed number of hash buckets. The bucket's magnitude, then the
-   hash, order all shingles, rare ones first; the order is the same for all texts, and only the
-   amount of work depends on it.
+1. A first pass counts, over all texts, the shingles whose hash is so small that they may become keys.
+   Those that several texts share go into Bloom filters by magnitude. The number of filters that have a
+   shingle, then its hash, order all shingles, rare ones first. Any such order is right, as long as it
+   is the same for all texts; only the amount of work depends on it.
 2. A set of n shingles must share one of its first n - ceil(t*n) + 1 with every set that is similar
    by t. These keys, with the sizes within which two sets can be similar (the band), make the tiles.
    Texts with one and the same set are one class first, so groups of copies never meet in a tile.
 3. Within a tile every set is paired with the tile's least set (a star, not all pairs). A parity
    bitmap of 512 bits bounds the symmetric difference from below, so the overlap from above; what
    passes is verified by exact intersection of the sorted shingle arrays.
-4. After the first components, pairs within a tile are tried only between different components, so
-   no link between components is lost and a large group of near copies costs a star.
+4. A set is named by the least head it is linked to. Pairs within a tile are then tried only between
+   different names, in the first tile they share, so no link between components is lost and a large
+   group of near copies costs a star.
 
-Memory: batches of texts, two fixed sketches (4 MB of counts, a Bloom filter of at most 16 MB).
+Memory: batches of texts, and Bloom filters of at most 16 MB each.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bits_of, list_array, lists, log2_bits, longs, merged, mix, over_text, partials, runs, shingles, texts_of, utf8, words, PARTIALS
+from .common import Bits, Scratch, bits_of, list_array, lists, log2_bits, longs, mix, over_text, runs, shingles, texts_of, utf8, words
 from .components import components
 
-BUCKETS = 1 << 20
+#: Texts that share a shingle, for each filter of the order; and a set up to this size is counted whole.
+SHARED, SMALL = (3, 12, 48, 192, 768, 3072), 64
+#: A tile of more sets than this is large.
+FEW = 4
 
 
 def sets_of(column, size: int) -> Iterator[np.ndarray]:
@@ -43,29 +48,29 @@ def sets_of(column, size: int) -> Iterator[np.ndarray]:
             yield shingles(h[at[k] : at[k + 1]], size)
 
 
-def _levels(docs: DataFrame, size: int) -> np.ndarray:
-    """For each bucket the power of two of its count, over the whole corpus."""
+def _levels(docs: DataFrame, size: int, threshold: float, scratch: Scratch) -> list[Bits]:
+    """Filters of the shingles that at least so many texts share, by the numbers in SHARED."""
+    least = np.uint64(min(1.0, 1.5 * (1 - threshold)) * (2**64 - 2**12))
 
-    def count(batches):
-        total = np.zeros(BUCKETS, np.uint32)
+    def small(batches):
         for batch in batches:
-            for s in sets_of(batch.column(0), size):
-                np.add.at(total, (s >> np.uint64(44)).astype(np.int64), 1)
-        yield from partials({0: total})
+            keys = [u if len(u) <= SMALL else u[: np.searchsorted(u, least)] for u in map(np.unique, sets_of(batch.column(0), size))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))], ["key"])
 
-    total = merged(over_text(docs.select("text"), count, PARTIALS), BUCKETS, np.int64).get(0, np.zeros(BUCKETS, np.int64))
-    return np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+    counts = over_text(docs.select("text"), small, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED[0])
+    counts = scratch.put(counts, "counts")
+    sizes = counts.agg(*[F.count(F.when(F.col("n") >= k, 1)).alias(str(k)) for k in SHARED]).first()
+    return [bits_of(counts.where(F.col("n") >= k), "key", log2_bits(sizes[str(k)])) for k in SHARED if sizes[str(k)]]
 
 
 def _share(t: float) -> Fraction:
     return Fraction(str(t))
 
 
-def _sketches(docs: DataFrame, levels, size: int, threshold: float, schema: str):
+def _sketches(docs: DataFrame, filters, size: int, threshold: float, schema: str):
     t = _share(threshold)
 
     def sketch(batches):
-        level = levels.value
         for batch in batches:
             n, k1, k2, bits, keys = [], [], [], [], []
             for s in sets_of(batch.column(1), size):
@@ -77,7 +82,10 @@ def _sketches(docs: DataFrame, levels, size: int, threshold: float, schema: str)
                 parity = (np.bincount(spot, minlength=512) & 1).astype(np.uint8)
                 bits.append(np.packbits(parity).view(np.int64))
                 take = len(u) - ceil(t * len(u)) + 1 if len(u) else 0
-                order = (level[(u >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (u >> np.uint64(7))
+                level = np.zeros(len(u), np.uint64)
+                for f in filters.value:
+                    level += f.has(u)
+                order = (level << np.uint64(57)) | (u >> np.uint64(7))
                 keys.append(np.partition(order, take - 1)[:take] if 0 < take < len(u) else order)
             k1, k2 = np.array(k1, np.uint64).view(np.int64), np.array(k2, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), list_array(bits), list_array(keys)], ["doc_id", "n_shingles", "k1", "k2", "bits", "keys"])
@@ -135,15 +143,16 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     scratch = scratch or Scratch(spark, "jaccard")
     t, sc = _share(threshold), spark.sparkContext
     docs = texts_of(docs)
-    levels = sc.broadcast(_levels(docs, size))
-    found = scratch.put(_sketches(docs, levels, size, threshold, "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>, keys array<long>"), "sets")
+    filters = sc.broadcast(_levels(docs, size, threshold, scratch))
+    found = scratch.put(_sketches(docs, filters, size, threshold, "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>, keys array<long>"), "sets")
 
+    n = found.count()
     # One class for each distinct set; its least doc_id stands for it.
     full = found.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.put(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.put(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", n)
     member = full.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    reps = scratch.put(reps.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n_shingles", "bits", "keys"), "reps")
+    reps = scratch.put(reps.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n_shingles", "bits", "keys"), "reps", n)
 
     tiles = scratch.put(reps.select("doc_id", "n_shingles", F.explode("keys").alias("key")), "tiles")
     heads = tiles.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last")
@@ -152,44 +161,50 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     scratch.drop("tiles")
 
     signature = reps.select("doc_id", "n_shingles", "bits")
+    num, den = t.numerator, t.denominator
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and bit counts allow: with d bits apart, the overlap is at most (na + nb - d) / 2."""
-        one, two = (signature.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("bits").alias("s" + x)) for x in "ab")
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-        most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
-        num, den = t.numerator, t.denominator
-        both = pairs.join(one, "a").join(two, "b")
-        return both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (most * den >= (F.col("na") + F.col("nb") - most) * num)).select("a", "b")
+    def allowed(na: str, nb: str, sa: str, sb: str):
+        """What sizes and bit counts allow: with d bits apart, the overlap is at most (na + nb - d) / 2."""
+        apart = F.bit_count(F.get(sa, F.lit(0)).bitwiseXOR(F.get(sb, F.lit(0))))
+        for k in range(1, 8):
+            apart = apart + F.bit_count(F.get(sa, F.lit(k)).bitwiseXOR(F.get(sb, F.lit(k))))
+        most = F.floor((F.col(na) + F.col(nb) - apart) / 2)
+        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * den >= (F.col(na) + F.col(nb) - most) * num)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        kept = scratch.put(bounded(pairs).distinct(), f"{name}pairs")
-        ids = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
-        ids = scratch.put(ids, f"{name}ids")
-        wanted = sc.broadcast(bits_of(ids.select(F.expr("id").alias("id")).mapInArrow(_mixed, "id long"), "id", log2_bits(ids.count())))
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = scratch.put(ids, f"{name}ids", n)
+        wanted = sc.broadcast(bits_of(ids.mapInArrow(_mixed, "id long"), "id", log2_bits(ids.count())))
         grams = _arrays(docs, wanted, size).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").distinct()
-        return scratch.put(_verify(kept, grams, threshold), f"{name}links")
+        return scratch.put(_verify(pairs, grams, threshold), f"{name}links", n)
 
     stars = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = links(stars, "star")
-    label = scratch.put(components(first, scratch), "label")
+    one, two = (signature.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("bits").alias("s" + x)) for x in "ab")
+    stars = stars.join(one, "a").join(two, "b").where(allowed("na", "nb", "sa", "sb")).select("a", "b")
+    first = links(scratch.put(stars, "starpairs", n), "star")
 
-    # Tiles that still hold several components: one row for each set and tile of them.
-    named = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", "head", F.coalesce("component", "doc_id").alias("c"))
-    named = scratch.put(named, "named")
+    # A set's least linked head names it: sets of one name are connected already.
+    label = scratch.put(first.groupBy(F.col("v").alias("doc_id")).agg(F.min("u").alias("c")), "label", n)
+    named = scratch.put(shared.join(label, "doc_id", "left").select("key", "doc_id", "head", F.coalesce("c", "doc_id").alias("c")), "named")
     scratch.drop("shared")
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_tiles = scratch.put(named.join(scratch.put(mixed, "mixed"), "key", "left_semi"), "open")
-    scratch.drop("named")
-    left = open_tiles.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"), "head")
-    right = open_tiles.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
-    num, den = t.numerator, t.denominator
-    near = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    cross = left.join(right, "key").where((F.col("ca") < F.col("cb")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & near).select("a", "b").distinct()
-    second = links(cross, "cross")
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("key", (F.col("m") > FEW).alias("large"))
+    rows = scratch.put(named.join(scratch.put(mixed, "mixed"), "key"), "open")
+    scratch.drop("named", "mixed")
+    # Each set with its keys of large open tiles; a pair is tried in the first of those that both share
+    # (and in each small tile), and the bound is part of the join, so only pairs that may be similar
+    # come out.
+    keys = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("large"), F.col("key")))).alias("keys"))
+    known = scratch.put(keys.join(signature, "doc_id"), "known", n)
+    rows = rows.join(known, "doc_id").withColumn("keys", F.when(F.col("large"), F.col("keys")))
+    rows = scratch.put(rows, "rows")
+    left = rows.select("key", "large", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"), "head", F.col("bits").alias("sa"), F.col("keys").alias("ka"))
+    right = rows.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("sb"), F.col("keys").alias("kb"))
+    first_shared = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+    cross = left.join(right, (F.col("key") == F.col("key2")) & (F.col("ca") < F.col("cb")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & allowed("na", "nb", "sa", "sb") & (~F.col("large") | first_shared))
+    second = links(scratch.put(cross.select("a", "b").distinct(), "crosspairs", n), "cross")
 
     edges = first.unionByName(second).unionByName(member.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
-    final = scratch.put(components(edges, scratch), "final")
+    final = scratch.put(components(edges, scratch, n), "final", n)
     out = found.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
