@@ -38,8 +38,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         workers_find_package(spark)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Store and reread; `rows`, if known as a bound, keeps small tables from falling into many files."""
         path = f"{self.root}/{name}"
+        df = df if rows is None else df.coalesce(max(12, -(-rows // 250_000)))
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -98,7 +100,7 @@ def merged(rows: DataFrame, size: int, dtype, how: str = "add") -> dict[int, np.
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "kind": [dtype.str], "body": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
     out: dict[int, np.ndarray] = {}
-    for row in rows.repartition("part", "chunk").mapInArrow(fold, PARTIALS).toLocalIterator():
+    for row in rows.repartition("part", "chunk").mapInArrow(fold, PARTIALS).collect():
         array = out.setdefault(row["part"], np.zeros(size, dtype))
         x = np.frombuffer(zlib.decompress(bytes(row["body"])), dtype)
         array[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(x)] = x
