@@ -147,20 +147,24 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     found = scratch.put(_sketches(docs, filters, size, threshold, "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>, keys array<long>"), "sets")
 
     n = found.count()
+    # What is asked of every row later, without signatures and keys, so that those can go early.
+    rows_of = scratch.put(found.select("doc_id", "n_shingles", "k1", "k2"), "who", n)
     # One class for each distinct set; its least doc_id stands for it.
     full = found.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.put(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", n)
-    member = full.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep")
+    member = rows_of.where("n_shingles > 0 and doc_id is not null").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     reps = scratch.put(reps.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n_shingles", "bits", "keys"), "reps", n)
+    scratch.drop("sets")
 
     tiles = scratch.put(reps.select("doc_id", "n_shingles", F.explode("keys").alias("key")), "tiles")
+    signature = scratch.put(reps.select("doc_id", "n_shingles", "bits"), "signature", n)
+    scratch.drop("reps")
     heads = tiles.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last")
     heads = scratch.put(heads.select("key", "head"), "heads")
     shared = scratch.put(tiles.join(heads, "key"), "shared")
     scratch.drop("tiles")
 
-    signature = reps.select("doc_id", "n_shingles", "bits")
     num, den = t.numerator, t.denominator
 
     def allowed(na: str, nb: str, sa: str, sb: str):
@@ -197,6 +201,7 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     known = scratch.put(keys.join(signature, "doc_id"), "known", n)
     rows = rows.join(known, "doc_id").withColumn("keys", F.when(F.col("large"), F.col("keys")))
     rows = scratch.put(rows, "rows")
+    scratch.drop("open", "known")
     left = rows.select("key", "large", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"), "head", F.col("bits").alias("sa"), F.col("keys").alias("ka"))
     right = rows.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("sb"), F.col("keys").alias("kb"))
     first_shared = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
@@ -205,7 +210,7 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
 
     edges = first.unionByName(second).unionByName(member.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     final = scratch.put(components(edges, scratch, n), "final", n)
-    out = found.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = rows_of.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
