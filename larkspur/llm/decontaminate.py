@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks pick some of the tokens of a window and ignore the others, so a window still hits where
-an ignored token was substituted. Windows of the test items give an index (hash, item, place). The
+Masks pick some of the tokens of a window and ignore the others, so a window still hits where an
+ignored token was substituted. The masks of a length are chosen so that every placement of the
+substitutions that the check allows is hit by one of them (see masks). Windows of the test items give an index (hash, item, place). The
 training texts are scanned once; a Bloom filter of fixed size keeps the windows that may be in the
 index, and a Spark join on the hash decides. Around the hits of one item on one diagonal, tokens are
 compared place by place: a text counts as contaminated where, of `window` consecutive tokens, a share
@@ -9,10 +10,16 @@ of `threshold` is the same.
 
 Tokens are runs of ASCII letters, digits and non-ASCII characters in lower case (ASCII and Latin-1),
 so punctuation and line breaks don't hide a copy.
+
+Items shorter than `window` are compared whole, by the same share: up to 4 tokens that means exact
+copies. Items of one or two tokens stand in nearly every text, so they count only where they are the
+whole text.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -22,10 +29,50 @@ from pyspark.sql import functions as F
 
 from .common import Bits, Scratch, bits_of, list_array, lists, log2_bits, longs, mix, over_text, runs, utf8, words
 
-MASKS = ("111101111", "1101011011", "1110110111", "11011011011")
-#: Items below this many tokens are too common to be sought.
-LEAST = 5
-SHORTEST = min(map(len, MASKS))
+#: Items below this many tokens are sought only as whole texts.
+WHOLE = 3
+#: Most masks of one length; more of them would be heavier and hit less by chance.
+MOST = 5
+#: Longest window whose placements are enumerated.
+ENUMERATED = 16
+
+
+@lru_cache(None)
+def masks(length: int, wrong: int) -> tuple[str, ...]:
+    """Masks of which at least one, somewhere inside a window of `length` tokens, avoids any `wrong` places.
+
+    The heaviest weight that a greedy cover reaches with MOST masks is taken. Longer windows get the
+    run of equal tokens that any `wrong` places must leave."""
+    if wrong == 0 or length > ENUMERATED:
+        return ("1" * (length // (wrong + 1)),)
+    places = np.array([sum(1 << k for k in c) for c in combinations(range(length), wrong)], np.int64)
+    for weight in range(length - wrong, 0, -1):
+        shapes = [x for x in range(1, 1 << length, 2) if x.bit_count() == weight]
+        hit = np.zeros((len(shapes), len(places)), bool)
+        for k, x in enumerate(shapes):
+            for shift in range(length - x.bit_length() + 1):
+                hit[k] |= places & (x << shift) == 0
+        out, left = [], np.ones(len(places), bool)
+        while left.any() and len(out) < MOST:
+            best = int((hit & left).sum(1).argmax())
+            out.append(f"{shapes[best]:b}"[::-1])
+            left &= ~hit[best]
+        if not left.any():
+            return tuple(out)
+    raise ValueError(f"no masks for {wrong} of {length} places")
+
+
+def _needed(length: int, threshold: float) -> int:
+    """Equal tokens that a window of this length must have."""
+    return max(1, ceil(threshold * length - 1e-9))
+
+
+def seeds_of(tokens: int, window: int = 13, threshold: float = 0.8) -> tuple[tuple[str, bool], ...]:
+    """(mask, whether only whole texts count) under which an item of so many tokens is indexed."""
+    if tokens < WHOLE:
+        return (("1" * tokens, True),)
+    w = min(window, tokens)
+    return tuple((m, False) for m in masks(w, w - _needed(w, threshold)))
 
 
 def _tokens(column):
@@ -48,19 +95,17 @@ def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def _salt(mask: str) -> int:
-    return int(mask, 2) * 64 + len(mask)
-
+def _salt(mask: str, whole: bool) -> int:
+    return (int(mask, 2) * 128 + 2 * len(mask) + whole) & 0xFFFFFFFFFFFFFFFF
 
-def index(benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(item_id, tokens) and (hash, item_id, place) of the test items with LEAST tokens or more.
 
-    Items shorter than every mask are indexed whole."""
+def index(benchmark: DataFrame, scratch: Scratch, window: int, threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(item_id, tokens) and (hash, item_id, place) of the test items with `least` tokens or more."""
 
     def tokenize(batches):
         for batch in batches:
             parts = [h[at[k] : at[k + 1]] for i, j, h, at in _tokens(batch.column(1)) for k in range(j - i)]
-            keep = [k for k, p in enumerate(parts) if len(p) >= LEAST]
+            keep = [k for k, p in enumerate(parts) if len(p) >= max(1, least)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), list_array([parts[k] for k in keep])], ["item_id", "tokens"])
 
     def seed(batches):
@@ -70,8 +115,8 @@ def index(benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
             who, place, key = [], [], []
             for k in range(batch.num_rows):
                 h = values[offsets[k] : offsets[k + 1]].view(np.uint64)
-                for mask in MASKS if len(h) >= SHORTEST else ("1" * len(h),):
-                    s = _seeds(h, mask, _salt(mask))
+                for mask, whole in seeds_of(len(h), window, threshold):
+                    s = _seeds(h, mask, _salt(mask, whole))
                     key.append(s)
                     place.append(np.arange(len(s)))
                     who.append(np.full(len(s), k))
@@ -83,31 +128,31 @@ def index(benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     return items, scratch.put(over_text(items, seed, "hash long, item_id long, place long"), "index")
 
 
-def _segments(docs: DataFrame, bits, short: list[int], window: int) -> DataFrame:
+def _segments(docs: DataFrame, bits, seeds: list[tuple[str, bool]], window: int) -> DataFrame:
     """Token stretches around hits: one row each, with the hits' places and hashes."""
 
     def scan(batches):
         have: Bits = bits.value
-        masks = [*MASKS, *("1" * n for n in short)]
         for batch in batches:
             rows, docs_, toks, places, keys = [], [], [], [], []
             for i, j, h, at in _tokens(batch.column(2)):
                 # Windows over the border of two texts are dropped below.
                 at_hits, at_keys = [], []
-                for mask in masks:
-                    s = _seeds(h, mask, _salt(mask))
+                for mask, whole in seeds:
+                    s = _seeds(h, mask, _salt(mask, whole))
                     p = np.flatnonzero(have.has(s))
                     d = np.searchsorted(at, p, "right") - 1
-                    p = p[p + len(mask) <= at[np.minimum(d + 1, len(at) - 1)]]
+                    end = at[np.minimum(d + 1, len(at) - 1)]
+                    p = p[(p == at[d]) & (p + len(mask) == end) if whole else p + len(mask) <= end]
                     at_hits.append(p)
                     at_keys.append(s[p])
-                p, key = np.concatenate(at_hits), np.concatenate(at_keys)
-                if not len(p):
+                if not sum(map(len, at_hits)):
                     continue
+                p, key = np.concatenate(at_hits), np.concatenate(at_keys)
                 order = np.argsort(p, kind="stable")
                 p, key = p[order], key[order]
                 d = np.searchsorted(at, p, "right") - 1
-                reach = window + max(map(len, masks))
+                reach = window + max(len(mask) for mask, _ in seeds)
                 new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] - p[:-1] > 2 * reach))))
                 for x, y in zip(new, np.concatenate((new[1:], [len(p)]))):
                     k = int(d[x])
@@ -125,7 +170,7 @@ def _segments(docs: DataFrame, bits, short: list[int], window: int) -> DataFrame
 
 
 def _verified(rows: DataFrame, window: int, threshold: float) -> DataFrame:
-    need = {w: ceil(threshold * w - 1e-9) for w in range(1, window + 1)}
+    need = {w: _needed(w, threshold) for w in range(1, window + 1)}
 
     def compare(batches):
         for batch in batches:
@@ -149,21 +194,23 @@ def _verified(rows: DataFrame, window: int, threshold: float) -> DataFrame:
     return over_text(rows, compare, "row long, doc_id long, item_id long, matched long, item_tokens long")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold: float = 0.8, scratch: Scratch | None = None, least: int = WHOLE) -> DataFrame:
     """(row, doc_id, item_id, matched, item_tokens): each contaminated text with each item it overlaps.
 
     row is xxhash64(doc_id, text); matched counts equal tokens on the best diagonal. Null, empty and
-    too short texts overlap with nothing, items with fewer than 5 tokens or without an id are not
-    sought, items shorter than `window` are compared whole. Rows that repeat give one result row.
+    too short texts overlap with nothing, items with fewer than `least` tokens or without an id are
+    not sought, items shorter than `window` are compared whole, those of one or two tokens (with
+    least=1) with whole texts only. Rows that repeat give one result row.
     Whole texts are searched; other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontaminate")
-    items, places = index(benchmark, scratch)
-    n, short = places.count(), [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()]
+    items, places = index(benchmark, scratch, window, threshold, least)
+    n, lengths = places.count(), [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(max(window, WHOLE))).alias("n")).distinct().collect()]
+    seeds = sorted({s for length in lengths for s in seeds_of(length, window, threshold)})
     bits = spark.sparkContext.broadcast(bits_of(places, "hash", log2_bits(n, per=1024, least=20)))
     ids = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    segments = scratch.put(_segments(ids, bits, short, window), "segments")
+    segments = scratch.put(_segments(ids, bits, seeds, window), "segments")
     hits = segments.select("seg", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("seg", F.col("h.places").alias("at"), F.col("h.keys").alias("hash"))
     found = hits.join(places, "hash").select("seg", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     found = scratch.put(found, "found")
@@ -172,13 +219,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold:
     return rows.groupBy("row", "doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold: float = 0.8) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold: float = 0.8, least: int = WHOLE) -> DataFrame:
     """docs without the texts that overlap a benchmark item; rows and columns otherwise as they are."""
     scratch = Scratch(docs.sparkSession, "decontaminate-stage")
-    bad = scratch.put(overlaps(docs, benchmark, window, threshold, scratch).select(F.col("row").alias("_bad")).distinct(), "bad")
+    bad = scratch.put(overlaps(docs, benchmark, window, threshold, scratch, least).select(F.col("row").alias("_bad")).distinct(), "bad")
     return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == bad["_bad"], "left_anti").select(*docs.columns)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return overlaps(docs, bench).drop("row")
+    return overlaps(docs, bench, least=1).drop("row")

@@ -38,6 +38,38 @@ def test_contamination_covers_every_whole_item(spark):
     assert want and want <= got
 
 
+@pytest.mark.parametrize("length", range(1, 14))
+def test_masks_reach_every_placement_that_is_allowed(length):
+    from itertools import combinations
+    from math import ceil
+
+    from larkspur.llm.decontaminate import seeds_of
+
+    for wrong in combinations(range(length), length - ceil(0.8 * length - 1e-9)):
+        assert any(all(k + i not in wrong for i, bit in enumerate(mask) if bit == "1") for mask, _ in seeds_of(length) for k in range(length - len(mask) + 1)), wrong
+
+
+def test_substitutions_at_any_place_and_short_items_are_found(spark):
+    from itertools import combinations
+
+    rng = random.Random(21)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 7, 10, 12, 13, 16)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    docs, want = [], set()
+    for n, w in items.items():
+        allowed = {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 7: 1, 10: 2, 12: 2, 13: 2, 16: 2}[n]
+        for count in (allowed, allowed + 1):
+            for wrong in combinations(range(min(n, 13)), count):
+                text = " ".join("swap" if k in wrong else x for k, x in enumerate(w[:13]))
+                for t in (text, H.prose(rng, 20) + " " + text + " " + H.prose(rng, 20)):
+                    if count == allowed and (n > 2 or t is text):
+                        want.add((len(docs), n))
+                    docs.append((len(docs), t))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in overlaps(docs, bench, least=1).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in overlaps(docs, bench).collect()} == {x for x in want if x[1] > 2}
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
