@@ -26,7 +26,7 @@ BASE = (("assign", ASSIGN, 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20
 #: Weak parts. key: 20 characters or more of which some are digits and some letters (see _weak).
 WEAK = (
     ("id", re.compile(r"(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee]|_?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:_?[Ii][Dd])?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})"), 1),
-    ("key", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_-])"), 0),
+    ("key", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"), 0),
     ("host", re.compile(r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{4,}|(?:[Hh][Oo][Ss][Tt]|[Ee][Nn][Dd][Pp][Oo][Ii][Nn][Tt]|[Ss][Ee][Rr][Vv][Ee][Rr])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::\d+)?"), 0),
 )
 ORDER = {k: i for i, k in enumerate([b[0] for b in BASE] + [w[0] for w in WEAK])}

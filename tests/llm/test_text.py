@@ -155,6 +155,17 @@ def test_weak_parts_need_a_partner(spark):
     assert sorted(got[7]) == [[], ["id", "key"]]
 
 
+@pytest.mark.parametrize("size", [20, 200, 201, 5000, 1_000_000])
+def test_keys_of_any_length_are_parts(size):
+    key = ("Zx9QwErTy7uIoPaSd5fGh1" * (size // 22 + 1))[:size]
+    assert secrets._weak(f"user=bobby {key}== end", []) == [("id", 5, 10), ("key", 11, 13 + size)]
+
+
+def test_long_keys_are_masked(spark):
+    docs = spark.createDataFrame([(1, "user=bobby " + "Zx9QwErTy7uIoPaSd5fGh1" * 20)], "doc_id long, text string")
+    assert secrets.redact(docs).first()["text"] == "user=[secret] [secret]"
+
+
 def test_interval_join_equals_all_pairs(spark):
     rng = random.Random(4)
     words = ["user=alice{}", "Zx9QwErTy7uIoPaSd5f{}", "https://h{}.example.com/p", "filler"]
