@@ -3,9 +3,11 @@
 One scan of each whole text finds the base kinds (assign, access, hex), which always count, and weak
 parts that alone mean nothing: identifiers (id), key-like strings (key) and endpoints (host). A weak
 part is reported only when a part of another kind stands within `scope` code points of the same
-text: parts are put into bins as wide as the scope, each bin keeps its first and last part of each
-kind, and an interval join with the own and the two neighbouring bins finds whether one is near
-enough. The join is linear in the parts, however many stand in one text.
+text: parts are put into the bins, as wide as the scope, that they cover, each bin keeps the first
+start and the last end of each kind, and an interval join with the covered and the two neighbouring
+bins finds whether one is near enough. The join is linear in the parts and the text, however many
+stand in one text. Distance is the gap between the end of one part and the start of the next, 0 when
+they overlap (with gaps=False, as by default in find_secrets, from start to start).
 """
 
 from __future__ import annotations
@@ -71,23 +73,23 @@ def scan(docs: DataFrame) -> DataFrame:
     return over_text(docs.select("doc_id", "row", "text"), run, f"doc_id long, row long, base array<{SPAN}>, weak array<{SPAN}>")
 
 
-def linked(found: DataFrame, scope: int) -> DataFrame:
+def linked(found: DataFrame, scope: int, gaps: bool) -> DataFrame:
     """(row, more): the weak parts that have a part of another kind within scope, by row.
 
     Base spans of kind access count as identifiers and those of assign and hex as keys."""
     role = F.create_map(*[F.lit(x) for x in ("access", "id", "assign", "key", "hex", "key", "id", "id", "key", "key", "host", "host")])
     once = found.where("size(weak) > 0").dropDuplicates(["row"])
     parts = once.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.kind", "s.start", "s.end", role[F.col("s.kind")].alias("role"))
-    parts = parts.withColumn("bin", F.floor(F.col("start") / scope))
-    ends = parts.groupBy("row", "bin", "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    # Each bin is seen from its own place and from both neighbours.
-    seen = ends.select("row", F.col("role").alias("other"), "first", "last", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    weak = parts.where(~F.col("kind").isin(*BASE_KINDS))
-    near = weak.join(seen, ["row", "bin"]).where((F.col("other") != F.col("role")) & ((F.abs(F.col("first") - F.col("start")) <= scope) | (F.abs(F.col("last") - F.col("start")) <= scope) | F.col("start").between(F.col("first"), F.col("last"))))
+    parts = parts.withColumn("to", F.col("end") if gaps else F.col("start"))
+    bin_of = lambda c: F.floor(F.col(c) / scope)
+    ends = parts.withColumn("bin", F.explode(F.sequence(bin_of("start"), bin_of("to")))).groupBy("row", "bin", F.col("role").alias("other")).agg(F.min("start").alias("first"), F.max("to").alias("last"))
+    # Each part looks into the bins that it covers and both neighbours.
+    weak = parts.where(~F.col("kind").isin(*BASE_KINDS)).withColumn("bin", F.explode(F.sequence(bin_of("start") - 1, bin_of("to") + 1)))
+    near = weak.join(ends, ["row", "bin"]).where((F.col("other") != F.col("role")) & (F.col("first") - F.col("to") <= scope) & (F.col("start") - F.col("last") <= scope))
     return near.select("row", F.struct("kind", "start", "end").alias("s")).distinct().groupBy("row").agg(F.collect_list("s").alias("more"))
 
 
-def find_secrets(docs: DataFrame, scope: int = 200, scratch: Scratch | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, scope: int = 200, scratch: Scratch | None = None, gaps: bool = False) -> DataFrame:
     """(doc_id, row, base, spans) for every row of docs (doc_id, text, ...): the base spans, and all spans
     with the linked weak parts, as arrays of (kind, start, end) in code points, by start, then kind.
 
@@ -97,7 +99,7 @@ def find_secrets(docs: DataFrame, scope: int = 200, scratch: Scratch | None = No
     scratch = scratch or Scratch(docs.sparkSession, "secrets")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     found = scratch.put(scan(rows), "found")
-    more = scratch.put(linked(found, scope), "linked")
+    more = scratch.put(linked(found, scope, gaps), "linked")
     rank = F.create_map(*[F.lit(x) for k, i in ORDER.items() for x in (k, i)])
     spans = F.transform(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(spans), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -112,7 +114,7 @@ def redact(docs: DataFrame, scope: int = 200, mask: str = "[secret]") -> DataFra
     """docs with every span (base and linked) of the text replaced by the mask; overlapping spans are
     one. Every row stays; texts without a span are untouched; null stays null."""
     scratch = Scratch(docs.sparkSession, "secrets-stage")
-    spans = scratch.put(find_secrets(docs, scope, scratch).where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
+    spans = scratch.put(find_secrets(docs, scope, scratch, gaps=True).where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
     names = docs.columns
     both = docs.join(spans, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == spans["_row"], "left")
     # Merge overlapping spans, then write the stretches between them with the mask in between.
@@ -123,6 +125,6 @@ def redact(docs: DataFrame, scope: int = 200, mask: str = "[secret]") -> DataFra
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), gaps=True)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))

@@ -179,6 +179,29 @@ def test_interval_join_equals_all_pairs(spark):
         assert sorted((s["kind"], s["start"], s["end"]) for s in r["spans"]) == sorted(want)
 
 
+def test_interval_join_by_gaps_equals_all_pairs(spark):
+    rng = random.Random(14)
+    words = ["user=alice{}", "user=" + "n" * 130 + "{}", "Zx9QwErTy7uIoPaSd5f{}", "Zx9QwErTy7uIoPaSd5f" * 8 + "{}", "https://h{}.example.com/p", "https://h{}.example.com/" + "p." * 120, "filler"]
+    rows = [(i, " ".join(rng.choice(words).format(rng.randint(10, 99)) + " " * rng.randint(1, 90) for _ in range(60))) for i in range(15)]
+    role = {"access": "id", "id": "id", "assign": "key", "hex": "key", "key": "key", "host": "host"}
+    by_start = 0
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), scope=50, gaps=True).collect():
+        text = dict(rows)[r["doc_id"]]
+        base = secrets.base_spans(text)
+        weak = secrets._weak(text, base)
+        want = base + [w for w in weak if any(role[o[0]] != role[w[0]] and max(o[1] - w[2], w[1] - o[2]) <= 50 for o in base + weak)]
+        assert sorted((s["kind"], s["start"], s["end"]) for s in r["spans"]) == sorted(want)
+        by_start += sum(not any(role[o[0]] != role[w[0]] and abs(o[1] - w[1]) <= 50 for o in base + weak) for w in want)
+    assert by_start > 0
+
+
+def test_parts_next_to_a_long_one_are_linked(spark):
+    key, url = "Zx9QwErTy7uIoPaSd5fGh1", "https://db.example.com/" + "a." * 100
+    rows = [(1, f"{url} {key}"), (2, f"{(key * 9)[:190]} {'-' * 13} client_id=abcd"), (3, f"{url} {'w ' * 101}{key}")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), gaps=True).collect()}
+    assert got == {1: ["host", "key"], 2: ["key", "id"], 3: []}
+
+
 def test_redaction_and_awkward_rows(spark):
     docs = H.awkward(spark).union(H.awkward(spark).where("doc_id = 1").selectExpr("99L AS doc_id", "'🎉 password=abcdef1 token=password=abcdefg end' AS text", *[c for c in H.awkward(spark).columns[2:]]))
     out = secrets.redact(docs)
