@@ -8,12 +8,17 @@ start and the last end of each kind, and an interval join with the covered and t
 bins finds whether one is near enough. The join is linear in the parts and the text, however many
 stand in one text. Distance is the gap between the end of one part and the start of the next, 0 when
 they overlap (with gaps=False, as by default in find_secrets, from start to start).
+
+A URL is one part: key-like pieces of its path are not keys (its user-info and the values of its
+query and fragment can be), and an identifier inside it is no partner of an endpoint. Masking takes
+identifiers and endpoints only where a key stands near.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -32,6 +37,10 @@ WEAK = (
     ("host", re.compile(r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{4,}|(?:[Hh][Oo][Ss][Tt]|[Ee][Nn][Dd][Pp][Oo][Ii][Nn][Tt]|[Ss][Ee][Rr][Vv][Ee][Rr])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::\d+)?"), 0),
 )
 ORDER = {k: i for i, k in enumerate([b[0] for b in BASE] + [w[0] for w in WEAK])}
+#: A URL's user-info, and what comes before the first value of its query or fragment.
+USERINFO = re.compile(r"[a-z0-9]+://([^/?#@]*)@")
+VALUES = re.compile(r"[^?#]*[?#][^=]*=")
+ROLE = {"access": "id", "assign": "key", "hex": "key", "id": "id", "key": "key", "host": "host"}
 SPAN = "struct<kind:string,start:long,end:long>"
 BASE_KINDS = tuple(b[0] for b in BASE)
 
@@ -42,12 +51,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
 
 
+def _around(hosts: list[tuple[int, int]], a: int, b: int) -> int | None:
+    """Which of the host spans (they are by start and apart) holds [a, b)."""
+    k = bisect_right(hosts, (a, float("inf"))) - 1
+    return k if k >= 0 and b <= hosts[k][1] else None
+
+
+def _key_in_url(text: str, a: int, b: int, url: tuple) -> int | None:
+    """Where the key [a, b) of a URL starts: in its user-info, in a value of its query or fragment, or
+    behind it in a list; else None."""
+    info, values = url
+    if info and a < info.end(1):
+        a = max(a, info.start(1))
+        return a if b - a >= 20 else None
+    if text[a - 1] in ",;|":
+        return a
+    name = text[a - 1] in "?#&" and (text[b - 1] == "=" or text[b : b + 1] == "=")
+    return a if values and a >= values.end() and not name else None
+
+
 def _weak(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
+    hosts = [m.span() for kind, pattern, _ in WEAK if kind == "host" for m in pattern.finditer(text)]
+    urls = [(USERINFO.match(text, *h), VALUES.match(text, *h)) for h in hosts]
     for kind, pattern, group in WEAK:
         for m in pattern.finditer(text):
             a, b = m.span(group)
             if kind == "key":
+                around = _around(hosts, a, b)
+                if around is not None:
+                    a = _key_in_url(text, a, b, urls[around])
+                    if a is None:
+                        continue
                 s, n = text[a:b], Counter(text[a:b])
                 if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or len(n) < 10:
                     continue
@@ -57,51 +92,64 @@ def _weak(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, i
     return out
 
 
+def _roles(weak: list[tuple[str, int, int]]) -> list[str]:
+    """What each part is a partner as; identifiers inside an endpoint belong to it."""
+    hosts = [s[1:] for s in weak if s[0] == "host"]
+    return ["host" if kind == "id" and _around(hosts, a, b) is not None else ROLE[kind] for kind, a, b in weak]
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, base, weak) for rows (doc_id, row, text): both arrays of (kind, start, end)."""
+    """(doc_id, row, base, weak, roles) for rows (doc_id, row, text): base and weak are arrays of
+    (kind, start, end), roles those of weak."""
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            base, weak = [], []
+            base, weak, roles = [], [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text or "")
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in found])
-                weak.append([dict(zip(("kind", "start", "end"), s)) for s in _weak(text or "", found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, spans), pa.array(weak, spans)], ["doc_id", "row", "base", "weak"])
+                parts = _weak(text or "", found)
+                weak.append([dict(zip(("kind", "start", "end"), s)) for s in parts])
+                roles.append(_roles(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, spans), pa.array(weak, spans), pa.array(roles, pa.list_(pa.string()))], ["doc_id", "row", "base", "weak", "roles"])
 
-    return over_text(docs.select("doc_id", "row", "text"), run, f"doc_id long, row long, base array<{SPAN}>, weak array<{SPAN}>")
+    return over_text(docs.select("doc_id", "row", "text"), run, f"doc_id long, row long, base array<{SPAN}>, weak array<{SPAN}>, roles array<string>")
 
 
 def linked(found: DataFrame, scope: int, gaps: bool) -> DataFrame:
-    """(row, more): the weak parts that have a part of another kind within scope, by row.
+    """(row, more, keyed): the weak parts that have a part of another kind within scope, by row; keyed
+    are those that are keys or have one.
 
     Base spans of kind access count as identifiers and those of assign and hex as keys."""
-    role = F.create_map(*[F.lit(x) for x in ("access", "id", "assign", "key", "hex", "key", "id", "id", "key", "key", "host", "host")])
+    role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
     once = found.where("size(weak) > 0").dropDuplicates(["row"])
-    parts = once.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.kind", "s.start", "s.end", role[F.col("s.kind")].alias("role"))
+    parts = once.select("row", F.explode(F.arrays_zip(F.concat("base", "weak").alias("s"), F.concat(F.transform("base", lambda s: role[s["kind"]]), "roles").alias("role"))).alias("p")).select("row", "p.s.kind", "p.s.start", "p.s.end", "p.role")
     parts = parts.withColumn("to", F.col("end") if gaps else F.col("start"))
     bin_of = lambda c: F.floor(F.col(c) / scope)
     ends = parts.withColumn("bin", F.explode(F.sequence(bin_of("start"), bin_of("to")))).groupBy("row", "bin", F.col("role").alias("other")).agg(F.min("start").alias("first"), F.max("to").alias("last"))
     # Each part looks into the bins that it covers and both neighbours.
     weak = parts.where(~F.col("kind").isin(*BASE_KINDS)).withColumn("bin", F.explode(F.sequence(bin_of("start") - 1, bin_of("to") + 1)))
     near = weak.join(ends, ["row", "bin"]).where((F.col("other") != F.col("role")) & (F.col("first") - F.col("to") <= scope) & (F.col("start") - F.col("last") <= scope))
-    return near.select("row", F.struct("kind", "start", "end").alias("s")).distinct().groupBy("row").agg(F.collect_list("s").alias("more"))
+    part = F.struct("kind", "start", "end")
+    once = near.groupBy("row", part.alias("s")).agg(F.bool_or((F.col("role") == "key") | (F.col("other") == "key")).alias("keyed"))
+    return once.groupBy("row").agg(F.collect_list("s").alias("more"), F.collect_list(F.when(F.col("keyed"), F.col("s"))).alias("keyed"))
 
 
-def find_secrets(docs: DataFrame, scope: int = 200, scratch: Scratch | None = None, gaps: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, scope: int = 200, scratch: Scratch | None = None, gaps: bool = False, keyed: bool = False) -> DataFrame:
     """(doc_id, row, base, spans) for every row of docs (doc_id, text, ...): the base spans, and all spans
     with the linked weak parts, as arrays of (kind, start, end) in code points, by start, then kind.
 
     Null and empty texts have none. Rows that repeat stay and get the same spans; a null doc_id is
-    allowed; other columns are ignored; row is xxhash64(doc_id, text). Texts are scanned whole.
+    allowed; other columns are ignored; row is xxhash64(doc_id, text). Texts are scanned whole. keyed:
+    only the linked parts that are keys or have one near.
     """
     scratch = scratch or Scratch(docs.sparkSession, "secrets")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     found = scratch.put(scan(rows), "found")
     more = scratch.put(linked(found, scope, gaps), "linked")
     rank = F.create_map(*[F.lit(x) for k, i in ORDER.items() for x in (k, i)])
-    spans = F.transform(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.transform(F.concat("base", F.coalesce("keyed" if keyed else "more", F.array().cast(f"array<{SPAN}>"))), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(spans), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.join(more, "row", "left").select("doc_id", "row", "base", spans.alias("spans"))
 
@@ -111,10 +159,10 @@ def _text(spans: str):
 
 
 def redact(docs: DataFrame, scope: int = 200, mask: str = "[secret]") -> DataFrame:
-    """docs with every span (base and linked) of the text replaced by the mask; overlapping spans are
-    one. Every row stays; texts without a span are untouched; null stays null."""
+    """docs with every span (base, and linked where a key stands near) of the text replaced by the mask;
+    overlapping spans are one. Every row stays; texts without a span are untouched; null stays null."""
     scratch = Scratch(docs.sparkSession, "secrets-stage")
-    spans = scratch.put(find_secrets(docs, scope, scratch, gaps=True).where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
+    spans = scratch.put(find_secrets(docs, scope, scratch, gaps=True, keyed=True).where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
     names = docs.columns
     both = docs.join(spans, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == spans["_row"], "left")
     # Merge overlapping spans, then write the stretches between them with the mask in between.

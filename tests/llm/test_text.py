@@ -202,6 +202,18 @@ def test_parts_next_to_a_long_one_are_linked(spark):
     assert got == {1: ["host", "key"], 2: ["key", "id"], 3: []}
 
 
+def test_one_url_is_no_partner_of_itself(spark):
+    key = "Zx9QwErTy7uIoPaSd5fGh1"
+    rows = ["https://en.wikipedia.org/wiki/2016_United_States_election", "account: bob wrote https://example.org/page", "https://forum.example.org/show?user=bobby", f"https://bob:{key}@example.org/x", f"https://{key}@example.org/x", f"https://example.org/x?a=b&sig={key}", f"see https://example.org/page then {key}", f"https://example.org/page?client_id=abcd {key}", f"https://example.org/page,{key}", f"https://example.org/x#t=ab%2B{key}", "https://en.wikipedia.org/wiki/Vote?x=1&2016_United_States_election=y#2016"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(docs, gaps=True).collect()}
+    assert got[0] == got[2] == got[10] == [] and got[1] == ["id", "host"]
+    assert all(got[k] == ["host", "key"] for k in (3, 4, 5, 6, 8, 9)) and got[7] == ["host", "id", "key"]
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(text[k] == rows[k] for k in (0, 1, 2)) and text[6] == "see [secret] then [secret]"
+    assert all(key not in text[k] for k in range(3, 10))
+
+
 def test_redaction_and_awkward_rows(spark):
     docs = H.awkward(spark).union(H.awkward(spark).where("doc_id = 1").selectExpr("99L AS doc_id", "'🎉 password=abcdef1 token=password=abcdefg end' AS text", *[c for c in H.awkward(spark).columns[2:]]))
     out = secrets.redact(docs)
