@@ -137,12 +137,25 @@ def zipf_scenario(ranked: DataFrame, n: int, alpha: float = 1.0, seed: int = 42)
     return d.join(t, "b").where("u >= lo AND u < hi").select("i", "entity")
 
 
+def _from_pools(rows: DataFrame, key: str, n: int, pool: DataFrame, held: DataFrame, user: str, item: str, seed: int) -> DataFrame:
+    """rows times n items (all, if there are fewer) of the pool that the user does not hold (_u, _i), from a
+    seeded place of the user's ranked pool on; adds the pool's columns and _try. The pools are exact, so
+    rows should be the few for whom draws come out short."""
+    free = rows.select(F.col(user).alias("_user")).distinct().crossJoin(pool.drop("_place")).join(held, (F.col("_user") == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
+    ranked = free.withColumn("_rank", F.row_number().over(Window.partitionBy("_user").orderBy(F.xxhash64(F.lit(seed), "_user", item), item)))
+    sizes = ranked.groupBy(F.col("_user").alias("_owner")).agg(F.max("_rank").alias("_pool"))
+    tries = rows.join(sizes, F.col(user).eqNullSafe(F.col("_owner"))).withColumn("_try", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), "_pool"))))
+    tries = tries.withColumn("_at", F.pmod(F.floor(draw(seed, key) * F.col("_pool")) + F.col("_try") - 1, F.col("_pool")) + 1)
+    return tries.join(ranked, F.col("_owner").eqNullSafe(F.col("_user")) & (F.col("_at") == F.col("_rank"))).drop("_user", "_owner", "_pool", "_at", "_rank")
+
+
 def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user", item: str = "item", attributes: tuple[str, ...] = ("category", "tier")) -> DataFrame:
     """df and, for each positive row, max(1, floor(ratio)) items that its user has no positive row with.
 
     Candidates are drawn at random places of the item table (k and a margin), never by crossing users with
     items; what a user has positively is removed by an anti join; the few rows that come out short draw
-    again with a larger margin. Negatives carry the item's attributes, signal NO_FEEDBACK, label 0, weight 1."""
+    again with a larger margin, and those still short take from their user's exact pool; only where that
+    pool is smaller than k are there fewer. Negatives carry the item's attributes, signal NO_FEEDBACK, label 0, weight 1."""
     if ratio <= 0:
         return df
     k = max(1, int(ratio))
@@ -162,15 +175,19 @@ def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user
     first = picked(rows, k, 2 * k + 4, 0)
     short = rows.join(first.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
     again = picked(short, k, 16 * k + 64, 1)
-    got = first.join(short.select("_row").distinct(), "_row", "left_anti").unionByName(again)
+    scarce = short.join(again.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n", item, *attributes).dropDuplicates(["_row"])
+    exact = _from_pools(scarce, "_row", k, items, positives, user, item, seed + 2)
+    got = first.join(short.select("_row").distinct(), "_row", "left_anti").unionByName(again.join(scarce.select("_row"), "_row", "left_anti"))
+    got = got.select("_row", *rest, item, *attributes).unionByName(exact.select("_row", *rest, item, *attributes))
     negatives = got.select(*rest, item, *attributes, F.lit("NO_FEEDBACK").alias("signal"), F.lit(0).alias("label"), F.lit(1.0).alias("weight"))
     return df.unionByName(negatives)
 
 
 def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, top_k: int = 1000, group: str = "grp", user: str = "user", item: str = "item", seed: int = 42) -> DataFrame:
     """(group, user, item, label): one positive of each group and num_neg items its user has no positive
-    row with, num_popular of them from the top_k most popular, the rest from all; a group whose pools are
-    too small is left out. Places are drawn with a margin, as in add_negatives."""
+    row with, num_popular of them from the top_k most popular, the rest from all; a group whose user
+    has fewer than num_neg such items is left out. Places are drawn with a margin; groups that come out
+    short take from their user's exact pool, as in add_negatives."""
     positives = df.where("label = 1")
     pick = positives.withColumn("_d", F.xxhash64(F.lit(seed), group, item)).groupBy(group).agg(F.min_by(F.struct(user, item), F.struct("_d", item)).alias("p")).select(group, F.col(f"p.{user}").alias(user), F.col(f"p.{item}").alias(item))
     held = positives.select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct()
@@ -183,7 +200,10 @@ def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, t
         tries = pick.select(group, user).crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(3 * n + 20))))
         tries = tries.withColumn("_place", F.floor(draw(seed + salt, group, "_try") * F.col("_n")) + 1)
         found = tries.join(pool, "_place").join(held, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
-        return found.groupBy(group, user, item).agg(F.min("_try").alias("_try"))
+        once = found.groupBy(group, user, item).agg(F.min("_try").alias("_try"))
+        enough = once.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(group)
+        exact = _from_pools(pick.select(group, user).join(enough, group, "left_anti"), group, n, pool, held, user, item, seed + salt)
+        return once.join(enough, group, "left_semi").unionByName(exact.select(group, user, item, "_try"))
 
     a = drawn(popular, num_popular, 1).withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy("_try"))).where(F.col("_rn") <= num_popular)
     b = drawn(everything, num_neg, 2).join(a.select(group, item), [group, item], "left_anti")

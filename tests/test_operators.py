@@ -105,6 +105,25 @@ def test_negatives_are_never_positives(spark):
     assert key(out) == key(S.add_negatives(i.repartition(3), 2))
 
 
+def test_hot_users_get_their_whole_pool(spark):
+    row = lambda u, i, label: (u, i, "c", "t", "S", label, 1.0)
+    schema = "user long, item long, category string, tier string, signal string, label int, weight double"
+    hot = spark.createDataFrame([row(1, i, int(i >= 5)) for i in range(1000)] + [row(2, i, int(i >= 999)) for i in range(1000)] + [row(3, i, int(i > 0)) for i in range(1000)], schema)
+    got = {}
+    for r in S.add_negatives(hot, 2).where("signal = 'NO_FEEDBACK'").collect():
+        got.setdefault(r["user"], []).append(r["item"])
+    assert len(got[1]) == 2 * 995 and set(got[1]) == set(range(5)) and len(got[2]) == len(set(got[2])) == 2 and got[3] == [0] * 999
+
+
+def test_eval_lists_of_hot_users_are_whole(spark):
+    rows = [(g, u, i, int(i >= free)) for g, (u, free) in enumerate([(1, 200), (2, 100), (3, 99)]) for i in range(1000)]
+    lists = S.build_eval_lists(spark.createDataFrame(rows, "grp long, user long, item long, label int"), 100, 50, 1000).collect()
+    for g, free in ((0, 200), (1, 100)):
+        neg = [r["item"] for r in lists if r["grp"] == g and r["label"] == 0]
+        assert len(neg) == len(set(neg)) == 100 and max(neg) < free
+    assert {r["grp"] for r in lists} == {0, 1}
+
+
 def test_eval_lists_have_one_positive(spark):
     i = interactions(spark, SF).withColumn("grp", F.col("user"))
     lists = S.build_eval_lists(i, 20, 10, 50)
