@@ -87,6 +87,25 @@ def test_repeats_awkward_and_empty(spark):
     assert remove_repeats(H.empty(spark)).count() == 0
 
 
+def test_repeats_of_adversarial_bytes(spark):
+    """Thue-Morse strings share polynomial hashes modulo powers of two; the prime ones part them."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rng = random.Random(4)
+    docs = [(i, t) for i, t in enumerate([a[:2048], b[:2048], H.prose(rng, 50) + a[1000:1700], "ab" * 700, "z" * 9000, "z" * 500])]
+    got = rows_of(remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((i, *x) for (i, _), x in zip(docs, H.removed([t for _, t in docs], 400))), key=repr)
+
+
+def test_passages_shared_with_another_row(spark):
+    """255 bytes that another row has show; less than 192 do not, nor what one row repeats itself."""
+    rng = random.Random(6)
+    text = [H.prose(rng, 200) for _ in range(12)]
+    rows = [(0, text[0] + text[1][40:295] + text[2]), (1, text[3] + text[1] + text[4]), (2, text[5] + text[6][10:200] + text[7]), (3, text[6]), (4, text[8] + text[9] + text[8]), (5, text[10]), (5, text[10]), (6, text[11][:255]), (7, text[11]), (8, None), (9, "")]
+    got = {(r["doc_id"], r["n_passages"] > 0) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, True), (1, True), (2, False), (3, False), (4, False), (5, True), (6, True), (7, True), (8, False), (9, False)}
+
+
 def brute_cosine(rows, t=0.9):
     ids = [i for i, e in rows]
     ok = [e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e) for _, e in rows]
