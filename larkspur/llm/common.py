@@ -1,64 +1,39 @@
-"""Helpers shared by the training-data operators: shared scratch tables, fixed-size
-sketches built on Spark, and byte-level text hashing for use inside Arrow tasks."""
+"""Helpers shared by the training-data operators: names of rows, fixed-size sketches built on
+Spark, and byte-level text hashing for use inside Arrow tasks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..scratch import Scratch, shared_dir, workers_find_package  # noqa: F401
 
 
-# ---------------------------------------------------------------- shared scratch tables
+# ---------------------------------------------------------------- names of rows, shares
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) an own one."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-larkspur-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+ROW = "struct<a:long,b:long>"
 
 
-class Scratch:
-    """Tables of one run in the shared folder. Reading them back cuts the lineage and, as every
-    executor sees the folder, survives the loss of any of them."""
+def row_name(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A row's name: 128 bits from its id and text. Rows that repeat share it."""
+    i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return F.struct(F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), t, i).alias("b"))
 
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-        workers_find_package(spark)
 
-    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Store and reread; `rows`, if known as a bound, keeps small tables from falling into many files."""
-        path = f"{self.root}/{name}"
-        df = df if rows is None else df.coalesce(max(12, -(-rows // 250_000)))
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+#: Hashes are compared with shares of this many values, so that a share of billions of rows is not 0.
+WHOLE_SHARE = 1 << 53
 
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing unfinished reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
 
-
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package by name; tell them where it lies when it is not installed."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if REPO not in have:
-        env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, have)])
+def in_share(share: Column | float, *key) -> Column:
+    """Whether a row is in a share (0 to 1) of all, by a hash of its key."""
+    at = F.pmod(F.xxhash64(*key), F.lit(WHOLE_SHARE))
+    return at < (share * float(WHOLE_SHARE) if isinstance(share, Column) else F.lit(float(share) * float(WHOLE_SHARE)))
 
 
 # ---------------------------------------------------------------- fixed-size sketches

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Scratch, bits_of, list_array, lists, log2_bits, longs, mix, over_text, runs, utf8, words
+from .common import ROW, Bits, Scratch, bits_of, list_array, lists, log2_bits, longs, mix, over_text, row_name, runs, utf8, words
 
 #: Items below this many tokens are sought only as whole texts.
 WHOLE = 3
@@ -129,12 +129,13 @@ def index(benchmark: DataFrame, scratch: Scratch, window: int, threshold: float,
 
 
 def _segments(docs: DataFrame, bits, seeds: list[tuple[str, bool]], window: int) -> DataFrame:
-    """Token stretches around hits: one row each, with the hits' places and hashes."""
+    """Token stretches around hits: one row each, from token `first` of the text, with the hits' places and
+    hashes."""
 
     def scan(batches):
         have: Bits = bits.value
         for batch in batches:
-            rows, docs_, toks, places, keys = [], [], [], [], []
+            rows, firsts, toks, places, keys = [], [], [], [], []
             for i, j, h, at in _tokens(batch.column(2)):
                 # Windows over the border of two texts are dropped below.
                 at_hits, at_keys = [], []
@@ -158,32 +159,32 @@ def _segments(docs: DataFrame, bits, seeds: list[tuple[str, bool]], window: int)
                     k = int(d[x])
                     a, b = max(int(at[k]), int(p[x]) - reach), min(int(at[k + 1]), int(p[y - 1]) + reach)
                     rows.append(i + k)
+                    firsts.append(a - int(at[k]))
                     toks.append(h[a:b])
                     places.append(p[x:y] - a)
                     keys.append(key[x:y])
             if rows:
                 take = pa.array(rows, pa.int64())
-                seg = np.array([int(mix(np.array([r], np.int64))[0] ^ np.bitwise_xor.reduce(mix(t + np.arange(len(t), dtype=np.uint64))) ^ np.uint64(pl[0])) for r, t, pl in zip(np.asarray(batch.column(0).take(take)), toks, places)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(seg), list_array(toks), list_array(places), list_array(keys)], ["row", "doc_id", "seg", "tokens", "places", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(firsts, pa.int64()), list_array(toks), list_array(places), list_array(keys)], ["row", "doc_id", "first", "tokens", "places", "keys"])
 
-    return over_text(docs, scan, "row long, doc_id long, seg long, tokens array<long>, places array<long>, keys array<long>")
+    return over_text(docs, scan, f"row {ROW}, doc_id long, first long, tokens array<long>, places array<long>, keys array<long>")
 
 
 def _verified(rows: DataFrame, window: int, threshold: float) -> DataFrame:
+    """rows: (row, doc_id, item_id, skip, tokens, item), the tokens that lie against item from token skip on."""
     need = {w: _needed(w, threshold) for w in range(1, window + 1)}
 
     def compare(batches):
         for batch in batches:
-            diagonal = longs(batch.column(3))
+            skip = longs(batch.column(3))
             (x, xo), (y, yo) = lists(batch.column(4)), lists(batch.column(5))
             keep, best = [], []
             for k in range(batch.num_rows):
                 t, u = x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]
-                a, b = max(0, int(diagonal[k])), min(len(t), int(diagonal[k]) + len(u))
                 w = min(window, len(u))
-                if b - a < w:
+                if len(t) < w:
                     continue
-                same = np.concatenate(([0], np.cumsum(t[a:b] == u[a - diagonal[k] : b - diagonal[k]])))
+                same = np.concatenate(([0], np.cumsum(t == u[skip[k] : skip[k] + len(t)])))
                 if int((same[w:] - same[:-w]).max()) >= need[w]:
                     keep.append(k)
                     best.append(int(same[-1]))
@@ -191,13 +192,13 @@ def _verified(rows: DataFrame, window: int, threshold: float) -> DataFrame:
             size = np.diff(yo)[keep] if keep else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(best, pa.int64()), pa.array(np.asarray(size, np.int64))], ["row", "doc_id", "item_id", "matched", "item_tokens"])
 
-    return over_text(rows, compare, "row long, doc_id long, item_id long, matched long, item_tokens long")
+    return over_text(rows, compare, f"row {ROW}, doc_id long, item_id long, matched long, item_tokens long")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold: float = 0.8, scratch: Scratch | None = None, least: int = WHOLE) -> DataFrame:
     """(row, doc_id, item_id, matched, item_tokens): each contaminated text with each item it overlaps.
 
-    row is xxhash64(doc_id, text); matched counts equal tokens on the best diagonal. Null, empty and
+    row is row_name(); matched counts equal tokens on the best diagonal. Null, empty and
     too short texts overlap with nothing, items with fewer than `least` tokens or without an id are
     not sought, items shorter than `window` are compared whole, those of one or two tokens (with
     least=1) with whole texts only. Rows that repeat give one result row.
@@ -209,13 +210,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold:
     n, lengths = places.count(), [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(max(window, WHOLE))).alias("n")).distinct().collect()]
     seeds = sorted({s for length in lengths for s in seeds_of(length, window, threshold)})
     bits = spark.sparkContext.broadcast(bits_of(places, "hash", log2_bits(n, per=1024, least=20)))
-    ids = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = docs.select(row_name().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     segments = scratch.put(_segments(ids, bits, seeds, window), "segments")
-    hits = segments.select("seg", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("seg", F.col("h.places").alias("at"), F.col("h.keys").alias("hash"))
-    found = hits.join(places, "hash").select("seg", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    found = scratch.put(found, "found")
-    both = found.join(segments.select("seg", "row", "doc_id", "tokens").dropDuplicates(["seg"]), "seg").join(items.withColumnRenamed("tokens", "item"), "item_id")
-    rows = _verified(both.select("row", "doc_id", "item_id", "diagonal", "tokens", "item"), window, threshold)
+    hits = segments.select("row", "first", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("row", "first", F.col("h.places").alias("at"), F.col("h.keys").alias("hash"))
+    found = hits.join(places, "hash").select("row", "first", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    found = scratch.put(found.join(items.withColumnRenamed("tokens", "item"), "item_id"), "found")
+    # Of a stretch only the tokens that lie against the item go on, however many diagonals it has.
+    both = found.join(segments.select("row", "first", "doc_id", "tokens").dropDuplicates(["row", "first"]), ["row", "first"])
+    skip = F.greatest(F.lit(0).cast("long"), -F.col("diagonal"))
+    start = F.col("diagonal") + skip
+    n = F.least(F.size("tokens") - start, F.size("item") - skip)
+    both = both.where(n > 0).select("row", "doc_id", "item_id", skip.alias("skip"), F.slice("tokens", (start + 1).cast("int"), n.cast("int")).alias("tokens"), "item")
+    rows = _verified(both, window, threshold)
     return rows.groupBy("row", "doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
 
 
@@ -223,7 +229,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, t
     """docs without the texts that overlap a benchmark item; rows and columns otherwise as they are."""
     scratch = Scratch(docs.sparkSession, "decontaminate-stage")
     bad = scratch.put(overlaps(docs, benchmark, window, threshold, scratch, least).select(F.col("row").alias("_bad")).distinct(), "bad")
-    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == bad["_bad"], "left_anti").select(*docs.columns)
+    return docs.join(bad, row_name() == bad["_bad"], "left_anti").select(*docs.columns)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_share
 from .components import components
 
 
@@ -29,7 +29,10 @@ def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that can link: finite, without nulls, not all zero."""
     e = F.col("embedding").cast("array<double>")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
-    v = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    twice = v.where("vec_id is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
+    if not twice.isEmpty():
+        once = v.join(twice, "vec_id", "left_anti")
+        v = once.unionByName(v.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return v.where("vec_id is not null and embedding is not null").where((~F.exists("embedding", bad)) & F.exists("embedding", lambda x: x != 0))
 
@@ -37,7 +40,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 def centres(v: DataFrame, n: int, per_cell: int, most_cells: int, sample: int, rounds: int = 8) -> np.ndarray:
     """Unit centres, from at most `sample` vectors chosen by a hash of their ids."""
     share = min(1.0, sample / max(1, n))
-    got = v.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).toPandas()
+    got = v.where(in_share(share, "vec_id", F.lit(11))).orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).toPandas()
     if not len(got):
         return np.zeros((0, 0))
     width = got["embedding"].map(len).mode()[0]

@@ -6,24 +6,23 @@ n-grams, after each count is corrected for the false positives that the language
 
 A language contains an n-gram when the n-gram's rate there is at least `least_share` of its highest
 rate in any language, so strays in mixed texts don't fill the filters. The fit takes a bounded sample
-of the labelled rows (`max_docs` for each language, by a hash of the id); predictions read every
+of the labelled rows (`max_docs` for each language, by a hash of id and text); predictions read every
 text whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, longs, merged, mix, over_text, partials, runs, utf8, PARTIALS
+from .common import LOWER, ROW, Scratch, in_share, longs, merged, mix, over_text, partials, row_name, runs, utf8, PARTIALS
 
 N = 4
 PROBES = 2
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _FOLD = LOWER.copy()
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
@@ -105,8 +104,8 @@ def fit(docs: DataFrame, scratch: Scratch, max_docs: int = 20_000, least_share:
         return Filters([], 16, {}, 0)
     number = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])[F.col("lang")]
     # Of each language a share that gives max_docs rows, chosen by hash: the same in every run.
-    share = F.create_map(*[F.lit(x) for name in names for x in (name, int(1_000_000 * min(1.0, max_docs / sizes[name])))])[F.col("lang")]
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share).select(number.cast("long").alias("k"), "text")
+    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, max_docs / sizes[name]))])[F.col("lang")]
+    sample = known.where(in_share(share, "doc_id", "text", F.lit(5))).select(number.cast("long").alias("k"), "text")
 
     def count(batches):
         for batch in batches:
@@ -168,17 +167,17 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                         name[k], score[k] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name), pa.array(score)], ["doc_id", "row", "lang_pred", "score"])
 
-    return over_text(docs.select("doc_id", "row", "text"), run, "doc_id long, row long, lang_pred string, score double")
+    return over_text(docs.select("doc_id", "row", "text"), run, f"doc_id long, row {ROW}, lang_pred string, score double")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("row", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("row", row_name())
 
 
 def identify(docs: DataFrame, learn_from=None, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, row, lang_pred, score) for every row of docs (doc_id, text, lang, ...), learned from the
     rows where the condition learn_from holds (all that have a lang, by default). Rows that repeat
-    stay; a null doc_id is allowed; other columns are ignored; row is xxhash64(doc_id, text)."""
+    stay; a null doc_id is allowed; other columns are ignored; row is row_name()."""
     scratch = scratch or Scratch(docs.sparkSession, "language")
     rows = _rows(docs)
     filters = fit(rows if learn_from is None else rows.where(learn_from), scratch)
@@ -191,7 +190,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "language-stage")
     found = identify(docs, scratch=scratch)
     bad = scratch.put(found.where((F.col("lang_pred") == "und") | (F.col("score") < least_score)).select(F.col("row").alias("_bad")).distinct(), "bad")
-    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == bad["_bad"], "left_anti").select(*docs.columns)
+    return docs.join(bad, row_name() == bad["_bad"], "left_anti").select(*docs.columns)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes; a
     target stops at `most` times its source's size and the excess is shared by weight among the
-    others until none is above. The table has a row for each source; its order needs one sort of it.
+    others until none is above. The table has a row for each source; its order needs one sort of it
+    in one task, so it is meant for up to some million sources.
     """
     by_name, by_cap = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,6 +72,22 @@ def _fold(group: Column, salt: int) -> Column:
     return F.aggregate(group, F.struct(F.lit(None).cast(item).alias("open"), F.array().cast(f"array<{item}>").alias("done")), step)
 
 
+#: Equal rows that one task numbers.
+RUN = 4096
+
+
+def _with_ordinals(rows: DataFrame) -> DataFrame:
+    """rows with nth, a number that tells equal rows apart: they are counted and written out again, long
+    runs in parts that are dealt over all tasks."""
+    names = rows.columns
+    runs = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    long = runs.where(F.col("_n") > RUN).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
+    long = long.repartition("_part", *names).withColumn("_first", F.col("_part") * RUN + 1)
+    parts = runs.where(F.col("_n") <= RUN).select(*names, F.lit(1).cast("long").alias("_first"), F.col("_n").alias("_last"))
+    parts = parts.unionByName(long.select(*names, "_first", F.least("_n", F.col("_first") + RUN - 1).alias("_last")))
+    return parts.select(*names, F.explode(F.sequence("_first", "_last")).alias("nth"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 42) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source) for every row of docs (doc_id, text, source, ...).
 
@@ -82,14 +99,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = scratch.put(rows, "sizes")
-    # Source sizes first by salted parts: a source may hold a third of all rows.
+    rows = scratch.put(_with_ordinals(rows), "sizes")
+    # Partial sums by source, so a source that holds a third of all rows is no large task.
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sizes = scratch.put(sizes, "sources")
     goal = scratch.put(targets(sizes.select("source", "source_size"), weights, most).join(sizes.select(F.col("source").alias("s2"), "rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "targets")
     level = rows.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    level = level.withColumn("base", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("k", F.xxhash64("doc_id", "size", "source", F.lit(seed)))
+    level = level.withColumn("base", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("k", F.xxhash64("doc_id", "size", "source", "nth", F.lit(seed)))
     keep = ["doc_id", "source", "size", "source_size", "target", "base"]
     level = scratch.put(level.select(*keep, "p", "k", "rows"), "level0")
     settled = [level.where("p <= 0 or size <= 0").select(*keep, F.lit(0).cast("long").alias("extra"))]

@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, over_text
+from .common import ROW, Scratch, over_text, row_name
 
 #: The base kinds. (pattern, group whose length counts, least length)
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -57,6 +57,23 @@ def _around(hosts: list[tuple[int, int]], a: int, b: int) -> int | None:
     return k if k >= 0 and b <= hosts[k][1] else None
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the spans, which are apart and by start, overlaps [a, b)."""
+    k = bisect_left(spans, (b,)) - 1
+    return k >= 0 and spans[k][1] > a
+
+
 def _key_in_url(text: str, a: int, b: int, url: tuple) -> int | None:
     """Where the key [a, b) of a URL starts: in its user-info, in a value of its query or fragment, or
     behind it in a list; else None."""
@@ -73,6 +90,7 @@ def _key_in_url(text: str, a: int, b: int, url: tuple) -> int | None:
 def _weak(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
     hosts = [m.span() for kind, pattern, _ in WEAK if kind == "host" for m in pattern.finditer(text)]
+    taken = _merged([s[1:] for s in base])
     urls = [(USERINFO.match(text, *h), VALUES.match(text, *h)) for h in hosts]
     for kind, pattern, group in WEAK:
         for m in pattern.finditer(text):
@@ -86,7 +104,7 @@ def _weak(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, i
                 s, n = text[a:b], Counter(text[a:b])
                 if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or len(n) < 10:
                     continue
-                if any(x < b and a < y for _, x, y in base):
+                if _meets(taken, a, b):
                     continue
             out.append((kind, a, b))
     return out
@@ -114,7 +132,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 roles.append(_roles(parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, spans), pa.array(weak, spans), pa.array(roles, pa.list_(pa.string()))], ["doc_id", "row", "base", "weak", "roles"])
 
-    return over_text(docs.select("doc_id", "row", "text"), run, f"doc_id long, row long, base array<{SPAN}>, weak array<{SPAN}>, roles array<string>")
+    return over_text(docs.select("doc_id", "row", "text"), run, f"doc_id long, row {ROW}, base array<{SPAN}>, weak array<{SPAN}>, roles array<string>")
 
 
 def linked(found: DataFrame, scope: int, gaps: bool) -> DataFrame:
@@ -141,11 +159,11 @@ def find_secrets(docs: DataFrame, scope: int = 200, scratch: Scratch | None = No
     with the linked weak parts, as arrays of (kind, start, end) in code points, by start, then kind.
 
     Null and empty texts have none. Rows that repeat stay and get the same spans; a null doc_id is
-    allowed; other columns are ignored; row is xxhash64(doc_id, text). Texts are scanned whole. keyed:
+    allowed; other columns are ignored; row is row_name(). Texts are scanned whole. keyed:
     only the linked parts that are keys or have one near.
     """
     scratch = scratch or Scratch(docs.sparkSession, "secrets")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_name())
     found = scratch.put(scan(rows), "found")
     more = scratch.put(linked(found, scope, gaps), "linked")
     rank = F.create_map(*[F.lit(x) for k, i in ORDER.items() for x in (k, i)])
@@ -164,7 +182,7 @@ def redact(docs: DataFrame, scope: int = 200, mask: str = "[secret]") -> DataFra
     scratch = Scratch(docs.sparkSession, "secrets-stage")
     spans = scratch.put(find_secrets(docs, scope, scratch, gaps=True, keyed=True).where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
     names = docs.columns
-    both = docs.join(spans, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == spans["_row"], "left")
+    both = docs.join(spans, row_name() == spans["_row"], "left")
     # Merge overlapping spans, then write the stretches between them with the mask in between.
     step = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda s, x: F.struct(
         F.when(x["end"] <= s["at"], s["out"]).when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))).alias("out"),

@@ -16,8 +16,11 @@ from .common import Scratch
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Public suffixes of two labels; all others are the last label. A parameter, not a full list.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.kr")
+#: Rules of public suffixes beyond the last label, in the notation of the public list: *. stands for any
+#: label, ! for an exception. A parameter; these are some common ones, not the full list.
+SUFFIXES = ("ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "*.ck", "!www.ck")
+#: Addresses are registered domains and suffixes of their own.
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 Z, CUT = 1.645, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,12 +45,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def suffix_labels(name: Column, suffixes=SUFFIXES) -> Column:
+    """How many labels of a host name are its public suffix: of the rules that fit the longest, an
+    exception first and less its first label; 1 without a rule."""
+    tail = lambda rule: F.substring_index(name, ".", -len(rule.split(".")))
+    out = F.lit(1)
+    for n in sorted({len(r.split(".")) for r in suffixes if r[0] != "!"}):
+        plain = [r for r in suffixes if len(r.split(".")) == n and r[0] not in "*!"]
+        wild = [r[2:] for r in suffixes if len(r.split(".")) == n and r[0] == "*"]
+        fits = F.substring_index(name, ".", -n).isin(*plain) if plain else F.lit(False)
+        if wild:
+            fits = fits | (F.substring_index(name, ".", -(n - 1)).isin(*wild) & (F.size(F.split(name, r"\.")) >= n))
+        out = F.when(fits, n).otherwise(out)
+    for rule in (r[1:] for r in suffixes if r[0] == "!"):
+        out = F.when(tail(rule) == rule, len(rule.split(".")) - 1).otherwise(out)
+    return out
+
+
 def domain_parts(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
-    """(suffix, registered domain) of a host, without user name and port."""
+    """(suffix, registered domain) of a host, without user name and port; an address is both."""
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    two = F.substring_index(name, ".", -2)
-    double = two.isin(*suffixes)
-    return F.when(double, two).otherwise(F.substring_index(name, ".", -1)), F.when(double, F.substring_index(name, ".", -3)).otherwise(two)
+    labels, address = F.split(name, r"\."), name.rlike(ADDRESS)
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.least(F.size(labels), n)), ".")
+    n = suffix_labels(name, suffixes)
+    return F.when(address, name).otherwise(last(n)), F.when(address, name).otherwise(last(n + 1))
 
 
 def _strength(n: str, k: str, prior: str) -> Column:
@@ -79,7 +100,7 @@ def reputation(hosts: DataFrame, scratch: Scratch, z: float = Z) -> DataFrame:
     return h.select("host", "mean", (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("m3") + 1))).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, z: float = Z, cut: float = CUT, scratch: Scratch | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, z: float = Z, cut: float = CUT, suffixes=SUFFIXES, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, blocked_share) for every row of pages (page_id, url, ...).
 
     A rule decides where one fits, the longest first; otherwise the host's reputation does. Null urls and
@@ -91,7 +112,7 @@ def filter_urls(pages: DataFrame, rules=RULES, z: float = Z, cut: float = CUT, s
     host, path = split_url(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = scratch.put(rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict"), "rows")
-    suffix, domain = domain_parts(F.col("host"))
+    suffix, domain = domain_parts(F.col("host"), suffixes)
     hosts = rows.groupBy("host").agg(F.count("rule").alias("n"), F.sum((F.col("verdict") == "block").cast("long")).alias("k"))
     hosts = hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", F.coalesce("k", F.lit(0)).alias("k"))
     # A stored table, so that the join below is between plain shuffles (a hot host is split) or a
@@ -110,7 +131,10 @@ def op2_sql() -> str:
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in ordered) + " END"
-    two = ", ".join(f"'{s}'" for s in SUFFIXES)
+    quoted = lambda names: ", ".join(f"'{x}'" for x in names)
+    plain, wild, but = [r for r in SUFFIXES if r[0] not in "*!"], [r[2:] for r in SUFFIXES if r[0] == "*"], [r[1:] for r in SUFFIXES if r[0] == "!"]
+    # All rules of SUFFIXES have two labels.
+    two = f"NOT array_to_string(l[-2:], '.') IN ({quoted(but)}) AND (array_to_string(l[-2:], '.') IN ({quoted(plain)}) OR len(l) >= 2 AND l[-1] IN ({quoted(wild)}))"
 
     def strength(n, k, p):
         return f"least(100.0, greatest(1.0, coalesce(sum({n} * {p} * (1 - {p})) FILTER ({n} > 0) / nullif(sum({n} * ({k}::DOUBLE / {n} - {p}) * ({k}::DOUBLE / {n} - {p})) FILTER ({n} > 0), 0.0), 101.0) - 1))"
@@ -123,8 +147,8 @@ r AS (SELECT *, {rule} AS rule FROM p),
 v AS (SELECT *, {verdict} AS verdict0 FROM r),
 hosts0 AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(rule) AS n, count(*) FILTER (verdict0 = 'block') AS k FROM v GROUP BY host),
 parts AS (SELECT *, string_split(name, '.') AS l FROM hosts0),
-hosts1 AS (SELECT *, array_to_string(l[-2:], '.') IN ({two}) AS dbl FROM parts),
-hosts AS (SELECT host, n, k, array_to_string(CASE WHEN dbl THEN l[-2:] ELSE l[-1:] END, '.') AS suffix, array_to_string(CASE WHEN dbl THEN l[-3:] ELSE l[-2:] END, '.') AS domain FROM hosts1),
+hosts1 AS (SELECT *, {two} AS dbl, regexp_matches(name, '{ADDRESS}') AS address FROM parts),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN name ELSE array_to_string(CASE WHEN dbl THEN l[-2:] ELSE l[-1:] END, '.') END AS suffix, CASE WHEN address THEN name ELSE array_to_string(CASE WHEN dbl THEN l[-3:] ELSE l[-2:] END, '.') END AS domain FROM hosts1),
 domains AS (SELECT suffix, domain, sum(n) AS dn, sum(k) AS dk FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM domains GROUP BY ALL),
 top AS (SELECT (coalesce(sum(sk), 0) + 1.0)::DOUBLE / (coalesce(sum(sn), 0) + 2.0) AS p0 FROM suffixes),
