@@ -219,6 +219,20 @@ def keyword_truth(df: DataFrame, keywords: dict[str, tuple[str, ...]], entity: s
     return g.where(F.col("support") >= least)
 
 
+def strength_truth(df: DataFrame, rules: dict[str, tuple[tuple[str, ...], int, int]], entity: str, key: str, text: str, others: int = 3) -> DataFrame:
+    """(entity, aspect, support, evidence, compared): for each aspect's (keywords, least, most), the entities whose
+    positive rows mention it at least `least` times, with the first `most` ids as evidence and the
+    first other entities to compare with."""
+    aspects = F.filter(F.array(*[F.when(_any(text, words), F.struct(F.lit(a).alias("aspect"), F.lit(least).alias("least"), F.lit(most).alias("most"))) for a, (words, least, most) in rules.items()]), lambda x: x.isNotNull())
+    rows = df.select(entity, key, F.explode(aspects).alias("a")).select(entity, key, "a.*")
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(entity, "aspect").orderBy(key)))
+    g = ranked.groupBy(entity, "aspect").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"), F.max("most").alias("most"), F.sort_array(F.collect_list(F.when(F.col("_rn") <= F.col("most"), F.col(key)))).alias("evidence"))
+    # The first others are among the first `others` + 1 entities, a table of that many rows.
+    first = df.select(F.col(entity).alias("_o")).distinct().orderBy("_o").limit(others + 1).agg(F.sort_array(F.collect_list("_o")).alias("_first"))
+    found = g.where(F.col("n") >= F.col("least")).crossJoin(F.broadcast(first))
+    return found.select(entity, "aspect", F.least("n", F.col("most").cast("long")).alias("support"), "evidence", F.slice(F.filter("_first", lambda o: o != F.col(entity)), 1, others).alias("compared"))
+
+
 def _any(text: str, needles) -> Column:
     out = F.lit(False)
     for n in needles:

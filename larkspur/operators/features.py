@@ -9,8 +9,8 @@ from ..functions import rules as R
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by `order`."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """The last row of each key by `order`; of equal ones the first by the other columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), *[F.col(c) for c in df.columns if c not in (key, order) and df.schema[c].dataType.typeName() != "map"])
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -144,6 +144,44 @@ def scoring_features(df: DataFrame) -> DataFrame:
     })
 
 
+#: The keys of a profile's JSON objects, and the categorical fields in order.
+TASTES, SLOTS = ("spicy", "sweet", "savory", "light"), ("breakfast", "lunch", "afternoon", "dinner")
+PLAIN_FIELDS = ("price_tier", "region_gu", "region_dong", "geohash", "day_of_week", "time_slot", "admin_dong", "distance_bucket", "weather_bucket", "dining_type")
+
+
+def _profile_categories(k: int) -> Column:
+    return preferred(F.from_json("preferred_categories", "array<struct<category:string,weight:double>>"), k)
+
+
+def base_features(df: DataFrame, k: int = 3) -> DataFrame:
+    """Adds taste_<key>, slot_<key>, is_anonymous and pref_w_1..k, all within 0..1, from the profile's JSON texts
+    taste_preferences, visit_time_distribution and preferred_categories, and member_id; what is
+    missing or broken is 0."""
+    def shares(column: str, prefix: str, keys) -> dict[str, Column]:
+        m = F.from_json(column, "map<string,string>")
+        return {f"{prefix}_{x}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(m, F.lit(x)).try_cast("double"), F.lit(0.0)))) for x in keys}
+
+    weights = {f"pref_w_{i + 1}": F.coalesce(F.get(_profile_categories(k), F.lit(i))["weight"], F.lit(0.0)) for i in range(k)}
+    anonymous = (F.coalesce(F.trim(F.col("member_id").cast("string")), F.lit("")) == "").cast("double")
+    return df.withColumns({**shares("taste_preferences", "taste", TASTES), **shares("visit_time_distribution", "slot", SLOTS), "is_anonymous": anonymous, **weights})
+
+
+def categorical_fields(df: DataFrame) -> DataFrame:
+    """The 20 categorical fields of a row as texts, empty where there is no value. Columns that df lacks count as null."""
+    get = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    key = lambda prefix, c: F.when(text(c) != "", F.concat(F.lit(prefix), c)).otherwise("")
+    first = lambda c: F.coalesce(F.get(F.from_json(get(c), "array<string>"), F.lit(0)), F.lit(""))
+    tag = F.coalesce(F.get(F.from_json(get("comparison_tags"), "array<struct<tag:string>>"), F.lit(0))["tag"], first("comparison_tags"))
+    cats = _profile_categories(3)
+    return df.select(
+        *[c for c in ("split", "row_id") if c in df.columns],
+        key("u_", get("member_id")).alias("member_key"), key("a_", F.coalesce(F.nullif(get("anonymous_cohort_id"), F.lit("")), get("anonymous_id"))).alias("cohort_key"),
+        text(get("avg_price_tier")).alias("avg_price_tier"), text(get("restaurant_id")).alias("restaurant_id"), first("categories").alias("primary_category"),
+        *[F.coalesce(F.trim(F.get(cats, F.lit(i))["category"]), F.lit("")).alias(f"pref_cat_{i + 1}") for i in range(3)],
+        *[text(get(c)).alias(c) for c in PLAIN_FIELDS], first("positive_segments").alias("first_segment"), tag.alias("first_tag"))
+
+
 def feature_dist(df: DataFrame, features: list[str], by: str = "split", top: int = 5) -> DataFrame:
     """(by, feature, n, min, max, mean, std, top): figures of numeric features, and their commonest values."""
     long = df.select(by, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([by], features, "feature", "x")

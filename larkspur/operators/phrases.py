@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import Scratch
+from .sampling import numbered, uniform
 
 
 def word_counts(df: DataFrame, text: str = "text", stop=(), min_len: int = 2) -> DataFrame:
@@ -64,12 +66,16 @@ def category_share(counts: DataFrame, keywords: dict) -> DataFrame:
 
 def quantile_split(counts: DataFrame, by: tuple[str, ...] = (), head: float = 0.02, mid: float = 0.2, min_head: int = 10) -> DataFrame:
     """Adds pos (rank from 1) and part: head, mid or tail."""
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(whole)
+    order = (F.desc("cnt"), F.col("phrase"))
+    if by:
+        ranked = counts.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    else:
+        ranked = numbered(counts, *order).withColumn("pos", F.col("pos").cast("int"))
+        ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("_n"))))
+    n = F.col("_n")
     head_n = F.greatest(F.lit(min_head), F.least(F.floor(n * F.lit(head)), n))
     mid_n = F.greatest(head_n, F.least(F.floor(n * F.lit(mid)), n))
-    ranked = counts.withColumn("pos", F.row_number().over(whole.orderBy(F.desc("cnt"), "phrase"))).withColumn("_h", head_n).withColumn("_m", mid_n)
-    return ranked.withColumn("part", F.when(F.col("pos") <= F.col("_h"), "head").when(F.col("pos") <= F.col("_m"), "mid").otherwise("tail")).drop("_h", "_m")
+    return ranked.withColumn("part", F.when(F.col("pos") <= head_n, "head").when(F.col("pos") <= mid_n, "mid").otherwise("tail")).drop("_n")
 
 
 def pick_seeds(split: DataFrame, by: tuple[str, ...] = (), mid_k: int = 5, tail_k: int = 1, seed: int = 42) -> DataFrame:
@@ -77,7 +83,7 @@ def pick_seeds(split: DataFrame, by: tuple[str, ...] = (), mid_k: int = 5, tail_
 
     Weighted draws by the keys -ln(u) / weight, smallest first, with u from a hash of seed and phrase, so
     the same seeds come out whatever the partitions."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "phrase"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    u = uniform(seed, "phrase")
     key = F.when(F.col("part") == "mid", -F.log(u) / F.log(F.col("cnt") + 1.0)).otherwise(u)
     w = Window.partitionBy(*by, "part").orderBy("_key", "phrase")
     drawn = split.withColumn("_key", key).withColumn("_rn", F.row_number().over(w))
@@ -101,8 +107,8 @@ def recall_seeds(df: DataFrame, keywords: dict, by: tuple[str, ...] = (), text:
 def compare(df: DataFrame, keywords: dict, positive: dict, by: str = "source", text: str = "text", n: int = 2000) -> DataFrame:
     """Every group against the corpus: ratios (2 decimals), lift in whole percent, display lines.
 
-    One pass gives counts per group; the corpus counts are their sums, so the text is read once."""
-    counts = bigram_counts(df, text, (by,))
+    One pass over the texts gives a stored table of counts per group; the corpus counts are their sums."""
+    counts = Scratch(df.sparkSession, "compare").put(bigram_counts(df, text, (by,)), "counts")
     own = positive_ratios(top_phrases(counts, n, (by,)), keywords, positive, (by,), 2)
     corpus = counts.groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
     total = positive_ratios(top_phrases(corpus, n), keywords, positive, (), 4)

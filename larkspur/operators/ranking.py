@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .sampling import cumulated, uniform
 
 
 def list_metrics(df: DataFrame, ks=(5, 10), group: str = "grp", score: str = "score", label: str = "label", weight: str = "weight", tie: str = "item") -> DataFrame:
@@ -43,10 +44,9 @@ def ranking_metrics(df: DataFrame, train: DataFrame, ks=(5, 10), group: str = "g
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row (auc): rank sum with mean ranks for ties; 0 with one class only. Scores are first summed by
-    value, so ties need no pairs; the ranks come from cumulated counts."""
+    value, so ties need no pairs; the ranks come from counts cumulated over range partitions."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(score)
-    ranked = by.select("p", "n", (F.sum("n").over(w) - F.col("n")).alias("below"))
+    ranked = cumulated(by, "n", F.col(score), name="_to").select("p", "n", (F.col("_to") - F.col("n")).alias("below"))
     s = ranked.agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     return s.select(F.when((F.col("p") > 0) & (neg > 0), F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg), 9)).otherwise(0.0).alias("auc"))
@@ -59,7 +59,7 @@ def popularity_baseline(lists: DataFrame, counts: DataFrame, ks=(5, 10), group:
 
 
 def random_baseline(lists: DataFrame, ks=(5, 10), seed: int = 42, group: str = "grp", item: str = "item") -> DataFrame:
-    d = lists.withColumn("score", F.pmod(F.xxhash64(F.lit(seed), group, item), F.lit(1 << 52)).cast("double"))
+    d = lists.withColumn("score", uniform(seed, group, item))
     return weighted_mean(list_metrics(d, ks, group, tie=item), ks)
 
 

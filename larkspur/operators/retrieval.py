@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..scratch import Scratch
+from .sampling import shuffled
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
@@ -56,51 +57,39 @@ def embed(df: DataFrame, text: str = "text", encoder: Callable = hashing_encoder
     return df.withColumn(name, run(F.col(text)))
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int, min_score: float = -1.0, query_block: int = 2048) -> DataFrame:
-    """(query, doc, score, rank) of a stated query set (query, vector) against all docs (doc, vector).
-
-    Queries come in blocks of `query_block`; each task keeps its best k of each query, so only k rows a
-    task and query are shuffled. Cosine in double precision, rounded to 9 digits; ties by doc."""
-    spark = docs.sparkSession
-    rows = queries.select("query", "vector").where("query IS NOT NULL AND vector IS NOT NULL").toLocalIterator()
-    parts, block = [], []
-
-    def flush():
-        ids = np.array([b[0] for b in block])
-        q = np.array([b[1] for b in block], float)
-        held = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def run(batches):
-            ids, q = held.value
-            best_s, best_d = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    b = batch.slice(at, 1024)
-                    d = np.asarray(b.column(0))
-                    v = np.asarray(b.column(1).flatten(), float).reshape(len(d), -1)
-                    s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 9)
-                    s, dd = np.concatenate((best_s, s), 1), np.concatenate((best_d, np.broadcast_to(d, s.shape)), 1)
-                    order = np.lexsort((dd, -s), axis=1)[:, :k]
-                    best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(dd, order, 1)
-            keep = best_s >= min_score
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best_d[keep]), pa.array(best_s[keep])], ["query", "doc", "score"])
-
-        parts.append(docs.select(F.col("doc").cast("long").alias("doc"), F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL").mapInArrow(run, "query long, doc long, score double"))
-        block.clear()
-
-    for r in rows:
-        block.append((int(r["query"]), list(r["vector"])))
-        if len(block) == query_block:
-            flush()
-    if block:
-        flush()
-    if not parts:
-        return spark.createDataFrame([], "query long, doc long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _ranked(out, k)
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int, min_score: float = -1.0, query_block: int = 2048, by: tuple[str, ...] = (), doc_block: int = 2048, digits: int = 9, others_only: bool = False) -> DataFrame:
+    """(*by, query, doc, score, rank) of a stated query set (query, *by, vector) against all docs (doc, *by,
+    vector): cosine in double precision, rounded; ties by doc. `by` restricts a query to the docs of
+    its entity or category; others_only leaves out the doc of the query's own id.
+
+    Queries and docs are dealt into blocks by hash and each pair of blocks is a task of its own, so no
+    task holds more than two blocks; a task gives its best k of each query."""
+    tall, wide = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (docs, doc_block)))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    q = queries.select(*by, "query", vector).where("query IS NOT NULL AND vector IS NOT NULL").withColumn("_i", block("query", tall).cast("int")).withColumn("_j", each(wide))
+    d = docs.select(*by, "doc", vector).where("vector IS NOT NULL").withColumn("_j", block("doc", wide).cast("int")).withColumn("_i", each(tall))
+
+    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({**{c: q[c].to_numpy(object)[:0] for c in by}, "query": q["query"].to_numpy()[:0], "doc": d["doc"].to_numpy()[:0], "score": np.zeros(0)})
+        x, y = (np.stack(t["vector"].to_numpy()) for t in (q, d))
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
+        ids, names = d["doc"].to_numpy(), q["query"].to_numpy()
+        s = np.round(x @ y.T, digits)
+        if others_only:
+            s[names[:, None] == ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), s.shape), -s), axis=1)[:, :k]
+        top = np.take_along_axis(s, order, 1)
+        i, j = np.nonzero(top >= min_score)
+        values = {**{c: q[c].to_numpy(object)[i] for c in by}, "query": names[i], "doc": ids[order[i, j]], "score": top[i, j]}
+        return pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in values.items()})
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*q.schema.fields, *d.schema.fields)}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "query", "doc")) + ", score double"
+    keys = [*by, "_i", "_j"]
+    return _ranked(q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(best, schema), k, (*by, "query"))
 
 
 def _ranked(hits: DataFrame, k: int, group: tuple[str, ...] = ("query",)) -> DataFrame:
@@ -111,7 +100,8 @@ def _ranked(hits: DataFrame, k: int, group: tuple[str, ...] = ("query",)) -> Dat
 def bm25_index(docs: DataFrame, text: str = "text", doc: str = "doc_id", k1: float = 1.2, b: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, term, doc, weight): postings with BM25 weights (idf within), terms in lower case."""
     words = T.tokens(F.lower(F.col(text)))
-    d = docs.select(*by, F.col(doc).alias("doc"), words.alias("w")).withColumn("len", F.size("w"))
+    # Stored, as the statistics and the counts both read it.
+    d = Scratch(docs.sparkSession, "bm25").put(docs.select(*by, F.col(doc).alias("doc"), words.alias("w")), "words").withColumn("len", F.size("w"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     tf = d.select(*by, "doc", "len", F.explode("w").alias("term")).groupBy(*by, "doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -122,26 +112,30 @@ def bm25_index(docs: DataFrame, text: str = "text", doc: str = "doc_id", k1: flo
 
 
 def sparse_topk(queries: DataFrame, index: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """(query, doc, score, rank): the query's distinct terms joined with the postings; columns query, text (and `on`)."""
+    """(*on, query, doc, score, rank): the query's distinct terms joined with the postings; columns query, text
+    (and `on`, the entity or category that restricts a query)."""
     q = queries.select("query", *on, F.explode(F.array_distinct(T.tokens(F.lower(F.col("text"))))).alias("term"))
-    hits = q.join(index, ["term", *on]).groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return _ranked(hits, k)
+    hits = q.join(index, ["term", *on]).groupBy(*on, "query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return _ranked(hits, k, (*on, "query"))
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, limit: int, k: int = 60) -> DataFrame:
+def fuse(dense: DataFrame, sparse: DataFrame, limit: int, k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists."""
-    both = dense.select("query", "doc", "rank").unionByName(sparse.select("query", "doc", "rank"))
-    return _ranked(both.groupBy("query", "doc").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score")), limit)
-
-
-def hybrid_topk(queries: DataFrame, docs: DataFrame, index: DataFrame, limit: int, dense_n: int = 200, sparse_n: int = 300, fallback_min_score: float = 0.2, k: int = 60) -> DataFrame:
-    """Fused hits of queries (query, text, vector); a query without sparse hits gets its dense ones of at
-    least the fallback score."""
-    dense = dense_topk(queries, docs, dense_n)
-    sparse = sparse_topk(queries, index, sparse_n)
-    known = sparse.select("query").distinct()
-    fused = fuse(dense.join(known, "query", "left_semi"), sparse, limit, k)
-    alone = dense.join(known, "query", "left_anti").where((F.col("score") >= fallback_min_score) & (F.col("rank") <= limit))
+    both = dense.select(*by, "query", "doc", "rank").unionByName(sparse.select(*by, "query", "doc", "rank"))
+    return _ranked(both.groupBy(*by, "query", "doc").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score")), limit, (*by, "query"))
+
+
+def hybrid_topk(queries: DataFrame, docs: DataFrame, index: DataFrame, limit: int, dense_n: int = 200, sparse_n: int = 300, fallback_min_score: float = 0.2, k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """Fused hits of queries (query, *by, text, vector); a query without sparse hits gets its dense ones of at
+    least the fallback score. `by` restricts both sides to the query's entity or category. Both lists are
+    stored, as each is read more than once."""
+    scratch = Scratch(docs.sparkSession, "hybrid")
+    dense = scratch.put(dense_topk(queries, docs, dense_n, by=by), "dense")
+    sparse = scratch.put(sparse_topk(queries, index, sparse_n, by), "sparse")
+    keys = [*by, "query"]
+    known = sparse.select(*keys).distinct()
+    fused = fuse(dense.join(known, keys, "left_semi"), sparse, limit, k, by)
+    alone = dense.join(known, keys, "left_anti").where((F.col("score") >= fallback_min_score) & (F.col("rank") <= limit))
     return fused.unionByName(alone.select(fused.columns))
 
 
@@ -182,11 +176,13 @@ def choose_hits(dense: DataFrame, hybrid: DataFrame, ratios_dense: DataFrame, ra
 
 def map_evidence(hits: DataFrame, allowed: DataFrame | None = None, min_score: float = 0.35, max_reuse: int = 1) -> DataFrame:
     """(entity, category, bullet, doc, rank): for each bullet in order the best allowed hit whose document
-    is not used up. hits: (entity, category, bullet, doc, score, rank). Greedy within an entity, whose
-    bullets are few; entities run side by side."""
+    is not used up. hits: (entity, category, bullet, doc, score, rank). Greedy within an entity: the n-th
+    of its bullets needs its first n hits at most, so only those are gathered; entities run side by side."""
     h = hits.where(F.col("score") >= min_score)
     if allowed is not None:
         h = h.join(allowed, ["entity", "category", "doc"], "left_semi")
+    bullets = h.select("entity", "category", "bullet").distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("entity").orderBy("category", "bullet")))
+    h = h.join(bullets, ["entity", "category", "bullet"]).withColumn("_rn", F.row_number().over(Window.partitionBy("entity", "category", "bullet").orderBy("rank", "doc"))).where("_rn <= _nth")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}
@@ -199,7 +195,8 @@ def map_evidence(hits: DataFrame, allowed: DataFrame | None = None, min_score: f
                     break
         return pd.DataFrame(out, columns=["entity", "category", "bullet", "doc", "rank"])
 
-    return h.select("entity", "category", "bullet", "doc", "rank").groupBy("entity").applyInPandas(greedy, h.select("entity", "category", "bullet", "doc", "rank").schema)
+    some = h.select("entity", "category", "bullet", "doc", "rank")
+    return some.groupBy("entity").applyInPandas(greedy, some.schema)
 
 
 def entity_vectors(df: DataFrame, entity: str, vector: str = "vector", weight: Column | None = None) -> DataFrame:
@@ -210,27 +207,19 @@ def entity_vectors(df: DataFrame, entity: str, vector: str = "vector", weight: C
     return s.groupBy(entity).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: F.round(x["m"], 9)).alias("vector"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
-
-
 def similar_entities(vectors: DataFrame, n: int, entity: str = "entity", block: str | None = None) -> DataFrame:
     """(entity, other, score, rank): the n nearest others by cosine, within the same `block` if one is given."""
-    v = vectors.select(F.col(entity).alias("query"), "vector", *([block] if block else []))
-    o = vectors.select(F.col(entity).alias("doc"), F.col("vector").alias("v2"), *([block] if block else []))
-    pairs = (v.join(o, block) if block else v.crossJoin(o)).where("query <> doc")
-    hits = pairs.select("query", "doc", F.round(cosine(F.col("vector"), F.col("v2")), 6).alias("score"))
-    return _ranked(hits, n).select(F.col("query").alias(entity), F.col("doc").alias("other"), "score", "rank")
+    by = (block,) if block else ()
+    hits = dense_topk(vectors.select(F.col(entity).alias("query"), *by, "vector"), vectors.select(F.col(entity).alias("doc"), *by, "vector"), n, by=by, digits=6, others_only=True)
+    return hits.select(F.col("query").alias(entity), F.col("doc").alias("other"), "score", "rank")
 
 
 def unique_strengths(target: DataFrame, others: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Rows of target (entity, id, vector) whose nearest phrase among the same entity's comparison phrases
     (entity, vector) stays below the threshold; all, if there is nothing to compare."""
-    j = target.join(others.select("entity", F.col("vector").alias("v2")), "entity", "left")
-    best = j.groupBy("entity", "id").agg(F.max(cosine(F.col("vector"), F.col("v2"))).alias("best"))
-    return best.where(F.coalesce("best", F.lit(-1.0)) < threshold).select("entity", "id")
+    near = dense_topk(target.select("entity", F.col("id").alias("query"), "vector"), others.select("entity", F.xxhash64("vector").alias("doc"), "vector"), 1, by=("entity",))
+    near = near.select("entity", F.col("query").alias("id"), F.col("score").alias("best"))
+    return target.select("entity", "id").join(near, ["entity", "id"], "left").where(F.coalesce("best", F.lit(-1.0)) < threshold).select("entity", "id")
 
 
 def recent_reviews(df: DataFrame, entity: str, n: int, ts: str = "ts", key: str = "doc_id") -> DataFrame:
@@ -241,7 +230,7 @@ def recent_reviews(df: DataFrame, entity: str, n: int, ts: str = "ts", key: str
 
 def sample_reviews(df: DataFrame, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """n rows by a seeded hash (a top-n, pruned in each task)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(shuffled(seed, key), key).limit(n)
 
 
 def age_weighted(df: DataFrame, entity: str, now: Column, ts: str = "ts", vector: str = "vector") -> DataFrame:

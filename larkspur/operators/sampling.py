@@ -7,22 +7,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def draw(seed: int, *keys) -> Column:
     """A number in (0, 1) from a hash."""
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def shuffled(seed: int, *keys) -> Column:
+    """A sort key in seeded order that any engine can repeat: the md5 of seed and keys, joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]))
+
+
+def uniform(seed: int, *keys) -> Column:
+    """A number in (0, 1) from the first 52 bits of shuffled()."""
+    return (F.conv(F.substring(shuffled(seed, *keys), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
-    """Adds the row's position from 1 in the order, which must be total.
+    """Adds the row's position from 1 in the order, which must be total up to rows that are equal.
+
+    Rows are range-partitioned by the order and sorted within, once, into a stored table that holds each
+    row's partition and place; a partition's offset is the number of rows before it, from a table with a
+    row for each partition. All is read from the stored table, so no second plan can deal them otherwise."""
+    place = F.monotonically_increasing_id()
+    stored = Scratch(df.sparkSession, "numbered").put(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", place), "rows")
+    part, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = stored.groupBy(part.alias("_part")).agg((F.max(local) + 1).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return stored.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, local + 1 + F.col("_before")).drop("_part", "_id", "_before")
+
 
-    Rows are range-partitioned by the order; each partition's offset is the number of rows before it,
-    from a table with a row for each partition."""
-    part = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = part.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+def cumulated(df: DataFrame, value: str, *order: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows up to this one in a total order: sums within range partitions,
+    and of the partitions before."""
+    stored = Scratch(df.sparkSession, "cumulated").put(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rows")
+    sizes = stored.groupBy("_part").agg(F.sum(value).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_rn") + F.col("_before")).drop("_part", "_rn", "_before")
+    local = F.sum(value).over(Window.partitionBy("_part").orderBy(*order))
+    return stored.withColumn("_sum", local).join(F.broadcast(before), "_part").withColumn(name, F.col("_sum") + F.col("_before")).drop("_part", "_sum", "_before")
 
 
 def time_split(df: DataFrame, ts: str, train_end: str, valid_end: str, group: str | None = None) -> DataFrame:
@@ -35,7 +59,7 @@ def time_split(df: DataFrame, ts: str, train_end: str, valid_end: str, group: st
 
 def holdout_split(df: DataFrame, ratio: float, ts: str | None, key: str, seed: int = 42) -> DataFrame:
     """Adds split: the last share of rows by time (rows without a time last), or by seeded hash, is test."""
-    order = [F.col(ts).asc_nulls_last(), F.col(key)] if ts else [F.xxhash64(F.lit(seed), key), F.col(key)]
+    order = [F.col(ts).asc_nulls_last(), F.col(key)] if ts else [shuffled(seed, key), F.col(key)]
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     d = numbered(df, *order).crossJoin(F.broadcast(n))
     return d.withColumn("split", F.when(F.col("pos") > F.col("_n") - F.floor(F.col("_n") * F.lit(ratio)), "test").otherwise("train")).drop("pos", "_n")
@@ -44,10 +68,10 @@ def holdout_split(df: DataFrame, ratio: float, ts: str | None, key: str, seed: i
 def entity_split(df: DataFrame, entity: str, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """(entity, n, split): entities in order of their number of rows, by position (i + 0.5) / n; so the
     smallest are in train and the largest in test, as the plain rule has it."""
-    n = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("n", entity)
-    r = (F.row_number().over(w) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    return n.withColumn("_r", r).withColumn("split", F.when(F.col("_r") < train, "train").when(F.col("_r") < train + valid, "val").otherwise("test")).drop("_r")
+    n = numbered(df.groupBy(entity).agg(F.count(F.lit(1)).alias("n")), F.col("n"), F.col(entity), name="_pos")
+    n = n.crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("_all"))))
+    n = n.select(entity, "n", ((F.col("_pos") - 0.5) / F.col("_all")).alias("_r"))
+    return n.withColumn("split", F.when(F.col("_r") < train, "train").when(F.col("_r") < train + valid, "val").otherwise("test")).drop("_r")
 
 
 def review_windows(df: DataFrame, configs=((30, 15), (50, 25), (20, 10)), entity: str = "source", ts: str = "ts", key: str = "doc_id", whole: bool = True) -> DataFrame:
@@ -90,18 +114,21 @@ def assign_round_robin(df: DataFrame, key: str, n: int, cap: int | None = None)
 
 def assign_targets(df: DataFrame, key: str, targets: DataFrame, seed: int = 42) -> DataFrame:
     """Adds grp from targets (grp, cnt): rows in seeded order fill the groups in order; the rest go to the first."""
-    d = numbered(df, F.xxhash64(F.lit(seed), key), F.col(key))
-    w = Window.orderBy("grp")
-    ranges = targets.select("grp", F.sum("cnt").over(w).alias("_hi"), (F.sum("cnt").over(w) - F.col("cnt")).alias("_lo"))
+    d = numbered(df, shuffled(seed, key), F.col(key))
+    hi = cumulated(targets.where("cnt > 0"), "cnt", F.col("grp"), name="_hi")
     first = targets.agg(F.min("grp").alias("_first"))
-    out = d.join(F.broadcast(ranges), (F.col("pos") > F.col("_lo")) & (F.col("pos") <= F.col("_hi")), "left").crossJoin(F.broadcast(first))
+    # Both sides are cut into stretches of positions, so a row meets the few groups of its stretch only.
+    wide = 1024
+    ranges = hi.select("grp", "_hi", (F.col("_hi") - F.col("cnt")).alias("_lo")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / wide), F.floor((F.col("_hi") - 1) / wide))))
+    d = d.withColumn("_b", F.floor((F.col("pos") - 1) / wide))
+    out = d.join(ranges, (d["_b"] == ranges["_b"]) & (F.col("pos") > F.col("_lo")) & (F.col("pos") <= F.col("_hi")), "left").drop("_b").crossJoin(F.broadcast(first))
     return out.withColumn("grp", F.coalesce("grp", "_first")).drop("_lo", "_hi", "_first", "pos")
 
 
 def power_law_targets(groups: DataFrame, total: int, lo: int, hi: int, hot: dict[int, int], alpha: float, seed: int = 42) -> DataFrame:
     """(grp, cnt): hot groups as given, the others lo + (hi - lo) * u^alpha, scaled to what is left of total."""
     given = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]) if hot else F.create_map().cast("map<int,int>")
-    raw = groups.select(F.col("grp"), F.try_element_at(given, F.col("grp")).alias("h"), (lo + (hi - lo) * F.pow(draw(seed, "grp"), F.lit(alpha))).alias("r"))
+    raw = groups.select(F.col("grp"), F.try_element_at(given, F.col("grp")).alias("h"), (lo + (hi - lo) * F.pow(uniform(seed, "grp"), F.lit(alpha))).alias("r"))
     rest = F.sum(F.when(F.col("h").isNull(), F.col("r"))).over(Window.partitionBy(F.lit(0)))
     left = max(0, total - sum(hot.values()))
     return raw.select("grp", F.coalesce("h", F.greatest(F.lit(1), F.floor(F.col("r") * left / rest))).cast("long").alias("cnt"))
@@ -114,13 +141,13 @@ def default_groups(n: Column) -> Column:
 
 def sample_groups(df: DataFrame, key: str, n: int, m: int, seed: int = 42) -> DataFrame:
     """n * m rows in seeded order, dealt in blocks of m: adds block 1..n. The sample's size is given."""
-    top = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(n * m)
+    top = df.withColumn("_h", shuffled(seed, key)).orderBy("_h", key).limit(n * m)
     return top.withColumn("block", F.floor((F.row_number().over(Window.orderBy("_h", key)) - 1) / m) + 1).drop("_h")
 
 
 def synthetic_member(id_: Column, day: Column, seed: int = 42) -> tuple[Column, Column]:
     """(member 1..10000, a day within the year before `day`)."""
-    return F.pmod(id_, F.lit(10000)) + 1, F.date_sub(day, F.floor(draw(seed, id_) * 365).cast("int"))
+    return F.pmod(id_, F.lit(10000)) + 1, F.date_sub(day, F.floor(uniform(seed, id_) * 365).cast("int"))
 
 
 def zipf_scenario(ranked: DataFrame, n: int, alpha: float = 1.0, seed: int = 42) -> DataFrame:
@@ -128,12 +155,11 @@ def zipf_scenario(ranked: DataFrame, n: int, alpha: float = 1.0, seed: int = 42)
 
     The table of entities is cut into buckets of cumulative weight, so a draw meets one bucket's entities only."""
     spark, buckets = ranked.sparkSession, 1024
-    w = (1 / F.pow("rank", F.lit(alpha))).alias("w")
-    t = ranked.select("entity", "rank", w)
-    hi = F.sum("w").over(Window.orderBy("rank", "entity")) / F.sum("w").over(Window.partitionBy(F.lit(0)))
-    t = t.withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank", "entity")), F.lit(0.0)))
+    t = cumulated(ranked.select("entity", "rank", (1 / F.pow("rank", F.lit(alpha))).alias("w")), "w", F.col("rank"), F.col("entity"), name="hi")
+    t = t.crossJoin(F.broadcast(t.agg(F.max("hi").alias("_all"))))
+    t = t.select("entity", ((F.col("hi") - F.col("w")) / F.col("_all")).alias("lo"), (F.col("hi") / F.col("_all")).alias("hi"))
     t = t.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1)))))
-    d = spark.range(n).select(F.col("id").alias("i"), draw(seed, "id").alias("u")).withColumn("b", F.floor(F.col("u") * buckets))
+    d = spark.range(n).select(F.col("id").alias("i"), uniform(seed, "id").alias("u")).withColumn("b", F.floor(F.col("u") * buckets))
     return d.join(t, "b").where("u >= lo AND u < hi").select("i", "entity")
 
 
@@ -162,37 +188,55 @@ def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user
     items = numbered(df.where(F.col(item).isNotNull()).groupBy(item).agg(*[F.min(a).alias(a) for a in attributes]), F.col(item), name="_place")
     size = items.agg(F.count(F.lit(1)).alias("_items"))
     positives = df.where("label = 1").select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct()
-    rows = df.where("label = 1").withColumn("_row", F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() != "map"]))
+    scratch = Scratch(df.sparkSession, "negatives")
+    whole = scratch.put(_ordinals(df.where("label = 1")), "positives")
+    rows = whole.select("_row", user)
     rest = [c for c in df.columns if c not in (item, *attributes, "signal", "label", "weight")]
 
     def picked(rows: DataFrame, want, margin: int, salt: int) -> DataFrame:
         tries = rows.crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(margin))))
-        tries = tries.withColumn("_place", F.floor(draw(seed + salt, "_row", "_try") * F.col("_items")) + 1).drop(item, *attributes)
-        found = tries.join(items, "_place").join(positives, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
-        once = found.groupBy("_row", item).agg(F.min("_try").alias("_try"), *[F.first(c).alias(c) for c in (*rest, *attributes)])
-        return once.withColumn("_rn", F.row_number().over(Window.partitionBy("_row").orderBy("_try"))).where(F.col("_rn") <= want)
+        tries = tries.withColumn("_place", F.floor(draw(seed + salt, "_row", "_try") * F.col("_items")) + 1)
+        found = tries.join(items.select("_place", item), "_place").join(positives, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
+        once = found.groupBy("_row", item).agg(F.min("_try").alias("_try"), F.first(user).alias(user))
+        return scratch.put(once.withColumn("_rn", F.row_number().over(Window.partitionBy("_row").orderBy("_try"))).where(F.col("_rn") <= want), f"picked{salt}")
 
     first = picked(rows, k, 2 * k + 4, 0)
     short = rows.join(first.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
     again = picked(short, k, 16 * k + 64, 1)
-    scarce = short.join(again.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n", item, *attributes).dropDuplicates(["_row"])
+    scarce = short.join(again.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
     exact = _from_pools(scarce, "_row", k, items, positives, user, item, seed + 2)
-    got = first.join(short.select("_row").distinct(), "_row", "left_anti").unionByName(again.join(scarce.select("_row"), "_row", "left_anti"))
-    got = got.select("_row", *rest, item, *attributes).unionByName(exact.select("_row", *rest, item, *attributes))
-    negatives = got.select(*rest, item, *attributes, F.lit("NO_FEEDBACK").alias("signal"), F.lit(0).alias("label"), F.lit(1.0).alias("weight"))
+    got = first.join(short.select("_row"), "_row", "left_anti").unionByName(again.join(scarce.select("_row"), "_row", "left_anti"))
+    got = got.select("_row", item).unionByName(exact.select("_row", item))
+    # The columns of the row and of the item come last, so that draws are narrow.
+    made = got.join(whole.select("_row", *rest), "_row").join(items.drop("_place"), item)
+    negatives = made.select(*rest, item, *attributes, F.lit("NO_FEEDBACK").alias("signal"), F.lit(0).alias("label"), F.lit(1.0).alias("weight"))
     return df.unionByName(negatives)
 
 
+def _ordinals(df: DataFrame) -> DataFrame:
+    """df with _row, a number from its columns and, of equal rows, from their number, so that each has draws
+    of its own. Equal rows are counted and written out again, so none needs a window over a hot group."""
+    maps = [c for c in df.columns if df.schema[c].dataType.typeName() == "map"]
+    keys = [c for c in df.columns if c not in maps]
+    runs = df.groupBy(*keys, *[F.to_json(c).alias(f"_{c}") for c in maps]).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in maps])
+    long = F.floor((F.col("_n") - 1) / 4096)
+    parts = runs.where("_n <= 4096").withColumn("_part", F.lit(0).cast("long")).unionByName(runs.where("_n > 4096").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), long))).repartition("_part", *keys))
+    nth = F.explode(F.sequence(F.col("_part") * 4096 + 1, F.least(F.col("_n"), (F.col("_part") + 1) * 4096)))
+    return parts.withColumn("_nth", nth).withColumn("_row", F.xxhash64(*[F.col(c) for c in keys], *[F.col(f"_{c}") for c in maps], "_nth")).select("_row", *df.columns)
+
+
 def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, top_k: int = 1000, group: str = "grp", user: str = "user", item: str = "item", seed: int = 42) -> DataFrame:
     """(group, user, item, label): one positive of each group and num_neg items its user has no positive
     row with, num_popular of them from the top_k most popular, the rest from all; a group whose user
     has fewer than num_neg such items is left out. Places are drawn with a margin; groups that come out
     short take from their user's exact pool, as in add_negatives."""
-    positives = df.where("label = 1")
+    scratch = Scratch(df.sparkSession, "lists")
+    positives = df.where("label = 1").select(group, user, item)
     pick = positives.withColumn("_d", F.xxhash64(F.lit(seed), group, item)).groupBy(group).agg(F.min_by(F.struct(user, item), F.struct("_d", item)).alias("p")).select(group, F.col(f"p.{user}").alias(user), F.col(f"p.{item}").alias(item))
-    held = positives.select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct()
-    counts = df.groupBy(item).agg(F.sum("label").alias("_c"))
-    popular = counts.where("_c > 0").orderBy(F.desc("_c"), item).limit(top_k).select(item, F.row_number().over(Window.orderBy(F.desc("_c"), item)).alias("_place"))
+    pick = scratch.put(pick, "picked")
+    held = scratch.put(positives.select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct(), "held")
+    counts = scratch.put(df.groupBy(item).agg(F.sum("label").alias("_c")), "counts")
+    popular = scratch.put(counts.where("_c > 0").orderBy(F.desc("_c"), item).limit(top_k).select(item, F.row_number().over(Window.orderBy(F.desc("_c"), item)).alias("_place")), "popular")
     everything = numbered(counts.select(item), F.col(item), name="_place")
 
     def drawn(pool: DataFrame, n: int, salt: int) -> DataFrame:
@@ -200,10 +244,10 @@ def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, t
         tries = pick.select(group, user).crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(3 * n + 20))))
         tries = tries.withColumn("_place", F.floor(draw(seed + salt, group, "_try") * F.col("_n")) + 1)
         found = tries.join(pool, "_place").join(held, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
-        once = found.groupBy(group, user, item).agg(F.min("_try").alias("_try"))
-        enough = once.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(group)
+        once = scratch.put(found.groupBy(group, user, item).agg(F.min("_try").alias("_try")), f"drawn{salt}")
+        enough = scratch.put(once.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(group), f"enough{salt}")
         exact = _from_pools(pick.select(group, user).join(enough, group, "left_anti"), group, n, pool, held, user, item, seed + salt)
-        return once.join(enough, group, "left_semi").unionByName(exact.select(group, user, item, "_try"))
+        return scratch.put(once.join(enough, group, "left_semi").unionByName(exact.select(group, user, item, "_try")), f"pool{salt}")
 
     a = drawn(popular, num_popular, 1).withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy("_try"))).where(F.col("_rn") <= num_popular)
     b = drawn(everything, num_neg, 2).join(a.select(group, item), [group, item], "left_anti")

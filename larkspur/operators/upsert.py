@@ -11,9 +11,9 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, version: str = "versio
 
     A new key is inserted with version 1; a known one is updated to its version + 1 if the expected
     version is null or equal, else skipped. Existence is tested before writing. Of several changes of a
-    key the last by `expected` counts."""
+    key the last by `expected` counts, of equal ones the first by the other columns."""
     cols = [c for c in base.columns if c not in (key, version)]
-    w = Window.partitionBy(key).orderBy(F.col(expected).desc_nulls_last())
+    w = Window.partitionBy(key).orderBy(F.col(expected).desc_nulls_last(), *cols)
     c = changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(key, F.col(expected).alias("_e"), *[F.col(x).alias(f"_{x}") for x in cols], F.lit(True).alias("_c"))
     j = base.withColumn("_b", F.lit(True)).join(c, key, "full")
     action = F.when(F.col("_c").isNull(), "kept").when(F.col("_b").isNull(), "inserted").when(F.col("_e").isNull() | (F.col("_e") == F.col(version)), "updated").otherwise("skipped")

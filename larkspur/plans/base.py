@@ -12,10 +12,14 @@ POSITIVE = {"service": (("tion", "station", "thtion"), ("ention",)), "price": ((
 HINTS = {"price": ("nd the", "ieu"), "service": ("tion", "ung"), "food": ("ou", "ci")}
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    # Adaptive execution may coalesce the sides of a union differently; with this setting Spark 4.1 would
-    # still treat the union as partitioned and fail to zip its sides.
+def prepare(spark) -> None:
+    """The one setting that these plans need: adaptive execution may coalesce the sides of a union
+    differently, and with union partitioning on, Spark 4.1 would still fail to zip its sides."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

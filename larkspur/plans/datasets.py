@@ -9,12 +9,13 @@ from ..functions import jsonx as J
 from ..functions import rules as R
 from ..operators import datasets as D
 from .base import HINTS, sql_any, table
+from .phrases import _SENT, _norm
 
 
 def answers(spark, d):
     """(id, raw): JSON of each turn, every 5th with a fault of its kind, every 7th cut off."""
     c = table(spark, d, "conversations")
-    t = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^A-Za-z ]", "")
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
     cell = lambda extra="": F.concat(F.lit('{"summary":"'), t, F.lit('","bullets":["a","b"],"evidence":[0,1]' + extra + "}"))
     good = F.concat(F.lit('{"service":'), cell(), F.lit(',"price":'), cell(), F.lit(',"food":'), cell(), F.lit(',"overall_summary":{"summary":"'), t, F.lit('"}}'))
     n = F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(35))
@@ -104,25 +105,29 @@ def event_props(spark, d):
     return e.select("event_id", F.map_keys(F.from_json("props", "map<string,string>")).alias("k")).select("event_id", F.array_join(F.array_sort("k"), ",").alias("keys"))
 
 
-_T = "regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z ]', '', 'g')"
+_T = "regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')"
 _A = f"a AS (SELECT conv_id, turn, {_T} AS t, (conv_id * 31 + turn) % 35 AS n FROM conversations)"
 _CLS = f"CASE WHEN {sql_any('x', [h.replace(' ', '') for h in HINTS['price']])} THEN 'price' WHEN {sql_any('x', [h.replace(' ', '') for h in HINTS['service']])} THEN 'service' ELSE 'food' END"
 _FB = "CASE WHEN trim(t) = '' THEN '{f}' ELSE trim(t) END"
 
+#: Length of a good answer without its texts.
+_EMPTY = len('{"service":' + '{"summary":"","bullets":["a","b"],"evidence":[0,1]},"price":' * 2 + '{"summary":"","bullets":["a","b"],"evidence":[0,1]}' + ',"overall_summary":{"summary":""}}') - len('"price":') + len('"food":')
+_LEN = f"l AS (SELECT *, length(t) * 4 + {_EMPTY} AS good, CASE WHEN n % 7 = 6 THEN 40 WHEN n % 5 = 1 THEN length(t) * 4 + {_EMPTY} + 1 WHEN n % 5 = 2 THEN length(t) * 4 + {_EMPTY} - 2 WHEN n % 5 = 3 THEN length(t) * 4 + {_EMPTY} + 12 ELSE length(t) * 4 + {_EMPTY} END AS raw FROM a)"
+
 QUERIES = {
     "relaxed_json": (relaxed, f"WITH {_A} SELECT conv_id, turn, CASE WHEN n % 7 < 6 THEN t END AS price, CASE WHEN n % 7 < 6 THEN 2 END AS bullets FROM a"),
     "repaired_summaries": (repaired, f"WITH {_A} SELECT conv_id, turn, '{{\"summary\":\"' || substr(trim(t), 1, 10) || '\",\"bullets\":[\"a\"],\"evidence\":[0]}}' AS food FROM a"),
     "postprocessed_summaries": (postprocessed, f"WITH {_A} SELECT conv_id, turn, {_FB.format(f='Few mentions.')} AS service, 1 AS price_bullets, 2 AS food_evidence FROM a"),
     "summaries_without_evidence": (stripped, f"WITH {_A} SELECT conv_id, turn, '{{\"summary\":\"' || t || '\",\"bullets\":[\"a\",\"b\"]}}' AS price FROM a"),
-    "quality_reasons": (quality, f"WITH {_A}, r AS (SELECT CASE WHEN n % 7 = 6 OR n % 5 > 0 THEN 'not_dict' WHEN length(t) * 4 + 6 < 50 THEN 'too_short' WHEN contains(t, 'the of') THEN 'forbidden:the of' ELSE 'ok' END AS reason FROM a) SELECT reason, count(*) AS rows FROM r GROUP BY reason"),
-    "structure_report": (structure, None),
-    "label_counters": (labelled, None),
+    "quality_reasons": (quality, f"WITH {_A}, r AS (SELECT CASE WHEN n % 7 = 6 OR n % 5 > 0 THEN 'not_dict' WHEN length(t) * 4 + 6 < 50 THEN 'too_short' WHEN length(t) * 4 + 6 > 8000 THEN 'too_long' WHEN contains(t, 'the of') THEN 'forbidden:the of' ELSE 'ok' END AS reason FROM a) SELECT reason, count(*) AS rows FROM r GROUP BY reason"),
+    "structure_report": (structure, f"WITH {_A}, {_LEN} SELECT count(*) AS rows, round(avg((n % 7 < 6 AND n % 5 = 0)::INT), 6) AS parse_rate, round(avg((n % 7 < 6 AND n % 5 = 0)::INT), 6) AS schema_rate, 1.0::DOUBLE AS schema_rate_parsed, round(avg(raw / good), 6) AS length_ratio FROM l"),
+    "label_counters": (labelled, f"WITH {_A}, r AS (SELECT CASE WHEN n % 7 = 6 THEN 'not_dict' WHEN length(t) * 4 + 6 < 50 THEN 'too_short' WHEN length(t) * 4 + 6 > 8000 THEN 'too_long' ELSE 'ok' END AS reason FROM a) SELECT reason, count(*) AS rows FROM r GROUP BY reason"),
     "judge_scores": (judged, "WITH j AS (SELECT conv_id, turn, length(text) AS n, greatest(1, least(5, length(text) % 8))::INT AS accuracy, greatest(1, least(5, turn % 6))::INT AS fluency FROM conversations) SELECT *, round_even((accuracy + fluency) / 2, 2)::DOUBLE AS score FROM j"),
     "category_payload": (payload, f"WITH c AS (SELECT source, doc_id, trim(text, ' ') AS t, {_CLS} AS c FROM (SELECT *, replace(text, ' ', '') AS x FROM documents WHERE trim(text, ' ') <> '')), r AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source, c ORDER BY doc_id) <= 8) SELECT source, " + ", ".join(f"count(*) FILTER (c = '{k}')::INT AS n_{k}, md5(coalesce(string_agg(t, '|' ORDER BY doc_id) FILTER (c = '{k}'), '')) AS md5_{k}" for k in J.CATEGORIES) + " FROM r GROUP BY source"),
     "schema_mapping": (mapped, "SELECT doc_id AS review_id, regexp_extract(source, '[0-9]+')::BIGINT AS restaurant_id, NULL::BIGINT AS user_id, md5(text) AS md5 FROM documents"),
     "image_urls": (images, "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN url || ' ' || url ELSE url END AS urls FROM pages"),
     "rated_reviews": (recommended, "SELECT (l_quantity::INT % 5)::VARCHAR AS Rating, l_quantity::INT % 5 > 0 AS is_recommended, count(*) AS rows FROM lineitem WHERE l_quantity::INT % 5 < 3 GROUP BY ALL"),
     "visit_dates": (visits, "SELECT event_id, strftime(coalesce(try_strptime(strftime(ts, '%Y-%m-') || lpad((event_id % 33)::VARCHAR, 2, '0'), '%Y-%m-%d'), TIMESTAMP '2025-01-01'), '%Y-%m-%d') AS day, user_id AS place FROM events"),
-    "preprocessed_reviews": (preprocessed, None),
+    "preprocessed_reviews": (preprocessed, f"WITH {_norm()} SELECT doc_id, len({_SENT})::INT AS n FROM nt WHERE text <> ''"),
     "event_props": (event_props, "SELECT event_id, array_to_string(list_sort(json_keys(props::JSON)), ',') AS keys FROM events"),
 }

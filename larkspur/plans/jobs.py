@@ -3,13 +3,12 @@ replay the events table and must give what the batch gives."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import recommend as C
+from ..operators.sampling import uniform
+from ..scratch import Scratch, new_folder
 from ..sources import readers as I
 from ..sources import writers as O
 from ..streaming import jobs as S
@@ -18,9 +17,7 @@ from .features import FIELDS, interactions
 
 
 def _scratch(spark) -> str:
-    """A new folder: in the shared one if the session names it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-larkspur-")
-    return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex[:12]}"
+    return new_folder(spark, "plans")
 
 
 def delimited(spark, d):
@@ -31,9 +28,10 @@ def delimited(spark, d):
 
 def nested_json(spark, d):
     path = _scratch(spark)
-    x = table(spark, d, "documents").select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("id"), F.struct(F.col("doc_id").alias("id"), F.col("text").alias("content")).alias("r"))
-    trees = x.groupBy("id").agg(F.collect_list("r").alias("reviews"))
-    trees.select(F.to_json(F.struct(F.array(F.struct("id", "reviews")).alias("restaurants"))).alias("value")).repartition(8, "value").write.option("maxRecordsPerFile", 1).text(path)
+    # A tree holds at most 512 reviews, so a source of any size is many files.
+    x = table(spark, d, "documents").select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("id"), F.floor(F.col("doc_id") / 512).alias("part"), F.struct(F.col("doc_id").alias("id"), F.col("text").alias("content")).alias("r"))
+    trees = x.groupBy("id", "part").agg(F.collect_list("r").alias("reviews"))
+    trees.select(F.to_json(F.struct(F.array(F.struct("id", "reviews")).alias("restaurants"))).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
     return I.read_reviews_json(spark, path).select("restaurant_id", "id", F.md5("content").alias("md5"))
 
 
@@ -69,12 +67,12 @@ def columns(spark, d):
 
 
 def flat(spark, d):
-    return O.to_flat(table(spark, d, "documents").where("doc_id % 4 > 0"), "doc_id", "source", "text").select("id", "restaurant_id")
+    return O.to_flat(table(spark, d, "documents"), "doc_id", "source", "text").select("id", "restaurant_id", F.md5("content").alias("md5"))
 
 
 def nested(spark, d):
-    n = O.to_nested(table(spark, d, "documents"), "source", "doc_id", "lang")
-    return n.select("source", F.size("reviews").alias("n"), F.md5(F.to_json("reviews")).alias("md5"))
+    n = O.to_nested(table(spark, d, "documents"), "source", "doc_id", "lang", part=F.floor(F.col("doc_id") / 1000))
+    return n.select("source", "part", F.size("reviews").alias("n"), F.md5(F.to_json("reviews")).alias("md5"))
 
 
 def flattened(spark, d):
@@ -94,14 +92,38 @@ def recommendations(spark, d):
     return O.import_recs(back, done).groupBy("pipeline_version", "dt").agg(F.count(F.lit(1)).alias("rows"), F.sum("rank").alias("ranks"))
 
 
-def fm_scores(spark, d):
-    """Preprocess, train on the train split, score the test rows."""
-    t = C.preprocess(interactions(spark, d).where("item % 4 = 0").drop("flag"), FIELDS, "1997-01-01", "1998-01-01", 1)
+#: Rows that the factorisation machine is trained on, at most about so many, by a hash of the row.
+TRAIN_ROWS = 50_000
+
+
+def _model(spark, d):
+    """(tables, model, indices, numbers): preprocessing of all interactions, and a model trained on a bounded
+    sample of the train rows."""
+    t = C.preprocess(interactions(spark, d).drop("flag"), FIELDS, "1997-01-01", "1998-01-01", 1)
     idx = [f"{f}_idx" for f in FIELDS]
     numbers = ["popularity", "signal_count", "avg_weight", "user_category_count", "price_diff"]
-    rows = t["features"].select("split", "user", "item", "label", "weight", *idx, *numbers)
-    model = C.train_fm(rows.where("split = 'train'"), idx, numbers, weight="weight", max_iter=8)
-    return C.score(model, rows.where("split = 'test'")).select("user", "item", "label", "score")
+    t["features"] = Scratch(spark, "features").put(t["features"], "rows")
+    train = t["features"].where("split = 'train'")
+    share = min(1.0, TRAIN_ROWS / max(1, train.count()))
+    chosen = train.where(uniform(7, "user", "item", "ord", "line") < share).select("split", "user", "item", "label", "weight", *idx, *numbers)
+    return t, C.train_fm(chosen, idx, numbers, weight="weight", max_iter=8), idx, numbers
+
+
+def fm_scores(spark, d):
+    """Preprocess, train on a bounded sample of the train split, score every test row."""
+    t, model, idx, numbers = _model(spark, d)
+    rows = t["features"].where("split = 'test'").select("user", "item", "label", *idx, *numbers)
+    return C.score(model, rows).select("user", "item", "label", "score")
+
+
+def batch_recommendations(spark, d):
+    """Ranked lists of 20 for the users of the test rows, written by version and day and read back."""
+    t, model, idx, numbers = _model(spark, d)
+    rows = t["features"].where("split = 'test'").select(F.col("user").cast("string").alias("member"), F.lit(None).cast("string").alias("anonymous"), F.col("item").cast("string").alias("restaurant"), *idx, *numbers)
+    recs = C.batch_inference(rows, model, "v1", F.lit("2026-01-01").cast("timestamp"))
+    path = _scratch(spark)
+    O.write_recs(recs.select("user_key", "restaurant", "score", "rank", "pipeline_version", "dt"), path)
+    return spark.read.schema("user_key string, restaurant long, score double, rank int, pipeline_version string, dt string").json(path)
 
 
 def sentiment_scores(spark, d):
@@ -192,14 +214,15 @@ QUERIES = {
     "read_delimited": (delimited, "SELECT md5(trim(regexp_replace(text, '[\\t\\r]', ' ', 'g'), ' ')) AS md5 FROM documents WHERE trim(text, ' ') <> ''"),
     "read_nested_json": (nested_json, "SELECT regexp_extract(source, '[0-9]+')::BIGINT AS restaurant_id, doc_id AS id, md5(text) AS md5 FROM documents"),
     "read_raw_partitions": (raw_partitions, "SELECT day(o_orderdate)::VARCHAR AS dt, o_orderstatus AS event_name, count(*) AS n FROM orders WHERE day(o_orderdate) <= 20 GROUP BY ALL"),
-    "text_blocks": (blocks, None),
-    "page_reviews": (page_reviews, None),
+    "text_blocks": (blocks, r"WITH t AS (SELECT conv_id, string_agg(text, E'\n \n' ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, len(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda b: trim(regexp_replace(b, '\s*\n\s*', ' ', 'g'), ' ')), lambda b: b <> ''))::INT AS n FROM t"),
+    "page_reviews": (page_reviews, r"SELECT page_id, len(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '<p>', E'\nBEGIN\n', 'g'), '<br>|</p>', E'\nEND 1\n', 'g'), '(?sm)^BEGIN\s*$(.*?)^END \d\s*$', 1), lambda x: trim(regexp_replace(x, '\s*\n\s*', ' ', 'g'), ' ')), lambda x: x <> ''))::INT AS reviews FROM pages"),
     "normalized_columns": (columns, "SELECT event_id::VARCHAR AS event_id, user_id + 1 AS user_id, event_type FROM events"),
-    "flat_export": (flat, "SELECT row_number() OVER (ORDER BY doc_id) AS id, source AS restaurant_id FROM documents WHERE doc_id % 4 > 0 AND length(trim(text)) > 0"),
-    "nested_export": (nested, "SELECT source, count(*)::INT AS n, md5('[' || string_agg('{\"doc_id\":' || doc_id::VARCHAR || ',\"lang\":\"' || lang || '\"}', ',' ORDER BY doc_id) || ']') AS md5 FROM documents GROUP BY source"),
+    "flat_export": (flat, "SELECT row_number() OVER (ORDER BY doc_id) AS id, source AS restaurant_id, md5(text) AS md5 FROM documents WHERE length(trim(text)) > 0"),
+    "nested_export": (nested, "SELECT source, doc_id // 1000 AS part, count(*)::INT AS n, md5('[' || string_agg('{\"doc_id\":' || doc_id::VARCHAR || ',\"lang\":\"' || lang || '\"}', ',' ORDER BY doc_id) || ']') AS md5 FROM documents GROUP BY ALL"),
     "flattened_results": (flattened, "SELECT doc_id, 'sentiment' AS analysis_type, '{\"quality\":' || quality::VARCHAR || '}' AS result_payload FROM labels UNION ALL SELECT doc_id, 'safety', '{\"toxic\":1}' FROM labels WHERE toxic = 1"),
     "imported_recommendations": (recommendations, f"WITH {_CAND} SELECT 'v1' AS pipeline_version, '2026-01-0' || (restaurant % 4 + 1)::VARCHAR AS dt, count(*) AS rows, sum(rank)::BIGINT AS ranks FROM f WHERE restaurant % 4 <> 1 GROUP BY ALL"),
     "fm_scores": (fm_scores, None),
+    "batch_recommendations": (batch_recommendations, None),
     "sentiment_scores": (sentiment_scores, None),
     "stream_dedupe": (stream_dedupe, "SELECT event_id, event_type FROM events"),
     "stream_event_counts": (stream_counts, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),

@@ -154,7 +154,8 @@ def best_run(spark, d):
 def aspects(spark, d, salt):
     """Aspects of each source: the events of its users, ranked by count."""
     p = table(spark, d, "documents").select(F.col("source").alias("entity"), F.concat(F.lit("Aspect  "), F.pmod(F.col("doc_id") * salt, F.lit(13)).cast("string")).alias("aspect"), "doc_id")
-    g = p.groupBy("entity", "aspect").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("doc_id")), 1, 20).alias("evidence"))
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("entity", "aspect").orderBy("doc_id")))
+    g = p.groupBy("entity", "aspect").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= 20, F.col("doc_id")))).alias("evidence"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "aspect"))).where("rank <= 8")
 
 

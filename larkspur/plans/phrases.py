@@ -124,6 +124,42 @@ def clipped_sentences(spark, d):
     return docs(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), T.fit_items([F.col("s")], 200).cast("int").alias("k"), F.md5(F.array_join("s", "|")).alias("md5"))
 
 
+def _norm() -> str:
+    """CTE nt (doc_id, text) of the normalised texts: characters by place, their runs, then trimmed words."""
+    return r"""kp AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\s\x0B\x{85}\p{Z}.,!?]', '', 'g') AS k FROM documents),
+ch AS (SELECT doc_id, unnest(regexp_extract_all(k, '(?s).')) AS c, generate_subscripts(regexp_extract_all(k, '(?s).'), 1) AS i FROM kp),
+gr AS (SELECT doc_id, c, i, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch),
+ru AS (SELECT doc_id, c, min(i) AS i, count(*) AS n FROM gr GROUP BY doc_id, c, g),
+jn AS (SELECT doc_id, string_agg(CASE WHEN n >= 3 THEN c ELSE repeat(c, n::INT) END, '' ORDER BY i) AS t FROM ru GROUP BY doc_id),
+nt AS (SELECT doc_id, trim(regexp_replace(coalesce(t, ''), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ') AS text FROM kp LEFT JOIN jn USING (doc_id))"""
+
+
+def seeded(seed, *columns: str) -> str:
+    """SQL of operators.sampling.shuffled."""
+    return f"md5('{seed}' || " + " || ".join(f"':' || coalesce(({c})::VARCHAR, '')" for c in columns) + ")"
+
+
+def unit(seed, *columns: str) -> str:
+    """SQL of operators.sampling.uniform."""
+    return f"((('0x' || substr({seeded(seed, *columns)}, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def _seeds(by: str = "") -> str:
+    """CTE sd (*by, category, phrase, cnt, pos): the drawn seeds, reversed pairs merged."""
+    k = f"{by}, " if by else ""
+    top = TOP_BY if by else TOP
+    key = f"CASE WHEN part = 'mid' THEN -ln({unit(42, 'phrase')}) / ln(cnt + 1.0::DOUBLE) ELSE {unit(42, 'phrase')} END"
+    return f"""{sql_bigrams(by)}, tp AS ({top}), cl AS (SELECT {k}phrase, cnt, unnest({_classes()}) AS category FROM tp),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {k}category ORDER BY cnt DESC, phrase) AS pos, count(*) OVER (PARTITION BY {k}category) AS n FROM cl),
+hd AS (SELECT *, greatest(10, least(floor(n * 0.02), n)) AS h FROM rk), pt AS (SELECT *, CASE WHEN pos <= h THEN 'head' WHEN pos <= greatest(h, least(floor(n * 0.2), n)) THEN 'mid' ELSE 'tail' END AS part FROM hd),
+dr AS (SELECT *, row_number() OVER (PARTITION BY {k}category, part ORDER BY {key}, phrase) AS rn FROM pt),
+pk AS (SELECT *, list_sort(string_split(phrase, ' ')) AS pair FROM dr WHERE part = 'head' OR part = 'mid' AND rn <= 5 OR part = 'tail' AND rn <= 1),
+sd AS (SELECT {k}category, arg_min(phrase, pos) AS phrase, sum(cnt)::BIGINT AS cnt, min(pos) AS pos FROM pk GROUP BY {k}category, pair)"""
+
+
+SEEDS = _seeds()
+
+
 def _hint(h):
     return sql_any("replace(text, ' ', '')", [x.replace(" ", "") for x in h])
 
@@ -162,14 +198,14 @@ QUERIES = {
     "positive_lift": (positive_lift, f"{_COMPARE} SELECT source, 'lift_service' AS category, lift_service AS lift FROM cmp WHERE lift_service > 0 UNION ALL SELECT source, 'lift_price', lift_price FROM cmp WHERE lift_price > 0"),
     "lift_texts": (lift_texts, f"{_COMPARE} SELECT source, CASE WHEN lift_service > 0 THEN 'service is ' || lift_service::VARCHAR || '% higher than average' WHEN lift_service < 0 THEN 'service is ' || abs(lift_service)::VARCHAR || '% lower than average' ELSE 'service is close to average' END AS text, CASE WHEN all_service > 0 THEN round_even(service_ratio / all_service, 2) END AS times FROM cmp"),
     "phrase_split": (phrase_split, _SPLIT),
-    "recall_seeds": (recall_seeds, None),
-    "source_seeds": (source_seeds, None),
+    "recall_seeds": (recall_seeds, f"WITH {SEEDS} SELECT category, phrase, cnt, pos FROM sd"),
+    "source_seeds": (source_seeds, f"WITH {_seeds('source')} SELECT source, category, phrase, cnt, pos FROM sd"),
     "merged_phrases": (merged_phrases, f"WITH {sql_bigrams()}, t AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, phrase) AS pos FROM g QUALIFY pos <= 2000), s AS (SELECT *, list_sort(string_split(phrase, ' ')) AS pair FROM t) SELECT arg_min(phrase, pos) AS phrase, sum(cnt)::BIGINT AS cnt, min(pos) AS pos FROM s GROUP BY pair"),
     "phrase_tests": (phrase_tests, f"WITH {sql_bigrams()}, t AS ({TOP}) SELECT phrase, array_to_string({_classes()}, ',') AS classes, {sql_positive('service')} AS service_positive, {sql_positive('price')} AS price_positive FROM t"),
     "text_measures": (text_measures, f"""SELECT doc_id, len({sql_tokens()})::INT AS n_tokens, len({_SENT})::INT AS n_sentences,
 CASE WHEN {_hint(HINTS['price'])} THEN 'price' WHEN {_hint(HINTS['service'])} THEN 'service' WHEN {_hint(HINTS['food'])} THEN 'food' ELSE 'food' END AS review_class, {_hint(HINTS['price'])} AS price_signal,
 floor(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) * 1.3::DOUBLE)::BIGINT AS est_words, ((length(text) + 1) // 2)::BIGINT AS est_chars, md5(trim(regexp_replace(text, '{_WS}+', ' ', 'g'), ' ')) AS squeezed_md5 FROM documents"""),
-    "normalized_text": (normalized_text, None),
+    "normalized_text": (normalized_text, f"WITH {_norm()} SELECT doc_id, text FROM nt"),
     "clipped_sentences": (clipped_sentences, f"""WITH s AS (SELECT doc_id, ({_SENT})[1:8] AS s FROM documents), n AS (SELECT doc_id, s, list_filter([1,2,3,4,5,6,7,8], lambda k: (list_sum(list_transform(s[1:k], lambda x: length(x))) + 1) // 2 <= 200) AS ok FROM s)
 SELECT doc_id, len(s)::INT AS n, coalesce(list_max(ok), 1)::INT AS k, md5(array_to_string(s, '|')) AS md5 FROM n"""),
 }

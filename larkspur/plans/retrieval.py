@@ -9,6 +9,7 @@ from ..operators import phrases as P
 from ..operators import retrieval as Q
 from ..operators import upsert as U
 from .base import KEYWORDS, sql_any, sql_tokens, table
+from .phrases import SEEDS, seeded
 from .sampling import SQL_R, reviews
 
 
@@ -38,8 +39,9 @@ def points(spark, d):
 
 
 def _embedded(spark, d):
-    docs = Q.embed(table(spark, d, "documents")).select(F.col("doc_id").alias("doc"), "vector")
-    return Q.embed(queries_text(spark, d)), docs
+    """Texts with their stored vectors: queries from benchmark, documents by id."""
+    v = vectors(spark, d).drop("label")
+    return queries_text(spark, d).join(v.withColumnRenamed("doc", "query"), "query"), v
 
 
 def hybrid(spark, d):
@@ -47,6 +49,21 @@ def hybrid(spark, d):
     return Q.hybrid_topk(q, docs, postings(spark, d), 20)
 
 
+def filtered(spark, d):
+    """Dense search among the vectors of the query's own label."""
+    v = vectors(spark, d)
+    return Q.dense_topk(v.where("doc % 20 = 0").select(F.col("doc").alias("query"), "vector", "label"), v, 5, by=("label",))
+
+
+def filtered_hybrid(spark, d):
+    """Hybrid search among the documents of one language."""
+    q, docs = _embedded(spark, d)
+    x = table(spark, d, "documents")
+    lang = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (F.pmod("query", F.lit(3)) + 1).cast("int")).alias("lang")
+    index = Q.bm25_index(x.where("lang is not null"), by=("lang",))
+    return Q.hybrid_topk(q.select("*", lang), docs.join(x.select(F.col("doc_id").alias("doc"), "lang"), "doc"), index, 10, by=("lang",))
+
+
 def cascade(spark, d):
     """Category retrieval: each query's class decides the keywords."""
     q, docs = _embedded(spark, d)
@@ -59,7 +76,7 @@ def cascade(spark, d):
 
 def evidence(spark, d):
     h = sparse(spark, d)
-    rows = h.select((F.col("query") % 5).alias("entity"), F.when(F.col("query") % 2 == 0, "food").otherwise("price").alias("category"), F.col("query").alias("bullet"), "doc", "score", "rank")
+    rows = h.select(F.floor(F.col("query") / 8).alias("entity"), F.when(F.col("query") % 2 == 0, "food").otherwise("price").alias("category"), F.col("query").alias("bullet"), "doc", "score", "rank")
     return Q.map_evidence(rows)
 
 
@@ -174,23 +191,62 @@ sp AS (SELECT query, doc, round(score, 4) AS score, row_number() OVER (PARTITION
 _REP = "rep AS (SELECT label, i - 1 AS i, round(sum(x * w) / sum(w), 9) AS m FROM (SELECT label, CASE vec_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS w, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i)"
 _VER = "b AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderkey % 4 + 1 AS version FROM orders WHERE o_orderkey % 3 > 0), ch AS (SELECT o_orderkey AS id, 'X' AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 + 1 END AS expected FROM orders WHERE o_orderkey % 5 = 0), uj AS (SELECT coalesce(b.id, ch.id) AS id, b.status AS s0, ch.status AS s1, version, expected, CASE WHEN ch.id IS NULL THEN 'kept' WHEN b.id IS NULL THEN 'inserted' WHEN expected IS NULL OR expected = version THEN 'updated' ELSE 'skipped' END AS action FROM b FULL JOIN ch ON b.id = ch.id)"
 
+_DENSE = "dh AS (SELECT q.item_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM benchmark q JOIN embeddings a ON a.vec_id = q.item_id, embeddings b)"
+_HITS = f"""qs AS (SELECT item_id AS query, unnest(list_distinct({sql_tokens('lower(text)')})) AS term FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), hs AS (SELECT query, doc, round(sum(weight), 6) AS score FROM qs JOIN po USING (term) GROUP BY query, doc),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM hs QUALIFY rank <= 300)"""
+
+
+def _hybrid(limit: int) -> str:
+    """CTEs d2, s3, hy: dense, sparse and fused hits."""
+    return f"""{_POST}, {_DENSE}, d2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM dh WHERE score >= -1 QUALIFY rank <= 200), {_HITS}, kn AS (SELECT DISTINCT query FROM s3),
+fu AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query, doc, rank FROM d2 WHERE query IN (SELECT query FROM kn) UNION ALL SELECT query, doc, rank FROM s3) GROUP BY query, doc),
+hy AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu QUALIFY rank <= {limit} UNION ALL SELECT * FROM d2 WHERE query NOT IN (SELECT query FROM kn) AND score >= 0.2 AND rank <= {limit})"""
+
+
+def _filtered_hybrid() -> str:
+    """The same within the language of the query; document frequencies and lengths are those of all texts."""
+    ql = "CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END"
+    post = _POST.replace("FROM documents)", "FROM documents WHERE lang IS NOT NULL)")
+    return f"""WITH {post}, dl AS (SELECT doc_id AS doc, lang FROM documents),
+dh AS (SELECT {ql} AS lang, q.item_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM benchmark q JOIN embeddings a ON a.vec_id = q.item_id, embeddings b JOIN dl ON dl.doc = b.vec_id WHERE dl.lang = {ql}),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM dh QUALIFY rank <= 200),
+qs AS (SELECT {ql} AS lang, item_id AS query, unnest(list_distinct({sql_tokens('lower(text)')})) AS term FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
+hs AS (SELECT lang, query, doc, round(sum(weight), 6) AS score FROM qs JOIN po USING (term) JOIN dl USING (doc, lang) GROUP BY lang, query, doc),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM hs QUALIFY rank <= 300), kn AS (SELECT DISTINCT query FROM s3),
+fu AS (SELECT lang, query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT lang, query, doc, rank FROM d2 WHERE query IN (SELECT query FROM kn) UNION ALL SELECT lang, query, doc, rank FROM s3) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu QUALIFY rank <= 10 UNION ALL SELECT * FROM d2 WHERE query NOT IN (SELECT query FROM kn) AND score >= 0.2 AND rank <= 10"""
+
+
+def _cascade() -> str:
+    cat = "CASE query % 3 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KEYWORDS)) + " END"
+    found = "CASE query % 3 " + " ".join(f"WHEN {i} THEN {sql_any('text', w)}" for i, w in enumerate(KEYWORDS.values())) + " END"
+    ratio = lambda t: f"(SELECT query, round(avg(({found})::INT), 6) AS r FROM {t} JOIN documents ON doc = doc_id WHERE rank <= 8 AND trim(text, ' ') <> '' GROUP BY query)"
+    return f"""WITH {_hybrid(30)}, dn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM dh WHERE score >= 0 QUALIFY rank <= 50),
+ch AS (SELECT coalesce(a.query, b.query) AS query, a.n, a.top, a.fifth, b.hn, dr.r AS dr, hr.r AS hr FROM (SELECT query, count(*) AS n, max(score) AS top, max(score) FILTER (rank = 5) AS fifth FROM dn GROUP BY query) a
+FULL JOIN (SELECT query, count(*) AS hn FROM hy GROUP BY query) b USING (query) LEFT JOIN {ratio('dn')} dr USING (query) LEFT JOIN {ratio('hy')} hr USING (query)),
+pk AS (SELECT query, (coalesce(n, 0) < 3 OR coalesce(dr, 0) < 0.25 OR coalesce(top, 0) < 0.25 OR coalesce(top - fifth < 0.02, false)) AND coalesce(hn, 0) > 0 AND (coalesce(hr, 0) > coalesce(dr, 0) OR coalesce(n, 0) < 3 AND coalesce(hn, 0) >= coalesce(n, 0)) AS h FROM ch)
+SELECT query, doc, score, rank, mode FROM (SELECT *, 'dense' AS mode FROM dn UNION ALL SELECT *, 'hybrid' FROM hy) JOIN pk USING (query) WHERE (mode = 'hybrid') = h"""
+
+
 QUERIES = {
     "dense_topk": (dense, "WITH h AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score >= 0.1 QUALIFY rank <= 10"),
     "bm25_postings": (postings, f"WITH {_POST} SELECT * FROM po"),
     "sparse_topk": (sparse, f"WITH {_POST}, {_SPARSE} SELECT * FROM sp"),
     "review_points": (points, "SELECT doc_id, md5(source || ':' || doc_id::VARCHAR) AS point_id, 64 AS dim FROM documents WHERE length(trim(text)) > 0"),
-    "hybrid_topk": (hybrid, None),
-    "category_retrieval": (cascade, None),
+    "hybrid_topk": (hybrid, f"WITH {_hybrid(20)} SELECT query, doc, score, rank FROM hy"),
+    "filtered_topk": (filtered, "WITH h AS (SELECT a.label, a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h QUALIFY rank <= 5"),
+    "filtered_hybrid": (filtered_hybrid, _filtered_hybrid()),
+    "category_retrieval": (cascade, _cascade()),
     "evidence_map": (evidence, None),
-    "seed_queries": (seed_queries, None),
+    "seed_queries": (seed_queries, f"WITH {SEEDS} SELECT category, string_agg(phrase, ' ' ORDER BY pos) AS text FROM (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY category ORDER BY pos) <= 10) GROUP BY category"),
     "keyword_hits": (keyword_hits, f"WITH {_POST}, {_SPARSE} SELECT query, round(avg((CASE WHEN query % 2 = 0 THEN {sql_any('text', KEYWORDS['food'])} ELSE {sql_any('text', KEYWORDS['price'])} END)::INT), 6) AS ratio FROM sp JOIN documents ON doc = doc_id WHERE rank <= 8 AND trim(text) <> '' GROUP BY query"),
     "representative_vectors": (representatives, f"WITH {_REP} SELECT label, i, round(m, 6) AS x FROM rep"),
     "similar_entities": (similar, f"WITH {_REP}, v AS (SELECT label, list(m ORDER BY i) AS v FROM rep GROUP BY label), h AS (SELECT a.label, b.label AS other, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.label <> b.label) SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, other) AS rank FROM h QUALIFY rank <= 3"),
     "unique_strengths": (unique, "WITH v AS (SELECT vec_id % 7 AS entity, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT a.entity, a.id, max(list_cosine_similarity(a.v, b.v)) AS best FROM v a JOIN v b ON a.entity = b.entity AND b.id % 5 > 0 WHERE a.id % 5 = 0 GROUP BY ALL) SELECT entity, id FROM m WHERE best < 0.35"),
     "recent_reviews": (recent, f"WITH {SQL_R} SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY ts DESC NULLS LAST, doc_id) AS rank FROM rv QUALIFY rank <= 10"),
-    "sampled_reviews": (sample, None),
+    "sampled_reviews": (sample, f"SELECT doc_id FROM documents ORDER BY {seeded(42, 'doc_id')}, doc_id LIMIT 100"),
     "age_weights": (age_weights, f"WITH {SQL_R} SELECT doc_id, CASE WHEN ts IS NULL OR datediff('day', ts, TIMESTAMP '2025-06-01') <= 365 THEN 1.0::DOUBLE WHEN datediff('day', ts, TIMESTAMP '2025-06-01') <= 730 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS w FROM rv"),
-    "point_ids": (ids, None),
+    "point_ids": (ids, f"WITH h AS (SELECT doc_id, source, sha1(unhex('{R.URL_SPACE}') || source::BLOB) AS h FROM documents) SELECT doc_id, md5(source || ':' || doc_id::VARCHAR) AS point_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', ('0x' || h[17:17])::INT + 1, 1) || h[18:20] || '-' || h[21:32] AS uuid FROM h"),
     "upserted": (upserted, f"WITH {_VER} SELECT id, CASE WHEN action IN ('inserted', 'updated') THEN s1 ELSE s0 END AS status, CASE action WHEN 'inserted' THEN 1 WHEN 'updated' THEN version + 1 ELSE version END AS version FROM uj"),
     "upsert_report": (upsert_report, f"WITH {_VER} SELECT id, action, expected AS requested, version AS current FROM uj WHERE action <> 'kept'"),
     "deleted": (deleted, f"WITH {_VER} SELECT * FROM b WHERE id NOT IN (SELECT id FROM ch)"),

@@ -8,6 +8,7 @@ from ..operators import ranking as K
 from ..operators import sampling as S
 from .base import table
 from .features import SQL_I, interactions
+from .phrases import seeded, unit
 
 
 def reviews(spark, d):
@@ -66,7 +67,7 @@ def round_robin(spark, d):
 def power_law(spark, d):
     n = table(spark, d, "documents")
     groups = n.select((F.col("doc_id") % 50).cast("int").alias("grp")).distinct()
-    targets = S.power_law_targets(groups, 1000, 5, 60, {0: 120, 1: 80}, 2.5)
+    targets = S.power_law_targets(groups, n.count(), 5, 60, {0: 120, 1: 80}, 2.5)
     return S.assign_targets(n, "doc_id", targets).groupBy("grp").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -165,18 +166,18 @@ QUERIES = {
     "time_split": (time_split, f"WITH {SQL_I} SELECT ord, line, {_TS.format(t='ts')} FROM x"),
     "group_time_split": (group_time_split, f"WITH {SQL_I} SELECT ord, line, {_TS.format(t='max(ts) OVER (PARTITION BY user)')} FROM x"),
     "holdout_split": (holdout, f"WITH {SQL_R} SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY ts ASC NULLS LAST, doc_id) > count(*) OVER () - floor(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split FROM rv"),
-    "seeded_holdout": (seeded_holdout, None),
+    "seeded_holdout": (seeded_holdout, f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {seeded(42, 'doc_id')}, doc_id) > count(*) OVER () - floor(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split FROM documents"),
     "entity_split": (entity_split, f"WITH {_ES} SELECT * FROM es"),
     "review_windows": (review_windows, f"WITH {_WIN} SELECT * FROM wi"),
     "window_dataset": (window_dataset, f"WITH {_WIN}, {_ES} SELECT split, window_size, stride, count(*) AS samples, count(DISTINCT source) AS sources FROM wi JOIN es USING (source) GROUP BY ALL"),
     "capped_reviews": (capped, "SELECT source, doc_id FROM documents WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"),
     "trimmed_reviews": (trimmed, "WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, greatest(1, 400 // least(50, (SELECT count(DISTINCT source) FROM documents))) AS cap FROM documents) SELECT source, doc_id FROM c WHERE r <= cap ORDER BY source, doc_id LIMIT 400"),
     "round_robin": (round_robin, "SELECT doc_id, CASE WHEN p > 420 THEN 1 ELSE (p - 1) % 7 + 1 END AS grp FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents)"),
-    "power_law_groups": (power_law, None),
+    "power_law_groups": (power_law, f"WITH g AS (SELECT DISTINCT (doc_id % 50)::INT AS grp FROM documents), n AS (SELECT count(*) AS n FROM documents), r AS (SELECT grp, CASE grp WHEN 0 THEN 120 WHEN 1 THEN 80 END AS h, 5 + 55 * pow({unit(42, 'grp')}, 2.5) AS r FROM g), c AS (SELECT grp, coalesce(h, greatest(1, floor(r * greatest(0, n - 200) / sum(r) FILTER (h IS NULL) OVER ())))::BIGINT AS cnt FROM r, n), e AS (SELECT grp, cnt, sum(cnt) OVER (ORDER BY grp) AS hi FROM c), a AS (SELECT grp, greatest(0, least(hi, n) - (hi - cnt)) AS cnt FROM e, n), t AS (SELECT grp, cnt + CASE WHEN grp = 0 THEN greatest(0, n - (SELECT sum(cnt) FROM c)) ELSE 0 END AS cnt FROM a, n) SELECT grp, cnt::BIGINT AS cnt FROM t WHERE cnt > 0"),
     "default_groups": (default_groups, "SELECT lang, (CASE WHEN count(*) <= 100 THEN 1 WHEN count(*) <= 1000 THEN 10 ELSE least(100, count(*) // 10) END)::INT AS groups FROM documents GROUP BY lang"),
-    "truth_sample": (truth_sample, None),
-    "synthetic_members": (members, None),
-    "zipf_scenario": (zipf, None),
+    "truth_sample": (truth_sample, f"SELECT doc_id, (row_number() OVER (ORDER BY {seeded(42, 'doc_id')}, doc_id) - 1) // 25 + 1 AS block FROM documents QUALIFY block <= 4"),
+    "synthetic_members": (members, f"SELECT doc_id, doc_id % 10000 + 1 AS member, DATE '2026-01-01' - floor({unit(42, 'doc_id')} * 365)::INT AS day FROM documents"),
+    "zipf_scenario": (zipf, f"WITH c AS (SELECT source AS entity, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source), w AS (SELECT entity, rank, sum(1 / rank::DOUBLE) OVER (ORDER BY rank) / sum(1 / rank::DOUBLE) OVER () AS hi, coalesce(sum(1 / rank::DOUBLE) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / sum(1 / rank::DOUBLE) OVER () AS lo FROM c), u AS (SELECT {unit(42, 'i')} AS u FROM range(10000) t(i)) SELECT entity, count(*) AS requests FROM u JOIN w ON u >= lo AND u < hi GROUP BY entity"),
     "negative_samples": (negatives, None),
     "eval_lists": (eval_lists, None),
     "list_metrics": (list_metrics, f"WITH {_LISTS}, {_metrics()} SELECT * FROM m"),
@@ -184,7 +185,7 @@ QUERIES = {
 j AS (SELECT m.*, CASE WHEN u NOT IN (SELECT user FROM tr) THEN 'user_cold' WHEN i NOT IN (SELECT item FROM tr) THEN 'item_cold' ELSE 'warm' END AS part FROM m JOIN f USING (grp)), b AS (SELECT * FROM j UNION ALL SELECT * REPLACE ('all' AS part) FROM j) SELECT part, {_MEAN} FROM b GROUP BY part"""),
     "auc": (auc, f"WITH {_LISTS}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM sl) SELECT round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 9)::DOUBLE AS auc FROM r"),
     "popularity_baseline": (popularity, f"WITH {_LISTS}, pc AS (SELECT item, sum(label)::DOUBLE AS pop FROM sl GROUP BY item), ps AS (SELECT sl.*, pop FROM sl JOIN pc USING (item)), {_metrics('pop', 'item', 'ps')} SELECT {_MEAN} FROM m"),
-    "random_baseline": (random_lists, None),
+    "random_baseline": (random_lists, f"WITH {_LISTS}, rs AS (SELECT * REPLACE ({unit(42, 'grp', 'item')} AS score) FROM sl), {_metrics('score', 'item', 'rs')} SELECT {_MEAN} FROM m"),
     "ranked_candidates": (candidates, f"WITH {_CAND} SELECT * FROM f"),
     "active_recommendations": (active_recommendations, f"WITH {_CAND}, a AS (SELECT user_key, restaurant, rank, 'v' || (restaurant % 3)::VARCHAR AS pipeline_version FROM f WHERE restaurant % 3 < 2) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY rank) <= 3"),
 }

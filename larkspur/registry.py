@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import datasets, features, jobs, ops, phrases, retrieval, sampling
+from .plans import contracts, datasets, features, jobs, ops, phrases, retrieval, sampling
 
-MODULES = (phrases, features, sampling, ops, retrieval, datasets, jobs)
+MODULES = (phrases, features, sampling, ops, retrieval, datasets, jobs, contracts)
 
 
 def _all() -> dict:

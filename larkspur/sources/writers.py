@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
@@ -14,9 +14,11 @@ def to_flat(df: DataFrame, order: str, entity: str, text: str) -> DataFrame:
     return numbered(df.where(F.length(F.trim(F.col(text))) > 0), F.col(order), name="id").select("id", F.col(entity).alias("restaurant_id"), F.col(text).alias("content"))
 
 
-def to_nested(df: DataFrame, entity: str, key: str, *columns: str) -> DataFrame:
-    """(entity, reviews): one row for each entity with its rows by key."""
-    return df.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(key, *columns))).alias("reviews"))
+def to_nested(df: DataFrame, entity: str, key: str, *columns: str, part: Column | None = None) -> DataFrame:
+    """(entity, part, reviews): one row for each entity with its rows by key. With `part`, an expression of the
+    key that is the same for a bounded number of rows, an entity has a row for each part."""
+    by = [F.col(entity), *([] if part is None else [part.alias("part")])]
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key, *columns))).alias("reviews"))
 
 
 def flatten_results(df: DataFrame, key: str, kinds: list[str]) -> DataFrame:
@@ -50,6 +52,11 @@ def save_lookups(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def save_seeds(seeds: DataFrame, path: str) -> None:
+    """Seeds (category, pos, phrase) where readers.load_seeds finds them."""
+    seeds.write.mode("overwrite").parquet(path)
+
+
 def load_lookups(spark, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 

@@ -12,13 +12,26 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.features import last_per_key
+from ..sources.readers import complete_partitions
 
 
 def stream_partitions(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """New files of a landing path. Run with trigger(availableNow=True) to take what is complete and stop."""
+    """New files of a landing path. Run with trigger(availableNow=True) to take what is there and stop."""
     return spark.readStream.schema(schema).format(fmt).option("recursiveFileLookup", False).load(path)
 
 
+def stream_complete(spark: SparkSession, base: str, kind: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame | None:
+    """The files of the partitions base/kind/dt=… that hold a marker by now, with dt; None if there is none
+    yet. Each scheduled run (trigger(availableNow=True), one checkpoint for all runs) lists them anew;
+    the checkpoint knows the files that earlier runs have taken."""
+    found = complete_partitions(spark, base, kind)
+    if not found:
+        return None
+    days = ",".join(p.rpartition("/")[2] for p in found)
+    rows = spark.readStream.schema(schema).format(fmt).load(f"{base}/{kind}/{{{days}}}")
+    return rows.withColumn("dt", F.regexp_extract(F.col("_metadata.file_path"), r"/dt=([^/]+)/", 1))
+
+
 def dedupe_events(sdf: DataFrame, watermark: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Each event_id once; its state is kept for the watermark, later repeats count as new."""
     return sdf.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["event_id"])

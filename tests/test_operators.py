@@ -59,7 +59,7 @@ def test_rules(spark):
     assert one(spark, R.signal_of(F.lit("odd"))) == "IMPRESSION" and one(spark, R.sample_weight(F.lit("view"))) == 0.2
 
 
-@pytest.mark.parametrize("text,want", [('{"a": 1}', {"a": 1}), ('x {"a": 1,} y', {"a": 1}), ("{a: 1}", {"a": 1}), ("{'a': 'b'}", {"a": "b"}), ('```json\n[1, 2]\n```', [1, 2]), ("{", None), ("", None), (None, None), ("{'a': 'b', c: [1,],}", {"a": "b", "c": [1]})])
+@pytest.mark.parametrize("text,want", [('{"a": 1}', {"a": 1}), ('x {"a": 1,} y', {"a": 1}), ("{a: 1}", {"a": 1}), ("{'a': 'b'}", {"a": "b"}), ('```json\n[1, 2]\n```', [1, 2]), ("{", None), ("", None), (None, None), ("{'a': 'b', c: [1,],}", {"a": "b", "c": [1]}), ('{"a": "}{"} x', {"a": "}{"}), ('{"a": [1, 2', None), ('{"a": {"b": "it\'s"}}', {"a": {"b": "it's"}}), ("12", 12), ("no", None), ("{'a' 1}", None), ('{"a": 1e3, b: -2.5, c: null, d: true}', {"a": 1000.0, "b": -2.5, "c": None, "d": True}), ("[{'a': 1}, 2]", [{"a": 1}, 2]), ("see [1] and {a: 1}", {"a": 1}), ('{"a": "x\ny"}', None)])
 def test_relaxed_json(text, want):
     assert J.relaxed(text) == want
 
@@ -145,6 +145,60 @@ def test_positions_without_one_task(spark):
     assert [r["pos"] for r in got] == list(range(1, 5001))
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_positions_of_wide_rows(spark, partitions):
+    """Every row once, positions 1..n, however adaptive execution deals wide and narrow rows."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        df = spark.range(300_000).withColumn("h", F.xxhash64("id")).withColumn("wide", F.repeat(F.md5(F.col("id").cast("string")), 5))
+        r = S.numbered(df, F.col("h")).agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.count_distinct("pos").alias("d"), F.count_distinct("id").alias("i")).first()
+        assert tuple(r) == (300_000, 1, 300_000, 300_000, 300_000)
+        split = S.holdout_split(df, 0.25, None, "id").groupBy("split").count().collect()
+        assert {x["split"]: x["count"] for x in split} == {"train": 225_000, "test": 75_000}
+        assert S.assign_round_robin(df, "id", 7).count() == 300_000
+        sums = S.cumulated(df.select("id", (F.col("id") % 3).alias("v")), "v", F.col("id"), name="s")
+        assert sums.where("s <> id div 3 * 3 + if(id % 3 = 0, 0, if(id % 3 = 1, 1, 3))").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_equal_positive_rows_have_negatives_of_their_own(spark):
+    row = lambda u, i, label: (u, i, "c", "t", "S", label, 1.0)
+    df = spark.createDataFrame([row(1, 0, 1)] * 5000 + [row(2, i, 0) for i in range(5000)], "user long, item long, category string, tier string, signal string, label int, weight double")
+    neg = S.add_negatives(df, 2).where("signal = 'NO_FEEDBACK'")
+    assert neg.count() == 10_000 and neg.select("item").distinct().count() > 2000 and neg.where("item = 0").count() == 0
+
+
+def test_targets_fill_groups_in_order(spark):
+    df, targets = spark.range(5000), spark.createDataFrame([(1, 10), (2, 3000), (3, 0), (4, 1500)], "grp int, cnt long")
+    got = {r["grp"]: r["count"] for r in S.assign_targets(df, "id", targets).groupBy("grp").count().collect()}
+    assert got == {1: 10 + 490, 2: 3000, 4: 1500}
+
+
+def test_complete_partitions_of_a_stream(spark, tmp_path):
+    from larkspur.streaming import jobs as J2
+
+    def land(day, n, done):
+        spark.range(n).write.parquet(f"{tmp_path}/in/raw/dt={day}")
+        marker = tmp_path / "in" / "raw" / f"dt={day}" / "_SUCCESS"
+        marker.touch() if done else marker.unlink()
+
+    def run():
+        s = J2.stream_complete(spark, f"{tmp_path}/in", "raw", spark.range(1).schema)
+        s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        return {r["dt"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("dt").count().collect()}
+
+    assert J2.stream_complete(spark, f"{tmp_path}/in", "raw", spark.range(1).schema) is None
+    land("2026-01-01", 5, True)
+    land("2026-01-02", 7, False)
+    assert run() == {"2026-01-01": 5}
+    (tmp_path / "in" / "raw" / "dt=2026-01-02" / "_SUCCESS").touch()
+    assert run() == {"2026-01-01": 5, "2026-01-02": 7}
+
+
 def test_percentiles_of_one_row_and_many(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
     assert tuple(M.index_percentile(df, "v", (50, 95, 99)).first()) == (6.0, 10.0, 10.0)
