@@ -27,10 +27,14 @@ def tokens(c: Column, stop: tuple[str, ...] = (), min_len: int = 2) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    """Neighbouring words as phrases "a b", without pairs of equals."""
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(a != b, F.concat_ws(" ", a, b)))
-    return F.filter(pairs, lambda p: p.isNotNull())
+    """Neighbouring words as phrases "a b", without pairs of equals. The words come in through a lambda, so that
+    they are found once, not for each place where the expression names them."""
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))
+
+    return F.filter(F.flatten(F.transform(F.array(words), pairs)), lambda p: p.isNotNull())
 
 
 def sentences(c: Column) -> Column:

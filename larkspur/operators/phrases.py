@@ -17,7 +17,7 @@ def word_counts(df: DataFrame, text: str = "text", stop=(), min_len: int = 2) ->
 
 def bigram_counts(df: DataFrame, text: str = "text", by: tuple[str, ...] = (), stop=(), tokens: Column | None = None) -> DataFrame:
     """(*by, phrase, cnt). `tokens` plugs in another tokeniser as an array column."""
-    words = T.tokens(T.squeeze(F.col(text)), stop) if tokens is None else tokens
+    words = T.tokens(F.col(text), stop) if tokens is None else tokens
     return df.select(*by, F.explode(T.bigrams(words)).alias("phrase")).groupBy(*by, "phrase").agg(F.count(F.lit(1)).alias("cnt"))
 
 

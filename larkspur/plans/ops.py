@@ -239,6 +239,15 @@ _HITS = "h AS (SELECT doc_id AS doc, doc_id % 40 AS query, row_number() OVER (PA
 _MODEL = "mr AS (SELECT doc_id % 3 AS model, k, round(avg(CASE WHEN doc_id % 10 < k THEN quality ELSE 0 END), 6) AS precision FROM labels, (VALUES (1), (3), (5), (10)) v(k) GROUP BY ALL)"
 _NG = lambda n: f"""a{n} AS (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(generate_series(1, len(a) - {n - 1}), lambda i: array_to_string(a[i:i + {n - 1}], ' '))) AS g FROM w) GROUP BY ALL), b{n} AS (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(generate_series(1, len(b) - {n - 1}), lambda i: array_to_string(b[i:i + {n - 1}], ' '))) AS g FROM w) GROUP BY ALL), m{n} AS (SELECT id, sum(least(a{n}.c, b{n}.c)) AS m FROM a{n} JOIN b{n} USING (id, g) GROUP BY id)"""
 
+def _bleu() -> str:
+    gram = lambda c, n: f"SELECT id, g, count(*) AS k FROM (SELECT id, unnest(list_transform(generate_series(1, len({c}) - {n - 1}), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))) AS g FROM w) GROUP BY ALL"
+    both = ", ".join(f"m{n} AS (SELECT id, sum(least(p.k, q.k)) AS m FROM ({gram('a', n)}) p JOIN ({gram('b', n)}) q USING (id, g) GROUP BY id)" for n in (1, 2, 3, 4))
+    logs = " + ".join(f"ln(coalesce(m{n}.m::DOUBLE, 0.1::DOUBLE) / greatest(1, len(a) - {n - 1})) / 4" for n in (1, 2, 3, 4))
+    return f"""WITH c AS (SELECT conv_id::VARCHAR || '-' || row_number() OVER w AS id, text AS pred, lag(text) OVER w AS ref FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+w AS (SELECT id, regexp_extract_all(coalesce(pred, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS a, regexp_extract_all(coalesce(ref, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS b FROM c), {both}
+SELECT w.id, CASE WHEN len(a) = 0 OR m1.m IS NULL THEN 0.0 ELSE round((CASE WHEN len(a) >= len(b) THEN 1.0 ELSE exp(1 - len(b)::DOUBLE / len(a)) END) * exp({logs}), 6) END::DOUBLE AS bleu FROM w {" ".join(f"LEFT JOIN m{n} USING (id)" for n in (1, 2, 3, 4))}"""
+
+
 QUERIES = {
     "perf_stats": (perf_stats, f"WITH {SQL_Q} SELECT kind, count(*) AS requests, round(avg(ms), 4) AS avg_ms, sum(tokens)::BIGINT AS tokens, sum(error_count)::BIGINT AS errors, round(sum(error_count)::DOUBLE / count(*), 6) AS error_rate FROM q WHERE ts > {NOW} - INTERVAL 7 DAY AND ts <= {NOW} GROUP BY kind"),
     "perf_stats_ext": (perf_stats_ext, f"WITH {SQL_Q} SELECT kind, count(*) AS requests, min(ms) AS min_ms, round(avg(ms), 4) AS avg_ms, max(ms) AS max_ms, min(tokens) AS min_tokens, round(avg(tokens), 4) AS avg_tokens, max(tokens) AS max_tokens, round(100 * avg((error_count > 0)::INT), 4) AS error_pct, round(100 - 100 * avg((error_count > 0)::INT), 4) AS success_pct FROM q GROUP BY kind"),
@@ -275,7 +284,7 @@ SELECT k, round(avg(hit / k), 6) AS precision, round(avg(hit / n), 6) AS recall,
 w AS (SELECT id, regexp_extract_all(lower(coalesce(pred, '')), '[a-z0-9]+') AS a, regexp_extract_all(lower(coalesce(ref, '')), '[a-z0-9]+') AS b FROM c), {_NG(1)}, {_NG(2)}
 SELECT w.id, coalesce(round(2 * coalesce(m1.m, 0) / nullif(len(a) + len(b), 0)::DOUBLE, 6), 0.0) AS rouge1, coalesce(round(2 * coalesce(m2.m, 0) / nullif(greatest(len(a) - 1, 0) + greatest(len(b) - 1, 0), 0)::DOUBLE, 6), 0.0) AS rouge2 FROM w LEFT JOIN m1 USING (id) LEFT JOIN m2 USING (id)"""),
     "rouge_l": (rouge_l, None),
-    "bleu": (bleu, None),
+    "bleu": (bleu, _bleu()),
     "judge_summary": (judge_summary, "WITH t AS (SELECT length(text) % 5 + 1 AS a, length(text) % 3 + 2 AS f, turn % 5 + 1 AS c FROM conversations) SELECT round_even(avg(a), 2) AS accuracy, round_even(avg(f), 2) AS fluency, round_even(avg(c), 2) AS coverage, round_even((avg(a) + avg(f) + avg(c)) / 3, 2) AS overall FROM t"),
     "selected_samples": (selected, "SELECT documents.doc_id, source, pos FROM documents JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS pos FROM labels WHERE toxic = 1) USING (doc_id)"),
     "merged_labels": (merged_labels, "WITH g AS (SELECT doc_id, min(quality)::INT AS quality FROM labels GROUP BY doc_id) SELECT doc_id, quality, 'gold' AS label_source FROM g UNION ALL SELECT doc_id, (n_chars % 2)::INT, 'teacher' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g)"),

@@ -251,6 +251,31 @@ def test_rouge_and_bleu(spark):
     assert r[4]["rougeL"] == round(2 * 4 / 13, 6)
 
 
+def test_rouge_l_equals_the_plain_table(spark):
+    import random
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))
+    rows = [(i, text(), text()) for i in range(60)]
+
+    def plain(p, r):
+        a, b = p.split(), r.split()
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return round(2 * t[-1][-1] / (len(a) + len(b)), 6) if a and b else 0.0
+
+    got = {r["id"]: r["rougeL"] for r in E.rouge_l(spark.createDataFrame(rows, "id long, p string, r string"), "p", "r", "id").collect()}
+    assert got == {i: plain(p, r) for i, p, r in rows}
+
+
+def test_bigrams_of_another_tokeniser(spark):
+    df = spark.createDataFrame([("x-y-z x-y",), (None,)], "text string")
+    got = {r["phrase"]: r["cnt"] for r in P.bigram_counts(df, tokens=F.split("text", "[- ]")).collect()}
+    assert got == {"x y": 2, "y z": 1, "z x": 1}
+
+
 def test_weighted_groups_and_images(spark):
     urls = lambda s: one(spark, D.image_urls(F.lit(s)))
     assert urls('{"image_url":"u"}') == ["u"] and urls('[{"url":"u"},{"image_url":"v"}]') == ["u", "v"] and urls('["u"]') == ["u"] and urls("x") == []
