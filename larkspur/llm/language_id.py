@@ -96,7 +96,8 @@ class Filters:
 
 
 def fit(docs: DataFrame, scratch: Scratch, max_docs: int = 20_000, least_share: float = 0.2, least_count: int = 2) -> Filters:
-    """Filters learned from rows (doc_id, text, lang) whose lang is not null."""
+    """Filters learned from rows (doc_id, text, lang) whose lang is not null. The driver holds a few numbers for
+    each language, so this is meant for up to some thousand languages."""
     known = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)

@@ -112,6 +112,23 @@ def test_signs_that_are_no_letters(spark):
     assert got == {1: "de", 2: "und", 3: "und", 4: "de"}
 
 
+def test_language_of_a_long_text(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(1, "der und die das nicht ein " * 20, "de"), (2, "the and of that with is " * 20, "en"), (3, " ".join(rng.choice(["the", "and", "that"]) for _ in range(300_000)), None), (4, None, "de"), (4, None, "de")], "doc_id long, text string, lang string")
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs).collect())
+    assert got == [(1, "de"), (2, "en"), (3, "en"), (4, "und"), (4, "und")]
+
+
+def test_equal_vectors_and_ids_with_two_vectors(spark):
+    """Of an id's vectors the first counts; equal vectors link with each other and share their links."""
+    from larkspur.llm.embedding_dedup import near_duplicates
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), *[(i, [3.0, 0.1]) for i in range(10, 40)], (50, [3.0, 0.2]), (60, [0.0, 2.0]), (60, [0.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=8).collect()}
+    assert got[1] == (1, 1) and got[60] == (1, 1)
+    assert all(got[i] == (30, 10) for i in range(10, 40)) and got[50] == (30, 10) and len(got) == 33
+
+
 def test_many_base_spans_and_keys_in_one_text():
     text = " ".join(f"password=abcdef{k} {'a1b2c3d4e5f6g7h8i9j0' + str(k)}" for k in range(20_000))
     base = secrets.base_spans(text)
