@@ -210,6 +210,11 @@ def stream_triggers(spark, d):
 
 _CAND = "c AS (SELECT coalesce('u_' || CASE WHEN o_custkey % 4 > 0 THEN o_custkey::VARCHAR END, 'a_' || CASE WHEN o_custkey % 8 <> 0 THEN o_custkey::VARCHAR END) AS user_key, CASE WHEN o_orderkey % 10 = 0 THEN 'x1' ELSE o_orderkey::VARCHAR END AS restaurant, o_totalprice AS score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY score DESC, restaurant) AS rank FROM c WHERE user_key IS NOT NULL), f AS (SELECT user_key, restaurant::BIGINT AS restaurant, rank FROM r WHERE restaurant <> 'x1' AND rank <= 3)"
 
+_SKIP = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id AS id, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, id, n, t AS last, false AS skip FROM e WHERE n = 1 UNION ALL SELECT e.key, e.id, e.n, CASE WHEN e.t - r.last < 3600 THEN r.last ELSE e.t END, e.t - r.last < 3600 FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1) SELECT key, id, skip FROM r"""
+_GOODPUT = """WITH r AS (SELECT event_type AS key, value AS ms, length(props) AS tokens, value / 4 < 20 AS met FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 100)
+SELECT key, count(*) AS requests, coalesce(round(coalesce(sum(tokens) FILTER (met), 0) * 1000 / nullif(sum(ms), 0), 4), 0.0)::DOUBLE AS goodput_tps FROM r GROUP BY key"""
+
 QUERIES = {
     "read_delimited": (delimited, "SELECT md5(trim(regexp_replace(text, '[\\t\\r]', ' ', 'g'), ' ')) AS md5 FROM documents WHERE trim(text, ' ') <> ''"),
     "read_nested_json": (nested_json, "SELECT regexp_extract(source, '[0-9]+')::BIGINT AS restaurant_id, doc_id AS id, md5(text) AS md5 FROM documents"),
@@ -230,7 +235,7 @@ QUERIES = {
     "stream_saturation": (stream_saturation, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, round(avg(value / 100.0), 6) AS ratio FROM events GROUP BY 1 HAVING avg(value / 100.0) > 0.5"),
     "stream_sessions": (stream_sessions, "WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR)::INT AS n FROM events), s AS (SELECT *, sum(coalesce(n, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k"),
     "stream_enriched": (stream_enriched, "WITH o AS (SELECT o_custkey, o_orderpriority AS priority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT user_id, event_id, trim(c_mktsegment) AS segment, priority FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN o ON user_id = o_custkey"),
-    "stream_goodput": (stream_goodput, None),
-    "stream_skip": (stream_skip, None),
-    "stream_triggers": (stream_triggers, None),
+    "stream_goodput": (stream_goodput, _GOODPUT),
+    "stream_skip": (stream_skip, _SKIP),
+    "stream_triggers": (stream_triggers, "SELECT key, (k * 20) AS reviews FROM (SELECT user_id::VARCHAR AS key, unnest(generate_series(1, count(*) // 20)) AS k FROM events GROUP BY user_id)"),
 }

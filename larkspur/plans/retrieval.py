@@ -228,6 +228,12 @@ pk AS (SELECT query, (coalesce(n, 0) < 3 OR coalesce(dr, 0) < 0.25 OR coalesce(t
 SELECT query, doc, score, rank, mode FROM (SELECT *, 'dense' AS mode FROM dn UNION ALL SELECT *, 'hybrid' FROM hy) JOIN pk USING (query) WHERE (mode = 'hybrid') = h"""
 
 
+_EVIDENCE = f"""WITH RECURSIVE {_POST}, {_SPARSE}, b AS (SELECT query // 8 AS entity, CASE WHEN query % 2 = 0 THEN 'food' ELSE 'price' END AS category, query AS bullet, list(doc ORDER BY rank) AS docs, list(rank ORDER BY rank) AS ranks FROM sp WHERE score >= 0.35 GROUP BY query),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY category, bullet) AS n FROM b),
+r AS (SELECT DISTINCT entity, 0::BIGINT AS n, NULL::VARCHAR AS category, NULL::BIGINT AS bullet, NULL::BIGINT AS doc, NULL::BIGINT AS rank, []::BIGINT[] AS used FROM o
+UNION ALL SELECT entity, n, category, bullet, docs[i] AS doc, ranks[i] AS rank, CASE WHEN i IS NULL THEN used ELSE list_append(used, docs[i]) END FROM (SELECT o.*, r.used, list_position(list_transform(o.docs, lambda d: list_contains(r.used, d)), false) AS i FROM r JOIN o ON o.entity = r.entity AND o.n = r.n + 1))
+SELECT entity, category, bullet, doc, rank FROM r WHERE doc IS NOT NULL"""
+
 QUERIES = {
     "dense_topk": (dense, "WITH h AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score >= 0.1 QUALIFY rank <= 10"),
     "bm25_postings": (postings, f"WITH {_POST} SELECT * FROM po"),
@@ -237,7 +243,7 @@ QUERIES = {
     "filtered_topk": (filtered, "WITH h AS (SELECT a.label, a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h QUALIFY rank <= 5"),
     "filtered_hybrid": (filtered_hybrid, _filtered_hybrid()),
     "category_retrieval": (cascade, _cascade()),
-    "evidence_map": (evidence, None),
+    "evidence_map": (evidence, _EVIDENCE),
     "seed_queries": (seed_queries, f"WITH {SEEDS} SELECT category, string_agg(phrase, ' ' ORDER BY pos) AS text FROM (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY category ORDER BY pos) <= 10) GROUP BY category"),
     "keyword_hits": (keyword_hits, f"WITH {_POST}, {_SPARSE} SELECT query, round(avg((CASE WHEN query % 2 = 0 THEN {sql_any('text', KEYWORDS['food'])} ELSE {sql_any('text', KEYWORDS['price'])} END)::INT), 6) AS ratio FROM sp JOIN documents ON doc = doc_id WHERE rank <= 8 AND trim(text) <> '' GROUP BY query"),
     "representative_vectors": (representatives, f"WITH {_REP} SELECT label, i, round(m, 6) AS x FROM rep"),

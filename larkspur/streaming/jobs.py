@@ -72,12 +72,14 @@ def rolling_goodput(sdf: DataFrame, n: int = 100, sla_ms: float = 2000.0) -> Dat
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         ms, tokens, met = (list(x) for x in state.get) if state.exists else ([], [], [])
+        new = None  # the last n of this micro-batch, whose chunks come in any order
         for pdf in batches:
-            pdf = pdf.sort_values("id")
-            ms += pdf["ms"].astype(float).tolist()
-            tokens += pdf["tokens"].astype("int64").tolist()
-            met += (pdf["ttft"] < sla_ms).tolist()
-        ms, tokens, met = ms[-n:], tokens[-n:], met[-n:]
+            new = (pdf if new is None else pd.concat([new, pdf])).nlargest(n, "id")
+        if new is not None:
+            new = new.sort_values("id")
+            ms = (ms + new["ms"].astype(float).tolist())[-n:]
+            tokens = (tokens + new["tokens"].astype("int64").tolist())[-n:]
+            met = (met + (new["ttft"] < sla_ms).tolist())[-n:]
         state.update((ms, tokens, met))
         total = sum(ms)
         good = sum(t for t, m in zip(tokens, met) if m)
