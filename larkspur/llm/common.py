@@ -104,16 +104,17 @@ class Bits:
         return out
 
 
-def bits_of(df: DataFrame, column: str, log2: int) -> Bits:
-    """The filter of a long column, OR-ed together from per-task filters; its size is fixed."""
+def bits_of(df: DataFrame, log2: int, keys: Callable = lambda x: x, columns: tuple[str, ...] = ()) -> Bits:
+    """The filter of keys(columns) (all of df's, of longs), OR-ed together from per-task filters; its size is
+    fixed. The keys are made where the filters are filled, so a task has one Python worker."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bits(log2)
         for batch in batches:
-            bits.add(longs(batch.column(0)))
+            bits.add(keys(*[longs(c) for c in batch.columns]))
         yield from partials({0: bits.words})
 
-    got = merged(df.select(column).mapInArrow(fill, PARTIALS), 1 << (log2 - 3), np.uint8, "or")
+    got = merged((df.select(*columns) if columns else df).mapInArrow(fill, PARTIALS), 1 << (log2 - 3), np.uint8, "or")
     return Bits(log2, got.get(0))
 
 

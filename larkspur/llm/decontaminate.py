@@ -209,7 +209,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, threshold:
     items, places = index(benchmark, scratch, window, threshold, least)
     n, lengths = places.count(), [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(max(window, WHOLE))).alias("n")).distinct().collect()]
     seeds = sorted({s for length in lengths for s in seeds_of(length, window, threshold)})
-    bits = spark.sparkContext.broadcast(bits_of(places, "hash", log2_bits(n, per=1024, least=20)))
+    bits = spark.sparkContext.broadcast(bits_of(places, log2_bits(n, per=1024, least=20), columns=("hash",)))
     ids = docs.select(row_name().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     segments = scratch.put(_segments(ids, bits, seeds, window), "segments")
     hits = segments.select("row", "first", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("row", "first", F.col("h.places").alias("at"), F.col("h.keys").alias("hash"))

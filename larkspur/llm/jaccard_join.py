@@ -62,7 +62,7 @@ def _levels(docs: DataFrame, size: int, threshold: float, scratch: Scratch) -> l
     counts = over_text(docs.select("text"), small, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED[0])
     counts = scratch.put(counts, "counts")
     sizes = counts.agg(*[F.count(F.when(F.col("n") >= k, 1)).alias(str(k)) for k in SHARED]).first()
-    return [bits_of(counts.where(F.col("n") >= k), "key", log2_bits(sizes[str(k)])) for k in SHARED if sizes[str(k)]]
+    return [bits_of(counts.where(F.col("n") >= k), log2_bits(sizes[str(k)]), columns=("key",)) for k in SHARED if sizes[str(k)]]
 
 
 def _share(t: float) -> Fraction:
@@ -180,7 +180,7 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     def links(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         ids = scratch.put(ids, f"{name}ids", n)
-        wanted = sc.broadcast(bits_of(ids.mapInArrow(_mixed, "id long"), "id", log2_bits(ids.count())))
+        wanted = sc.broadcast(bits_of(ids, log2_bits(ids.count()), mix))
         grams = _arrays(docs, wanted, size).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").distinct()
         return scratch.put(_verify(pairs, grams, threshold), f"{name}links", n)
 
@@ -220,11 +220,6 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _mixed(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(longs(batch.column(0))).view(np.int64))], ["id"])
-
-
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs with one document of each group of near duplicates: the one with the least doc_id.
 

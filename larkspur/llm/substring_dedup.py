@@ -70,7 +70,7 @@ def _prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for b in (base, pow(base, -1, PRIME)):
             x, step = np.ones(1, np.uint64), b
-            while len(x) < max(n, 1 << 20):
+            while len(x) < max(n, 1 << 18):
                 x = np.concatenate((x, x * np.uint64(pow(b, len(x), PRIME)) % np.uint64(PRIME)))
             out.append(x)
         _PRIME_POWERS[base] = (out[0], out[1])
@@ -194,22 +194,15 @@ def _key(row: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(mix(row) ^ mix(first, 99))
 
 
-def _cell_keys(batches):
-    for batch in batches:
-        first = (longs(batch.column(1)) >> WIDE) & ((1 << FIRST) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(_key(longs(batch.column(0)), first).view(np.int64))], ["key"])
-
-
-def _row_keys(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(longs(batch.column(0))).view(np.int64))], ["key"])
+def _cell_keys(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return _key(row, (place >> WIDE) & ((1 << FIRST) - 1))
 
 
 def _filter_of(df: DataFrame, keys):
-    return df.sparkSession.sparkContext.broadcast(bits_of(df.mapInArrow(keys, "key long"), "key", log2_bits(df.count())))
+    return df.sparkSession.sparkContext.broadcast(bits_of(df, log2_bits(df.count()), keys))
 
 
-def repeated(docs: DataFrame, length: int, passage: int, scratch: Scratch, limit: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, length: int, passage: int, scratch: Scratch, limit: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """For docs (row, tag, text): (row, place), the positions whose strings of `length` bytes are repeated,
     and (row, tag, n), how many cells share a passage with another row."""
     if not 2 * GRAM <= passage <= length or limit < 2 * length + passage:
@@ -220,7 +213,7 @@ def repeated(docs: DataFrame, length: int, passage: int, scratch: Scratch, limit
 
     counts = _scan(docs, blocks, ["rank"], length, passage, limit).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     ranks = scratch.put(counts.where("n > 1").select("rank"), "ranks")
-    held = docs.sparkSession.sparkContext.broadcast(bits_of(ranks, "rank", log2_bits(ranks.count())))
+    held = docs.sparkSession.sparkContext.broadcast(bits_of(ranks, log2_bits(ranks.count())))
     scratch.drop("ranks")
     found, shared, rows, opened = [], None, None, None
 
@@ -288,7 +281,7 @@ def repeated(docs: DataFrame, length: int, passage: int, scratch: Scratch, limit
         scratch.drop(f"spans{size}")
         if next_.isEmpty():
             break
-        opened, rows = _filter_of(next_, _cell_keys), _filter_of(next_.select("row"), _row_keys)
+        opened, rows = _filter_of(next_, _cell_keys), _filter_of(next_.select("row"), mix)
         scratch.drop(f"open{size}")
 
     out = found[0]
@@ -358,7 +351,7 @@ def _cut(batches):
         yield _batch(batch.column(0), out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 1 << 20, passage: int = 255) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 1 << 18, passage: int = 255) -> DataFrame:
     """Remove every byte that a `length`-byte string covers which starts anywhere else, too.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, kept_text (bytes that are no
@@ -384,7 +377,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 1 << 20, pas
     parts = _ranges(found, length).withColumn("n", F.lit(0).cast("long"))
     parts = parts.unionByName(shared.select("row", "tag", F.array().cast(kind).alias("spans"), "n")).unionByName(twins.select("row", "tag", whole.alias("spans"), F.lit(1).cast("long").alias("n")))
     known = scratch.put(parts.groupBy("row", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n").alias("n")), "known")
-    held = _filter_of(known.select("row"), _row_keys)
+    held = _filter_of(known.select("row"), mix)
 
     def plain(batches):
         """Rows of which nothing is known are as they are; the others' texts go into the join."""
