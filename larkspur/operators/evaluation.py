@@ -169,12 +169,12 @@ def rouge_l(df: DataFrame, pred: str, ref: str, key: str) -> DataFrame:
             for w in u:  # a row of the table at a time
                 new = np.maximum(row, np.concatenate(([0], row[:-1] + (v == w))))
                 row = np.maximum.accumulate(new)
-            return round(2 * int(row[-1]) / (len(u) + len(v)), 6)
+            return 2 * int(row[-1]) / (len(u) + len(v))
 
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
-    return df.select(key, lcs_f(words(pred), words(ref)).alias("rougeL"))
+    return df.select(key, F.round(lcs_f(words(pred), words(ref)), 6).alias("rougeL"))
 
 
 def bleu(df: DataFrame, pred: str, ref: str, key: str, eps: float = 0.1) -> DataFrame:

@@ -248,6 +248,13 @@ w AS (SELECT id, regexp_extract_all(coalesce(pred, ''), '[^ \\t\\n\\x0B\\f\\r]+'
 SELECT w.id, CASE WHEN len(a) = 0 OR m1.m IS NULL THEN 0.0 ELSE round((CASE WHEN len(a) >= len(b) THEN 1.0 ELSE exp(1 - len(b)::DOUBLE / len(a)) END) * exp({logs}), 6) END::DOUBLE AS bleu FROM w {" ".join(f"LEFT JOIN m{n} USING (id)" for n in (1, 2, 3, 4))}"""
 
 
+#: The table of the longest common subsequence row by row, as a list that each word of the prediction updates.
+_ROUGE_L = r"""WITH c AS (SELECT conv_id::VARCHAR || '-' || row_number() OVER w AS id, text AS pred, lag(text) OVER w AS ref FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+w AS (SELECT id, regexp_extract_all(lower(coalesce(pred, '')), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+') AS a, regexp_extract_all(lower(coalesce(ref, '')), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+') AS b FROM c),
+f AS (SELECT id, len(a) AS n, len(b) AS m, list_transform(a, lambda x: list_transform(b, lambda y: (x = y)::INT)) AS rows FROM w WHERE len(a) > 0 AND len(b) > 0),
+l AS (SELECT id, n, m, list_reduce(rows, lambda r, x: list_reduce(list_transform(generate_series(1, len(x)), lambda j: [greatest(r[j], coalesce(r[j - 1], 0) + x[j])]), lambda p, q: list_append(p, greatest(p[-1], q[1]))), list_transform(generate_series(1, m), lambda j: 0)) AS r FROM f)
+SELECT w.id, coalesce(round(2 * r[-1] / (n + m)::DOUBLE, 6), 0.0) AS "rougeL" FROM w LEFT JOIN l USING (id)"""
+
 QUERIES = {
     "perf_stats": (perf_stats, f"WITH {SQL_Q} SELECT kind, count(*) AS requests, round(avg(ms), 4) AS avg_ms, sum(tokens)::BIGINT AS tokens, sum(error_count)::BIGINT AS errors, round(sum(error_count)::DOUBLE / count(*), 6) AS error_rate FROM q WHERE ts > {NOW} - INTERVAL 7 DAY AND ts <= {NOW} GROUP BY kind"),
     "perf_stats_ext": (perf_stats_ext, f"WITH {SQL_Q} SELECT kind, count(*) AS requests, min(ms) AS min_ms, round(avg(ms), 4) AS avg_ms, max(ms) AS max_ms, min(tokens) AS min_tokens, round(avg(tokens), 4) AS avg_tokens, max(tokens) AS max_tokens, round(100 * avg((error_count > 0)::INT), 4) AS error_pct, round(100 - 100 * avg((error_count > 0)::INT), 4) AS success_pct FROM q GROUP BY kind"),
@@ -283,7 +290,7 @@ SELECT k, round(avg(hit / k), 6) AS precision, round(avg(hit / n), 6) AS recall,
     "rouge": (rouge, f"""WITH c AS (SELECT conv_id::VARCHAR || '-' || row_number() OVER w AS id, text AS pred, lag(text) OVER w AS ref FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
 w AS (SELECT id, regexp_extract_all(lower(coalesce(pred, '')), '[a-z0-9]+') AS a, regexp_extract_all(lower(coalesce(ref, '')), '[a-z0-9]+') AS b FROM c), {_NG(1)}, {_NG(2)}
 SELECT w.id, coalesce(round(2 * coalesce(m1.m, 0) / nullif(len(a) + len(b), 0)::DOUBLE, 6), 0.0) AS rouge1, coalesce(round(2 * coalesce(m2.m, 0) / nullif(greatest(len(a) - 1, 0) + greatest(len(b) - 1, 0), 0)::DOUBLE, 6), 0.0) AS rouge2 FROM w LEFT JOIN m1 USING (id) LEFT JOIN m2 USING (id)"""),
-    "rouge_l": (rouge_l, None),
+    "rouge_l": (rouge_l, _ROUGE_L),
     "bleu": (bleu, _bleu()),
     "judge_summary": (judge_summary, "WITH t AS (SELECT length(text) % 5 + 1 AS a, length(text) % 3 + 2 AS f, turn % 5 + 1 AS c FROM conversations) SELECT round_even(avg(a), 2) AS accuracy, round_even(avg(f), 2) AS fluency, round_even(avg(c), 2) AS coverage, round_even((avg(a) + avg(f) + avg(c)) / 3, 2) AS overall FROM t"),
     "selected_samples": (selected, "SELECT documents.doc_id, source, pos FROM documents JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS pos FROM labels WHERE toxic = 1) USING (doc_id)"),
