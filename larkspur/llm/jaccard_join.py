@@ -9,12 +9,11 @@
 3. Every set is paired with the least set of each of its keys (a star, not all pairs). A parity bitmap
    of 512 bits bounds the symmetric difference from below, so the overlap from above; what passes is
    verified by exact intersection of the sorted shingle arrays.
-4. A set is named by the least head it is linked to. Keys and size bands make the tiles of the other
-   pairs: a band is as wide as the sizes of two similar sets can differ, so a set looks into the tile of
-   its own band and of the next one. Pairs within a tile are tried only between different names, in
-   the first key they share, so no link between components is lost and a large group of near copies
-   costs a star. (Stars go across bands: with a head for each band, a group of near copies that spans
-   two of them would have two names and all its pairs would be tried.)
+4. A set is named by the least head it is linked to. Pairs that share a key are then tried only
+   between different names, in the first key they share, so no link between components is lost and a
+   large group of near copies costs a star. The band of sizes within which two sets can be similar is part
+   of the join's condition, not of its key: with bands in the key, each set must look into its own and
+   the next band's tile, and the copies of its row cost more shuffle than the pairs that are saved.
 
 Memory: batches of texts, and Bloom filters of at most 16 MB each.
 """
@@ -23,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -204,15 +203,11 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     rows = rows.join(known, "doc_id").withColumn("keys", F.when(F.col("large"), F.col("keys")))
     rows = scratch.put(rows, "rows")
     scratch.drop("open", "known")
-    # A little wider than ln(1 / t), so that rounding cannot part similar sizes by two bands.
-    wide = max(1e-3, -log(float(t)) * 1.000001)
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(wide))
-    left = rows.select("key", "large", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"), "head", F.col("bits").alias("sa"), F.col("keys").alias("ka"))
-    right = rows.select(F.col("key").alias("key2"), band.alias("band2"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("sb"), F.col("keys").alias("kb"))
+    left = rows.select("key", "large", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"), "head", F.col("bits").alias("sa"), F.col("keys").alias("ka"))
+    right = rows.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("sb"), F.col("keys").alias("kb"))
     first_shared = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
-    once = F.when(F.col("own") == F.col("band2"), F.col("ca") < F.col("cb")).otherwise(F.col("ca") != F.col("cb"))
-    cross = left.join(right, (F.col("key") == F.col("key2")) & (F.col("band") == F.col("band2")) & once & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & allowed("na", "nb", "sa", "sb") & (~F.col("large") | first_shared))
-    second = links(scratch.put(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crosspairs", n), "cross")
+    cross = left.join(right, (F.col("key") == F.col("key2")) & (F.col("ca") < F.col("cb")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & allowed("na", "nb", "sa", "sb") & (~F.col("large") | first_shared))
+    second = links(scratch.put(cross.select("a", "b").distinct(), "crosspairs", n), "cross")
 
     edges = first.unionByName(second).unionByName(member.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     final = scratch.put(components(edges, scratch, n), "final", n)
