@@ -164,7 +164,7 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     heads = tiles.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last")
     heads = scratch.put(heads.select("key", "head"), "heads")
     shared = scratch.put(tiles.join(heads, "key"), "shared")
-    scratch.drop("tiles")
+    scratch.drop("tiles", "heads")
 
     num, den = t.numerator, t.denominator
 
@@ -202,12 +202,14 @@ def similar_sets(docs: DataFrame, size: int = 3, threshold: float = 0.9, scratch
     known = scratch.put(keys.join(signature, "doc_id"), "known", n)
     rows = rows.join(known, "doc_id").withColumn("keys", F.when(F.col("large"), F.col("keys")))
     rows = scratch.put(rows, "rows")
-    scratch.drop("open", "known")
+    scratch.drop("open", "known", "signature", "label")
     left = rows.select("key", "large", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"), "head", F.col("bits").alias("sa"), F.col("keys").alias("ka"))
     right = rows.select(F.col("key").alias("key2"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("sb"), F.col("keys").alias("kb"))
     first_shared = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
     cross = left.join(right, (F.col("key") == F.col("key2")) & (F.col("ca") < F.col("cb")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & allowed("na", "nb", "sa", "sb") & (~F.col("large") | first_shared))
-    second = links(scratch.put(cross.select("a", "b").distinct(), "crosspairs", n), "cross")
+    cross = scratch.put(cross.select("a", "b").distinct(), "crosspairs", n)
+    scratch.drop("rows")
+    second = links(cross, "cross")
 
     edges = first.unionByName(second).unionByName(member.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     final = scratch.put(components(edges, scratch, n), "final", n)
