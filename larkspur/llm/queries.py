@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunk_codec import op13_chunk_codec
 from .decontaminate import op4_decontamination
 from .embedding_dedup import op8_embedding_dedup
 from .jaccard_join import op10_jaccard_join
@@ -13,5 +14,5 @@ from .substring_dedup import op7_suffix_array_dedup
 from .token_counts import op6_token_counts
 from .url_filter import op2_sql, op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_secret_scan, op4_decontamination, op5_language_id, op6_token_counts, op7_suffix_array_dedup, op8_embedding_dedup, op9_mixing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_secret_scan, op4_decontamination, op5_language_id, op6_token_counts, op7_suffix_array_dedup, op8_embedding_dedup, op9_mixing, op10_jaccard_join, op13_chunk_codec)}
 SQL = {"op2_url_filter": op2_sql()}
