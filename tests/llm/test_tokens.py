@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from larkspur.llm.chunk_codec import encode_decode
+from larkspur.llm.merkle import manifest, op12_sql
 from larkspur.llm.token_alignment import align_and_count, groups
 
 from .helpers import DOCS, awkward, empty
@@ -121,3 +122,71 @@ def test_codec_of_awkward_and_empty_tables(spark):
     want = Counter((r["doc_id"], *x) for r, x in zip(rows, encoded([r["text"] for r in rows])))
     assert Counter(map(tuple, encode_decode(awkward(spark), BYTES).collect())) == want
     assert encode_decode(empty(spark), BYTES).count() == 0
+
+
+# ---------------------------------------------------------------- Merkle manifest
+
+
+def manifest_of(rows):
+    """Rows (doc_id, text, lang, source, n_chars) as the manifest's, level by level from the whole lists."""
+    import zlib
+
+    part = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaf = lambda r, t: sha(part(r[0]) + part(r[3]) + part(r[2]) + part(r[4]) + part(t))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 8])) for i in range(0, len(out[-1]), 8)])
+        return out
+
+    def path(all_levels, i):
+        out = []
+        for level in all_levels[:-1]:
+            low = i - i % 8
+            out.append((level[low:i], level[i + 1 : low + 8]))
+            i //= 8
+        return out
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    parts = [sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[1]))) for x in langs]
+    trees = [levels([leaf(r, r[1]) for r in p]) for p in parts]
+    top = levels([t[-1][0] for t in trees])
+    out = []
+    for k, p in enumerate(parts):
+        for i, r in enumerate(p):
+            steps = path(trees[k], i) + path(top, k)
+            chosen = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[1] is not None
+            digest = leaf(r, r[1].translate(lower) if chosen else r[1])
+            for before, after in steps:
+                digest = sha("".join(before) + digest + "".join(after))
+            out.append((r[0], leaf(r, r[1]), trees[k][-1][0], top[-1][0], sha("".join("".join(b + a) for b, a in steps)), digest, digest == top[-1][0]))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("sizes", [[1], [2, 1, 8], [9, 64, 65, 0, 513], [700, 1, 3, 73] + [1] * 70])
+@pytest.mark.parametrize("tall", [1, 2, 3])
+def test_manifest_equals_whole_lists(spark, sizes, tall):
+    """One language and many, ragged ends of every kind, partitions of 8, 64 and 512 leaves."""
+    rng = random.Random(sum(sizes))
+    rows = [(rng.randint(0, 10**9), rng.choice(["Text", "text", "Ünï", None, ""]) , None if k == 1 else f"l{k}", rng.choice(["s", None]), rng.choice([3, None])) for k, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert Counter(map(tuple, manifest(df, tall).collect())) == manifest_of(rows)
+
+
+def test_manifest_of_awkward_and_empty_tables(spark):
+    df = awkward(spark)
+    rows = [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    assert Counter(map(tuple, manifest(df).collect())) == manifest_of(rows)
+    assert manifest(empty(spark)).count() == 0
+
+
+def test_manifest_sql(spark):
+    import duckdb
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    names = "doc_id, leaf, subroot, root, proof_sha256, folded_root, verified"
+    assert Counter(con.execute(f"SELECT {names} FROM ({op12_sql()})").fetchall()) == manifest_of(rows)
