@@ -33,7 +33,7 @@ class Encoder:
     """Encodes as the library does for the file: without begin or end, and with the strings of added
     special tokens as one id each (specials=False: as plain text)."""
 
-    def __init__(self, source: str, specials: bool = True, most: int = 250_000):
+    def __init__(self, source: str, specials: bool = True, most: int = 400_000):
         import regex
 
         config = json.loads(source)
@@ -66,6 +66,18 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
+_HELD: dict = {}
+
+
+def encoder(source: str, specials: bool = True) -> Encoder:
+    """The worker's encoder of a file, which goes on to its next tasks with what it remembers."""
+    key = (hash(source), specials)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Encoder(source, specials)
+    return _HELD[key]
+
+
 def token_bytes(config: dict) -> list[bytes]:
     """The bytes that each id stands for, those of added tokens included."""
     back = {c: b for b, c in enumerate(byte_letters())}

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import Encoder, encoder
 from .common import Scratch, bits_of, log2_bits, longs, over_text, powers, prefix_sums, runs, texts_of, utf8
 
 #: Bytes that decide on a cut; a chunk of about 2^LOG2 bytes is expected, and none is longer than MOST
@@ -177,7 +177,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, lo
     known = spark.sparkContext.broadcast(bits_of(shared, log2_bits(shared.count(), most=filter_bits), columns=("a",)))
 
     def split(batches):
-        coder, bits = Encoder(source.value), known.value
+        coder, bits = encoder(source.value), known.value
         row, sent = TaskContext.get().partitionId() << 33, set()
         out: list[tuple] = []
         for batch, at, raw, e, names in chunked(batches, window, log2, most):
@@ -207,7 +207,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, lo
         yield from _rows(out, PIECES)
 
     def encode(batches):
-        coder = Encoder(source.value)
+        coder = encoder(source.value)
         for batch in batches:
             ids, tails = [], []
             for text in batch.column("text").to_pylist():
@@ -219,7 +219,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, lo
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ids, pa.binary()), pa.array(tails, pa.int32())], ["a", "b", "ids", "tail"])
 
     def join(batches):
-        coder, now, doc_id, d = Encoder(source.value), None, None, None
+        coder, now, doc_id, d = encoder(source.value), None, None, None
         for batch in batches:
             out = []
             for row, i, text, ids, tail in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "ids", "tail"))):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder
+from .bpe import Encoder, encoder
 from .common import PARTIALS, Scratch, list_array, lists, merged, over_text, partials, texts_of
 
 
@@ -113,7 +113,7 @@ def align(docs: DataFrame, byte_level_file: str, piece_file: str) -> DataFrame:
         held = spark.sparkContext.broadcast((f.read(), g.read()))
 
     def run(batches):
-        a, b = Encoder(held.value[0], specials=False), Pieces(held.value[1])
+        a, b = encoder(held.value[0], specials=False), Pieces(held.value[1])
         pairs = Pairs(a.bytes, b.bytes, b.byte, b.control)
         words = [[f"{i}{c}" for i in range(max(len(a.bytes), len(b.bytes)))] for c in ",|;"]
         words = [x for each in zip(*words) for x in each]
