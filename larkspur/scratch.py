@@ -37,11 +37,11 @@ class Scratch:
         self.spark, self.root = spark, new_folder(spark, tag)
         workers_find_package(spark)
 
-    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    def put(self, df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
         """Store and reread; `rows`, if known as a bound, keeps small tables from falling into many files."""
         path = f"{self.root}/{name}"
         df = df if rows is None else df.coalesce(max(12, -(-rows // 250_000)))
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
