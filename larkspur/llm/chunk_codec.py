@@ -235,7 +235,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, lo
         if d is not None:
             yield from _rows([(doc_id, *d.values())], RESULT)
 
-    pieces = scratch.put(over_text(texts_of(docs), split, PIECES), "pieces")
+    pieces = scratch.put(over_text(texts_of(docs), split, PIECES), "pieces", compression="zstd")
     once = pieces.where("kind = 3").groupBy("a", "b").agg(F.first("text").alias("text")).mapInArrow(encode, "a long, b long, ids binary, tail int")
     coded = pieces.where("kind = 2").select("row", "pos", "doc_id", "a", "b").join(once, ["a", "b"])
     between = pieces.where("kind = 1").select("row", "pos", "doc_id", "text", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("int").alias("tail"))
