@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..scratch import Scratch
+from .nearest import nearest
 from .sampling import shuffled
 
 
@@ -57,39 +58,28 @@ def embed(df: DataFrame, text: str = "text", encoder: Callable = hashing_encoder
     return df.withColumn(name, run(F.col(text)))
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int, min_score: float = -1.0, query_block: int = 2048, by: tuple[str, ...] = (), doc_block: int = 2048, digits: int = 9, others_only: bool = False) -> DataFrame:
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int, min_score: float = -1.0, query_block: int = 2048, by: tuple[str, ...] = (), doc_block: int = 8192, digits: int = 9, others_only: bool = False) -> DataFrame:
     """(*by, query, doc, score, rank) of a stated query set (query, *by, vector) against all docs (doc, *by,
     vector): cosine in double precision, rounded; ties by doc. `by` restricts a query to the docs of
     its entity or category; others_only leaves out the doc of the query's own id.
 
-    Queries and docs are dealt into blocks by hash and each pair of blocks is a task of its own, so no
-    task holds more than two blocks; a task gives its best k of each query."""
-    tall, wide = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (docs, doc_block)))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vector = F.col("vector").cast("array<double>").alias("vector")
-    q = queries.select(*by, "query", vector).where("query IS NOT NULL AND vector IS NOT NULL").withColumn("_i", block("query", tall).cast("int")).withColumn("_j", each(wide))
-    d = docs.select(*by, "doc", vector).where("vector IS NOT NULL").withColumn("_j", block("doc", wide).cast("int")).withColumn("_i", each(tall))
-
-    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({**{c: q[c].to_numpy(object)[:0] for c in by}, "query": q["query"].to_numpy()[:0], "doc": d["doc"].to_numpy()[:0], "score": np.zeros(0)})
-        x, y = (np.stack(t["vector"].to_numpy()) for t in (q, d))
-        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
-        ids, names = d["doc"].to_numpy(), q["query"].to_numpy()
-        s = np.round(x @ y.T, digits)
-        if others_only:
-            s[names[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), s.shape), -s), axis=1)[:, :k]
-        top = np.take_along_axis(s, order, 1)
-        i, j = np.nonzero(top >= min_score)
-        values = {**{c: q[c].to_numpy(object)[i] for c in by}, "query": names[i], "doc": ids[order[i, j]], "score": top[i, j]}
-        return pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in values.items()})
-
-    kinds = {f.name: f.dataType.simpleString() for f in (*q.schema.fields, *d.schema.fields)}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "query", "doc")) + ", score double"
-    keys = [*by, "_i", "_j"]
-    return _ranked(q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(best, schema), k, (*by, "query"))
+    Docs are dealt by hash into blocks, as many as their number (within `by`, if given) asks for, and shuffled
+    once; each query goes to all blocks of its own. A task holds one block, scores
+    at most `query_block` queries at once and gives its best k of each. For a set of queries of any size over very many docs see `vector_index`."""
+    sizes = docs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(doc_block)).cast("int").alias("_n"))
+    sizes = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.greatest("_n", F.lit(1)).alias("_n"))
+
+    def with_blocks(t: DataFrame) -> DataFrame:
+        if not by:
+            return t.crossJoin(F.broadcast(sizes))  # one row
+        same = F.lit(True)
+        for c in by:
+            same = same & t[c].eqNullSafe(sizes[f"_by_{c}"])
+        return t.join(sizes, same).drop(*[f"_by_{c}" for c in by])
+
+    q = with_blocks(queries.select(*by, "query", "vector")).select(*by, "query", "vector", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"))
+    d = with_blocks(docs.select(*by, "doc", "vector")).select(*by, "doc", "vector", F.pmod(F.xxhash64("doc"), F.col("_n")).cast("int").alias("_b"))
+    return _ranked(nearest(q, d, [*by, "_b"], list(by), k, min_score, digits, others_only, query_block), k, (*by, "query"))
 
 
 def _ranked(hits: DataFrame, k: int, group: tuple[str, ...] = ("query",)) -> DataFrame:

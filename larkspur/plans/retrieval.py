@@ -8,6 +8,8 @@ from ..functions import rules as R
 from ..operators import phrases as P
 from ..operators import retrieval as Q
 from ..operators import upsert as U
+from ..operators.vector_index import VectorIndex
+from ..scratch import new_folder
 from .base import KEYWORDS, sql_any, sql_tokens, table
 from .phrases import SEEDS, seeded
 from .sampling import SQL_R, reviews
@@ -22,6 +24,27 @@ def dense(spark, d):
     return Q.dense_topk(v.where("doc % 20 = 0").select(F.col("doc").alias("query"), "vector"), v, 10, 0.1)
 
 
+def _index(spark, d):
+    return VectorIndex.build(vectors(spark, d).drop("label"), new_folder(spark, "index"), per_cell=256)
+
+
+def indexed(spark, d):
+    """Top-k through the stored index, with every cell visited that can hold a better one."""
+    v = vectors(spark, d)
+    return _index(spark, d).exact(v.where("doc % 20 = 0").select(F.col("doc").alias("query"), "vector"), 10, min_score=0.1)
+
+
+def index_recall(spark, d):
+    """Whether as many probes as a sample asked for reach a recall of 0.9 at 10 on the query set."""
+    v = vectors(spark, d)
+    q = v.where("doc % 20 = 0").select(F.col("doc").alias("query"), "vector")
+    index = _index(spark, d)
+    found = index.search(q, 10, index.calibrated(10, 0.95))
+    true = Q.dense_topk(q, v, 10)
+    hit = true.select("query", "doc").join(found.select("query", "doc", F.lit(1).alias("f")), ["query", "doc"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("wanted"), (F.count("f") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 def postings(spark, d):
     return Q.bm25_index(table(spark, d, "documents"))
 
@@ -234,8 +257,11 @@ r AS (SELECT DISTINCT entity, 0::BIGINT AS n, NULL::VARCHAR AS category, NULL::B
 UNION ALL SELECT entity, n, category, bullet, docs[i] AS doc, ranks[i] AS rank, CASE WHEN i IS NULL THEN used ELSE list_append(used, docs[i]) END FROM (SELECT o.*, r.used, list_position(list_transform(o.docs, lambda d: list_contains(r.used, d)), false) AS i FROM r JOIN o ON o.entity = r.entity AND o.n = r.n + 1))
 SELECT entity, category, bullet, doc, rank FROM r WHERE doc IS NOT NULL"""
 
+_NEAREST = "WITH h AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score >= 0.1 QUALIFY rank <= 10"
 QUERIES = {
-    "dense_topk": (dense, "WITH h AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score >= 0.1 QUALIFY rank <= 10"),
+    "dense_topk": (dense, _NEAREST),
+    "index_topk": (indexed, _NEAREST),
+    "index_recall": (index_recall, "SELECT 10 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0"),
     "bm25_postings": (postings, f"WITH {_POST} SELECT * FROM po"),
     "sparse_topk": (sparse, f"WITH {_POST}, {_SPARSE} SELECT * FROM sp"),
     "review_points": (points, "SELECT doc_id, md5(source || ':' || doc_id::VARCHAR) AS point_id, 64 AS dim FROM documents WHERE length(trim(text)) > 0"),
