@@ -12,6 +12,7 @@ from ..scratch import Scratch, new_folder
 from ..sources import readers as I
 from ..sources import writers as O
 from ..streaming import jobs as S
+from ..streaming import state as ST
 from .base import table
 from .features import FIELDS, interactions
 
@@ -195,17 +196,17 @@ def stream_enriched(spark, d):
 
 def stream_goodput(spark, d):
     s = _stream(spark, d).select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("value").alias("ms"), F.length("props").cast("long").alias("tokens"), (F.col("value") / 4).alias("ttft"))
-    return _run(S.rolling_goodput(s, 100, 20.0), "update", spark)
+    return _run(ST.rolling_goodput(s, 100, 20.0), "update", spark)
 
 
 def stream_skip(spark, d):
     s = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts")
-    return _run(S.skip_recent(s, 60), "append", spark)
+    return _run(ST.skip_recent(s, 60), "append", spark)
 
 
 def stream_triggers(spark, d):
     s = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"))
-    return _run(S.accumulate_trigger(s, 20), "append", spark)
+    return _run(ST.accumulate_trigger(s, 20), "append", spark)
 
 
 _CAND = "c AS (SELECT coalesce('u_' || CASE WHEN o_custkey % 4 > 0 THEN o_custkey::VARCHAR END, 'a_' || CASE WHEN o_custkey % 8 <> 0 THEN o_custkey::VARCHAR END) AS user_key, CASE WHEN o_orderkey % 10 = 0 THEN 'x1' ELSE o_orderkey::VARCHAR END AS restaurant, o_totalprice AS score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY score DESC, restaurant) AS rank FROM c WHERE user_key IS NOT NULL), f AS (SELECT user_key, restaurant::BIGINT AS restaurant, rank FROM r WHERE restaurant <> 'x1' AND rank <= 3)"

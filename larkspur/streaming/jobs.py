@@ -3,13 +3,9 @@ job has one; each docstring says so."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.features import last_per_key
 from ..sources.readers import complete_partitions
@@ -64,68 +60,3 @@ def sessions(sdf: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour")
 def enrich_stream(sdf: DataFrame, items: DataFrame, menus: DataFrame, key: str = "restaurant_id", order: str = "dt") -> DataFrame:
     """Stream joined with the last row of each static item and menu."""
     return sdf.join(last_per_key(items, key, order).drop(order), key, "left").join(last_per_key(menus, key, order).drop(order), key, "left")
-
-
-def rolling_goodput(sdf: DataFrame, n: int = 100, sla_ms: float = 2000.0) -> DataFrame:
-    """(key, requests, goodput_tps) of the last n requests of each key, after every micro-batch that has
-    some. State: a ring of n rows of (ms, tokens, met). Columns: key, id, ms, tokens, ttft."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        ms, tokens, met = (list(x) for x in state.get) if state.exists else ([], [], [])
-        new = None  # the last n of this micro-batch, whose chunks come in any order
-        for pdf in batches:
-            new = (pdf if new is None else pd.concat([new, pdf])).nlargest(n, "id")
-        if new is not None:
-            new = new.sort_values("id")
-            ms = (ms + new["ms"].astype(float).tolist())[-n:]
-            tokens = (tokens + new["tokens"].astype("int64").tolist())[-n:]
-            met = (met + (new["ttft"] < sla_ms).tolist())[-n:]
-        state.update((ms, tokens, met))
-        total = sum(ms)
-        good = sum(t for t, m in zip(tokens, met) if m)
-        yield pd.DataFrame({"key": [key[0]], "requests": [len(ms)], "goodput_tps": [round(good * 1000 / total, 4) if total else 0.0]})
-
-    return sdf.groupBy("key").applyInPandasWithState(step, "key string, requests long, goodput_tps double", "ms array<double>, tokens array<long>, met array<boolean>", "update", GroupStateTimeout.NoTimeout)
-
-
-def skip_recent(sdf: DataFrame, minutes: int = 60, watermark: str = "1 day") -> DataFrame:
-    """(key, id, skip): a request is skipped if the last accepted one of its key is younger than the
-    interval; otherwise it is accepted and remembered. Columns: key, id, ts. A key's state goes when
-    the watermark has passed two intervals behind its last request."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        out = []
-        for pdf in batches:
-            for i, ts in zip(*(pdf.sort_values(["ts", "id"])[c] for c in ("id", "ts"))):
-                now = int(ts.timestamp())
-                skip = last is not None and now - last < minutes * 60
-                last = last if skip else now
-                out.append((key[0], i, skip))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last * 1000 + 2 * minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "skip"])
-
-    marked = sdf.withWatermark("ts", watermark)
-    return marked.groupBy("key").applyInPandasWithState(step, "key string, id long, skip boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def accumulate_trigger(sdf: DataFrame, n: int = 20) -> DataFrame:
-    """(key, reviews): one row each time a key has gathered another n rows. State: the count left over."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        left, total = state.get if state.exists else (0, 0)
-        fired = []
-        for pdf in batches:
-            for _ in range(len(pdf)):
-                left, total = left + 1, total + 1
-                if left == n:
-                    fired.append(total)
-                    left = 0
-        state.update((left, total))
-        yield pd.DataFrame({"key": [key[0]] * len(fired), "reviews": fired})
-
-    return sdf.groupBy("key").applyInPandasWithState(step, "key string, reviews long", "rest long, total long", "append", GroupStateTimeout.NoTimeout)
