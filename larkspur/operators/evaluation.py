@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..scratch import shipped
 
 
 def sentiment_ratios(df: DataFrame, by: str, label: str = "label") -> DataFrame:
@@ -156,22 +157,27 @@ def rouge(df: DataFrame, pred: str, ref: str, key: str, ascii_only: bool = False
     return out
 
 
+def lcs_length(u: list, v: list) -> int:
+    """Length of the longest common subsequence: the table's rows as the bits of one number, a row for each
+    entry of u (Hyyro, "Bit-parallel LCS-length computation revisited", 2004)."""
+    places: dict = {}
+    for k, w in enumerate(v):
+        places[w] = places.get(w, 0) | 1 << k
+    every = (1 << len(v)) - 1
+    row = every
+    for w in u:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return len(v) - row.bit_count()
+
+
 def rouge_l(df: DataFrame, pred: str, ref: str, key: str) -> DataFrame:
     """(key, rougeL) F value from the longest common subsequence of words, in Arrow batches."""
+    shipped(df.sparkSession)
+
     @F.pandas_udf("double")
     def lcs_f(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            if len(x) == 0 or len(y) == 0:
-                return 0.0
-            ids = {w: k for k, w in enumerate(dict.fromkeys([*x, *y]))}
-            u, v = np.array([ids[w] for w in x]), np.array([ids[w] for w in y])
-            row = np.zeros(len(v) + 1, np.int64)
-            for w in u:  # a row of the table at a time
-                new = np.maximum(row, np.concatenate(([0], row[:-1] + (v == w))))
-                row = np.maximum.accumulate(new)
-            return 2 * int(row[-1]) / (len(u) + len(v))
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
+        return pd.Series([2 * lcs_length(list(x), list(y)) / (len(x) + len(y)) if len(x) and len(y) else 0.0 for x, y in zip(a, b)])
 
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
     return df.select(key, F.round(lcs_f(words(pred), words(ref)), 6).alias("rougeL"))

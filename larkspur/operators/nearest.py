@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import shipped
+
 #: Scores of a task at once.
 CELLS = 1 << 22
 
@@ -47,6 +49,7 @@ def nearest(queries: DataFrame, docs: DataFrame, keys: list[str], by: list[str],
     Both sides are shuffled by the keys, once. A task holds the documents of one group at a time, which come
     first and in order, and streams the queries past them; so the groups' documents must be bounded, the
     queries need not be. Vectors of different lengths do not meet; those that are null or hold a null are left out."""
+    shipped(queries.sparkSession)
     whole = lambda t: t.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()) & (F.size("vector") > 0))
     none = lambda t, c: F.lit(None).cast(t.schema[c].dataType).alias(c)
     vector = F.col("vector").cast("array<double>").alias("vector")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..scratch import Scratch
+from ..scratch import Scratch, shipped
 from .nearest import nearest
 from .sampling import shuffled
 
@@ -48,6 +48,7 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndar
 
 def embed(df: DataFrame, text: str = "text", encoder: Callable = hashing_encoder(), name: str = "vector") -> DataFrame:
     """Adds a vector; the encoder is made once in each worker and fed Arrow batches."""
+    shipped(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

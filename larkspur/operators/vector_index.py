@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, workers_find_package
+from ..scratch import Scratch, shipped
 from .nearest import matrix, nearest, unit
 from .retrieval import _ranked
 from .sampling import uniform
@@ -59,7 +59,7 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        workers_find_package(spark)
+        shipped(spark)
         rows = spark.read.parquet(f"{path}/centres").orderBy("coarse", "cell").collect()  # COARSE * WITHIN at most
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         self.by, self.width = tuple(about["by"]), about["width"]
@@ -75,7 +75,7 @@ class VectorIndex:
         or non-finite number, or is of another width than most, are left out. per_cell is the aim for cells' sizes,
         as far as COARSE * WITHIN cells reach."""
         spark = docs.sparkSession
-        workers_find_package(spark)
+        shipped(spark)
         scratch = Scratch(spark, "index")
         v = scratch.put(usable(docs.select("doc", *by, "vector")), "usable")
         width = v.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()

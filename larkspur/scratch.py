@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +53,33 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package by name; tell them where it lies when it is not installed."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if REPO not in have:
-        env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, have)])
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession | None = None) -> None:
+    """Give the executors' Python workers this package, once for each application: as an archive that Spark
+    sends to every executor, also to those that come later. On one machine its folder is put on the
+    workers' path instead."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    if sc.master == "local" or sc.master.startswith("local["):
+        have = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if REPO not in have:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, have)])
+        return
+    folder = tempfile.mkdtemp(prefix="spark-larkspur-")  # of the driver; Spark serves the file from there
+    root = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(os.path.join(folder, "larkspur.zip"), "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.join("larkspur", os.path.relpath(os.path.join(at, name), root)))
+    sc.addPyFile(os.path.join(folder, "larkspur.zip"))
+
+
+workers_find_package = shipped

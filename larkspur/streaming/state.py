@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..scratch import workers_find_package
+from ..scratch import shipped
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,7 +23,7 @@ def _stateful(sdf: DataFrame, processor: StatefulProcessor, schema: str, mode: s
     """Processing time keeps asking for micro-batches, so a job with it does not end by trigger(availableNow=True);
     it is for those that run on."""
     spark = sdf.sparkSession
-    workers_find_package(spark)
+    shipped(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return sdf.groupBy("key").transformWithStateInPandas(processor, schema, mode, time)
 
