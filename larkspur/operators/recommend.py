@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, OneHotEncoder, RegexTokenizer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,29 +12,17 @@ from pyspark.sql import functions as F
 from . import features as X
 from . import ranking as K
 from . import sampling as S
+from .fm import FMModel, fit_fm
 
 
-def replicate(df: DataFrame, weight: str) -> DataFrame:
-    """Rows repeated 10 * weight times (weights are tenths): the classifier below reads no weights."""
-    n = F.greatest(F.lit(1), F.round(F.col(weight) * 10).cast("int"))
-    return df.withColumn("_k", F.explode(F.sequence(F.lit(1), n))).drop("_k")
+def train_fm(df: DataFrame, indices: list[str], numbers: list[str], label: str = "label", factor_size: int = 4, weight: str | None = None, max_iter: int = 30, seed: int = 42) -> FMModel:
+    """A factorisation machine with linear terms on vocabulary indices and numbers, each row by its weight."""
+    return fit_fm(df, indices, numbers, label, factor_size, weight, max_iter, seed)
 
 
-def train_fm(df: DataFrame, indices: list[str], numbers: list[str], label: str = "label", factor_size: int = 4, weight: str | None = None, max_iter: int = 30, seed: int = 42) -> PipelineModel:
-    """A factorisation machine with linear terms on one-hot indices and numbers."""
-    d = replicate(df, weight) if weight else df
-    d = d.withColumn(label, F.col(label).cast("double"))
-    # An unseen value at scoring time has index 0 by the vocabulary, so only true gaps in training are kept.
-    hot = OneHotEncoder(inputCols=indices, outputCols=[f"{c}_v" for c in indices], handleInvalid="keep", dropLast=False)
-    vec = VectorAssembler(inputCols=[f"{c}_v" for c in indices] + numbers, outputCol="features", handleInvalid="keep")
-    fm = FMClassifier(labelCol=label, featuresCol="features", factorSize=factor_size, maxIter=max_iter, stepSize=0.05, seed=seed)
-    return Pipeline(stages=[hot, vec, fm]).fit(d)
-
-
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: FMModel, df: DataFrame) -> DataFrame:
     """df with score, the probability of label 1."""
-    out = model.transform(df)
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features", *[c for c in out.columns if c.endswith("_v")])
+    return model.transform(df)
 
 
 def train_sentiment(df: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14) -> PipelineModel:
@@ -60,6 +48,6 @@ def preprocess(df: DataFrame, fields: list[str], train_end: str, valid_end: str,
     return {"features": rows, "vocab": vocab, "sizes": X.feature_sizes(vocab), "meta": X.split_meta(split), **lookups}
 
 
-def batch_inference(candidates: DataFrame, model: PipelineModel, version: str, generated: Column, top: int = 20) -> DataFrame:
+def batch_inference(candidates: DataFrame, model: FMModel, version: str, generated: Column, top: int = 20) -> DataFrame:
     """Encoded candidates (member, anonymous, restaurant, …) as ranked lists, ready for write_recs."""
     return K.rank_candidates(score(model, candidates), version, generated, top=top).withColumn("dt", F.date_format("generated_at", "yyyy-MM-dd"))
