@@ -8,6 +8,7 @@ from ..functions import rules as R
 from ..operators import phrases as P
 from ..operators import retrieval as Q
 from ..operators import upsert as U
+from ..operators.delta_table import DeltaTable
 from ..operators.vector_index import VectorIndex
 from ..scratch import new_folder
 from .base import KEYWORDS, sql_any, sql_tokens, table
@@ -167,6 +168,23 @@ def deleted(spark, d):
     return U.delete(base, changes, "id")[0]
 
 
+def delta_upserted(spark, d):
+    """The same changes to a stored table of buckets, compacted in part, read back."""
+    base, changes = _versioned(spark, d)
+    t = DeltaTable.create(base, f"{new_folder(spark, 'delta')}/t", "id", "version", 16)
+    t.upsert(changes.where("id % 2 = 0"))
+    t.compact()
+    t.upsert(changes.where("id % 2 = 1"))
+    return t.read()
+
+
+def delta_deleted(spark, d):
+    base, changes = _versioned(spark, d)
+    t = DeltaTable.create(base, f"{new_folder(spark, 'delta')}/t", "id", "version", 16)
+    t.delete(changes)
+    return t.read()
+
+
 def delete_report(spark, d):
     base, changes = _versioned(spark, d)
     return U.delete(base, changes, "id")[1]
@@ -280,8 +298,10 @@ QUERIES = {
     "age_weights": (age_weights, f"WITH {SQL_R} SELECT doc_id, CASE WHEN ts IS NULL OR datediff('day', ts, TIMESTAMP '2025-06-01') <= 365 THEN 1.0::DOUBLE WHEN datediff('day', ts, TIMESTAMP '2025-06-01') <= 730 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS w FROM rv"),
     "point_ids": (ids, f"WITH h AS (SELECT doc_id, source, sha1(unhex('{R.URL_SPACE}') || source::BLOB) AS h FROM documents) SELECT doc_id, md5(source || ':' || doc_id::VARCHAR) AS point_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', ('0x' || h[17:17])::INT + 1, 1) || h[18:20] || '-' || h[21:32] AS uuid FROM h"),
     "upserted": (upserted, f"WITH {_VER} SELECT id, CASE WHEN action IN ('inserted', 'updated') THEN s1 ELSE s0 END AS status, CASE action WHEN 'inserted' THEN 1 WHEN 'updated' THEN version + 1 ELSE version END AS version FROM uj"),
+    "delta_upserted": (delta_upserted, f"WITH {_VER} SELECT id, CASE WHEN action IN ('inserted', 'updated') THEN s1 ELSE s0 END AS status, CASE action WHEN 'inserted' THEN 1 WHEN 'updated' THEN version + 1 ELSE version END AS version FROM uj"),
     "upsert_report": (upsert_report, f"WITH {_VER} SELECT id, action, expected AS requested, version AS current FROM uj WHERE action <> 'kept'"),
     "deleted": (deleted, f"WITH {_VER} SELECT * FROM b WHERE id NOT IN (SELECT id FROM ch)"),
+    "delta_deleted": (delta_deleted, f"WITH {_VER} SELECT * FROM b WHERE id NOT IN (SELECT id FROM ch)"),
     "delete_report": (delete_report, f"WITH {_VER} SELECT id, CASE WHEN id IN (SELECT id FROM b) THEN 'deleted' ELSE 'not_found' END AS state FROM ch"),
     "sentiment_written_back": (written_back, "SELECT doc_id, coalesce(s, 'none') AS sentiment FROM documents LEFT JOIN (SELECT doc_id, min(CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END) AS s FROM labels GROUP BY doc_id) USING (doc_id)"),
     "merged_reviews": (merged, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"),

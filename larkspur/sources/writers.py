@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
+from ..scratch import Scratch
 from .readers import complete_partitions
 
 
@@ -28,7 +29,9 @@ def flatten_results(df: DataFrame, key: str, kinds: list[str]) -> DataFrame:
 
 
 def write_recs(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Partitions pipeline_version=/dt=, gzip; a marker in every partition after the job has committed."""
+    """Partitions pipeline_version=/dt=, gzip; a marker in every partition after the job has committed. The rows
+    are stored once, and both the files and the list of partitions come from there."""
+    df = Scratch(df.sparkSession, "recs").put(df, "rows")
     (df.write.mode("append").partitionBy("pipeline_version", "dt").option("compression", "gzip").option("header", True).format(fmt).save(path))
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
