@@ -9,6 +9,7 @@ from ..operators import phrases as P
 from ..operators import retrieval as Q
 from ..operators import upsert as U
 from ..operators.delta_table import DeltaTable
+from ..operators.impact_index import ImpactIndex
 from ..operators.vector_index import VectorIndex
 from ..scratch import new_folder
 from .base import KEYWORDS, sql_any, sql_tokens, table
@@ -58,6 +59,11 @@ def sparse(spark, d):
     return Q.sparse_topk(queries_text(spark, d), postings(spark, d), 10).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
+def pruned(spark, d):
+    """The same hits from postings in blocks, of which those that cannot matter are not read."""
+    return ImpactIndex(postings(spark, d)).search(queries_text(spark, d), 10).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
 def points(spark, d):
     return Q.build_points(table(spark, d, "documents"), "source", "doc_id").select("doc_id", "point_id", F.size("vector").alias("dim"))
 
@@ -282,6 +288,7 @@ QUERIES = {
     "index_recall": (index_recall, "SELECT 10 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0"),
     "bm25_postings": (postings, f"WITH {_POST} SELECT * FROM po"),
     "sparse_topk": (sparse, f"WITH {_POST}, {_SPARSE} SELECT * FROM sp"),
+    "pruned_topk": (pruned, f"WITH {_POST}, {_SPARSE} SELECT * FROM sp"),
     "review_points": (points, "SELECT doc_id, md5(source || ':' || doc_id::VARCHAR) AS point_id, 64 AS dim FROM documents WHERE length(trim(text)) > 0"),
     "hybrid_topk": (hybrid, f"WITH {_hybrid(20)} SELECT query, doc, score, rank FROM hy"),
     "filtered_topk": (filtered, "WITH h AS (SELECT a.label, a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h QUALIFY rank <= 5"),
