@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import cumulated_within
+
 
 def _us(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def index_percentile(df: DataFrame, value: str, ps: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, p<p>…): the element at floor(n * p / 100), at most n - 1, of the sorted values.
+def index_percentile(df: DataFrame, value: str, ps: tuple[int, ...], by: tuple[str, ...] = (), spread: bool | None = None) -> DataFrame:
+    """(*by, p<p>…): the element at floor(n * p / 100), at most n - 1, of the sorted values; nulls are left out.
 
     Values are counted first; a value holds the places from its cumulated count on, so no group is
-    gathered in a list. Without `by` only the table of distinct values is ordered as a whole."""
+    gathered in a list. spread: counts are cumulated over range partitions, for groups with more distinct values
+    than one task should order; by default where there is no `by`."""
     v = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    hi = F.sum("_c").over(part.orderBy(value))
-    v = v.withColumn("_hi", hi).withColumn("_n", F.sum("_c").over(part))
+    if not by if spread is None else spread:
+        v = cumulated_within(v, by, F.col("_c"), F.col(value), name="_hi", total="_n")
+    else:
+        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        v = v.withColumn("_hi", F.sum("_c").over(part.orderBy(value))).withColumn("_n", F.sum("_c").over(part))
     at = lambda p: F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
     return v.groupBy(*by).agg(*[F.min(F.when(F.col("_hi") > at(p), F.col(value))).alias(f"p{p}") for p in ps])
 
@@ -45,7 +50,7 @@ def latency_stats(df: DataFrame, n: int) -> DataFrame:
     d = latest(df, n)
     out = d.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("ttft"), 6).alias("avg_ttft"), F.round(F.avg("tps"), 6).alias("avg_tps"))
     for c in ("ttft", "tps"):
-        p = index_percentile(d, c, (95, 99))
+        p = index_percentile(d, c, (95, 99), spread=False)  # of n rows
         out = out.crossJoin(F.broadcast(p.select(F.col("p95").alias(f"{c}_p95"), F.col("p99").alias(f"{c}_p99"))))
     return out
 

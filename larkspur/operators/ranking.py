@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .sampling import cumulated, uniform
+from .sampling import cumulated, numbered_within, uniform
 
 
 def list_metrics(df: DataFrame, ks=(5, 10), group: str = "grp", score: str = "score", label: str = "label", weight: str = "weight", tie: str = "item") -> DataFrame:
@@ -68,8 +68,10 @@ def rank_candidates(df: DataFrame, version: str, generated: Column, days: int =
     restaurants (so ranks can have gaps), and version, generated_at, expires_at."""
     key = R.user_key(F.col("member"), F.col("anonymous"))
     d = df.withColumn("user_key", F.coalesce(key, F.lit("a_")) if keep_unknown else key).where(F.col("user_key").isNotNull())
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("user_key").orderBy(F.desc("score"), "restaurant")))
-    d = d if top is None else d.where(F.col("rank") <= top)
+    if top is None:
+        d = numbered_within(d, ("user_key",), F.desc("score"), F.col("restaurant"), name="rank", total="_n").withColumn("rank", F.col("rank").cast("int")).drop("_n")
+    else:  # pruned to `top` in each task before the shuffle
+        d = d.withColumn("rank", F.row_number().over(Window.partitionBy("user_key").orderBy(F.desc("score"), "restaurant"))).where(F.col("rank") <= top)
     rid = F.trim(F.col("restaurant").cast("string"))
     d = d.where(rid.rlike(r"^\d+$")).withColumn("restaurant", rid.cast("long"))
     return d.withColumns({"pipeline_version": F.lit(version), "generated_at": generated, "expires_at": generated + F.expr(f"INTERVAL {int(days)} DAYS")})

@@ -49,6 +49,31 @@ def cumulated(df: DataFrame, value: str, *order: Column, name: str) -> DataFrame
     return stored.withColumn("_sum", local).join(F.broadcast(before), "_part").withColumn(name, F.col("_sum") + F.col("_before")).drop("_part", "_sum", "_before")
 
 
+def cumulated_within(df: DataFrame, by: tuple[str, ...], value: Column, *order: Column, name: str, total: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of the same `by` up to this one, in an order that is total within it, and
+    the sum over all of them.
+
+    Rows are range-partitioned by group and order, so a group that holds most of the rows lies in many
+    partitions; each sums its own stretch and adds what the stretches before it hold, from a table with a row
+    for each group and partition."""
+    keys = [F.col(c) for c in by]
+    stored = Scratch(df.sparkSession, "cumulated").put(df.withColumn("_v", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "rows")
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    sums = stored.groupBy(*by, "_part").agg(F.sum("_v").alias("_n"))
+    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias(total))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    local = F.sum("_v").over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = stored.withColumn("_sum", local).join(sums, same)
+    return out.withColumn(name, F.col("_sum") + F.col("_before")).drop("_v", "_part", "_sum", "_before", "_p", *[f"_by_{c}" for c in by])
+
+
+def numbered_within(df: DataFrame, by: tuple[str, ...], *order: Column, name: str = "pos", total: str = "n") -> DataFrame:
+    """Adds the row's position from 1 within its group, and the group's size; a large group is many tasks."""
+    return cumulated_within(df, by, F.lit(1).cast("long"), *order, name=name, total=total)
+
+
 def time_split(df: DataFrame, ts: str, train_end: str, valid_end: str, group: str | None = None) -> DataFrame:
     """Adds split: before train_end train, before valid_end valid, else test; no time is train. With a
     group, its latest time decides for all of its rows."""
@@ -77,9 +102,9 @@ def entity_split(df: DataFrame, entity: str, train: float = 0.8, valid: float =
 def review_windows(df: DataFrame, configs=((30, 15), (50, 25), (20, 10)), entity: str = "source", ts: str = "ts", key: str = "doc_id", whole: bool = True) -> DataFrame:
     """(entity, window_size, stride, start, reviews): every window of W rows with stride S, by time then key.
 
-    Each row joins only the windows that hold it (positions by arithmetic, at most ceil(W / S) of them)."""
-    order = Window.partitionBy(entity).orderBy(F.col(ts).asc_nulls_last(), key)
-    pos = df.select(entity, key, (F.row_number().over(order) - 1).alias("p"), F.count(F.lit(1)).over(Window.partitionBy(entity)).alias("n")).where("n >= 2")
+    Each row joins only the windows that hold it (positions by arithmetic, at most ceil(W / S) of them). Rows are
+    numbered over all tasks, whatever one entity holds; only with `whole` is an entity one value."""
+    pos = numbered_within(df.select(entity, key, ts), (entity,), F.col(ts).asc_nulls_last(), F.col(key), name="p").where("n >= 2").select(entity, key, (F.col("p") - 1).alias("p"), "n")
     conf = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(s).alias("s")) for w, s in configs]))
     rows = pos.withColumn("c", conf).where("c.w <= n").select("*", "c.w", "c.s")
     first = F.greatest(F.lit(0), F.ceil((F.col("p") - F.col("w") + 1) / F.col("s"))).cast("long")
@@ -129,8 +154,8 @@ def power_law_targets(groups: DataFrame, total: int, lo: int, hi: int, hot: dict
     """(grp, cnt): hot groups as given, the others lo + (hi - lo) * u^alpha, scaled to what is left of total."""
     given = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]) if hot else F.create_map().cast("map<int,int>")
     raw = groups.select(F.col("grp"), F.try_element_at(given, F.col("grp")).alias("h"), (lo + (hi - lo) * F.pow(uniform(seed, "grp"), F.lit(alpha))).alias("r"))
-    rest = F.sum(F.when(F.col("h").isNull(), F.col("r"))).over(Window.partitionBy(F.lit(0)))
-    left = max(0, total - sum(hot.values()))
+    rest, left = F.col("_rest"), max(0, total - sum(hot.values()))
+    raw = raw.crossJoin(F.broadcast(raw.agg(F.sum(F.when(F.col("h").isNull(), F.col("r"))).alias("_rest"))))  # one row
     return raw.select("grp", F.coalesce("h", F.greatest(F.lit(1), F.floor(F.col("r") * left / rest))).cast("long").alias("cnt"))
 
 
