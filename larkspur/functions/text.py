@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dictionary
+
 #: What a token is made of.
 TOKEN = "[가-힣A-Za-z0-9]+"
 
@@ -43,7 +45,14 @@ def sentences(c: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
+#: With more needles than this a text is passed once through an automaton of them all.
+MANY = 64
+
+
 def contains_any(c: Column, needles) -> Column:
+    """Whether one of the needles is part of the text; null for null, if there are needles."""
+    if len(needles) > MANY:
+        return dictionary.contains(c, needles)
     out = F.lit(False)
     for n in needles:
         out = out | F.contains(c, F.lit(n))

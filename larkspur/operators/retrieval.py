@@ -175,19 +175,24 @@ def map_evidence(hits: DataFrame, allowed: DataFrame | None = None, min_score: f
     bullets = h.select("entity", "category", "bullet").distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("entity").orderBy("category", "bullet")))
     h = h.join(bullets, ["entity", "category", "bullet"]).withColumn("_rn", F.row_number().over(Window.partitionBy("entity", "category", "bullet").orderBy("rank", "doc"))).where("_rn <= _nth")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict[int, int] = {}
-        out = []
-        for (cat, bullet), g in pdf.sort_values(["category", "bullet", "rank", "doc"]).groupby(["category", "bullet"], sort=False):
-            for doc, rank in zip(g["doc"], g["rank"]):
-                if used.get(doc, 0) < max_reuse:
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, done = None, {}, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                entity, category, bullet, doc, _ = row
+                if (entity,) != now:
+                    now, used, done = (entity,), {}, None
+                if (category, bullet) != done and used.get(doc, 0) < max_reuse:
                     used[doc] = used.get(doc, 0) + 1
-                    out.append((pdf["entity"].iloc[0], cat, bullet, doc, rank))
-                    break
-        return pd.DataFrame(out, columns=["entity", "category", "bullet", "doc", "rank"])
+                    done = (category, bullet)
+                    out.append(row)
+            yield pd.DataFrame(out, columns=pdf.columns).astype(pdf.dtypes.to_dict()) if out else pdf.iloc[:0]
 
+    # Rows of an entity are streamed in order past a table of its used documents, never gathered.
     some = h.select("entity", "category", "bullet", "doc", "rank")
-    return some.groupBy("entity").applyInPandas(greedy, some.schema)
+    some = some.repartition("entity").sortWithinPartitions("entity", "category", "bullet", "rank", "doc")
+    return some.mapInPandas(greedy, some.schema)
 
 
 def entity_vectors(df: DataFrame, entity: str, vector: str = "vector", weight: Column | None = None) -> DataFrame:

@@ -40,19 +40,24 @@ def complete_partitions(spark: SparkSession, base: str, kind: str, dt: str | Non
     return sorted(str(s.getPath().getParent()) for s in found)
 
 
-def read_raw(spark: SparkSession, base: str, kind: str, schema: T.StructType, dt: str | None = None, only_complete: bool = True) -> DataFrame:
-    """All csv and json(.gz) files (arrays or lines) of the kind's partitions with the schema, and dt."""
-    paths = complete_partitions(spark, base, kind, dt) if only_complete else [f"{base}/{kind}"]
+def read_raw(spark: SparkSession, base: str, kind: str, schema: T.StructType, dt: str | None = None, only_complete: bool = True, paths: list[str] | None = None) -> DataFrame:
+    """All csv and json(.gz) files (arrays or lines) of the kind's partitions with the schema, and dt; paths: of
+    these partitions. Files of JSON lines are split among tasks like any text; a file that is one array (a line
+    of it starts with a bracket) is one value."""
+    if paths is None:
+        paths = complete_partitions(spark, base, kind, dt) if only_complete else [f"{base}/{kind}"]
     with_dt = T.StructType([*[f for f in schema.fields if f.name != "dt"], T.StructField("dt", T.StringType())])
     if not paths:
         return spark.createDataFrame([], with_dt)
     opts = {"basePath": f"{base}/{kind}", "recursiveFileLookup": False}
     csv = spark.read.options(**opts).option("header", True).option("pathGlobFilter", "*.csv").schema(with_dt).csv(paths)
-    text = spark.read.options(**opts).option("pathGlobFilter", "*.json*").schema("value string, dt string").option("wholetext", True).text(paths)
-    # A file is one JSON array, or a value on each line.
-    array = F.from_json("value", T.ArrayType(schema))
-    lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, schema))
-    rows = text.select(F.explode(F.when(F.ltrim("value").startswith("["), array).otherwise(lines)).alias("r"), "dt")
+    text = spark.read.options(**opts).option("pathGlobFilter", "*.json*").schema("value string, dt string")
+    file = F.col("_metadata.file_path")
+    line = text.text(paths).where(F.trim("value") != "")
+    arrays = line.where(F.col("value").rlike(r"^\s*\[")).select(file.alias("_array")).distinct()
+    lines = line.withColumn("_file", file).join(arrays, F.col("_file") == F.col("_array"), "left_anti").select(F.from_json("value", schema).alias("r"), "dt")
+    whole = text.text(paths, wholetext=True).where(F.col("value").rlike(r"^\s*\[")).select(F.explode(F.from_json("value", T.ArrayType(schema))).alias("r"), "dt")
+    rows = lines.unionByName(whole)
     return csv.unionByName(rows.select("r.*", "dt").select(csv.columns), allowMissingColumns=True)
 
 

@@ -3,12 +3,14 @@ job has one; each docstring says so."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.features import last_per_key
-from ..sources.readers import complete_partitions
+from ..sources.readers import complete_partitions, read_raw
 
 
 def stream_partitions(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -28,6 +30,39 @@ def stream_complete(spark: SparkSession, base: str, kind: str, schema: T.StructT
     return rows.withColumn("dt", F.regexp_extract(F.col("_metadata.file_path"), r"/dt=([^/]+)/", 1))
 
 
+def poll_complete(spark: SparkSession, base: str, kind: str, schema: T.StructType, sink: Callable[[DataFrame, int], None], check: str, per_batch: int | None = None, **trigger):
+    """A query that hands each partition base/kind/dt=… to the sink once its marker is there, by itself.
+
+    A clock stream asks for new markers in every micro-batch; what a batch takes is written to a plan under `check`
+    before it is read, so that a batch that is repeated after a failure takes the same partitions, and
+    later ones leave them out. The sink is called as foreachBatch's is, with all csv and JSON rows of
+    the new partitions and the batch's number; as there, writing by that number makes it exactly once.
+    per_batch: partitions that a batch takes at most, the earliest first."""
+    plans = f"{check}/taken"
+
+    def batch(_: DataFrame, epoch: int) -> None:
+        taken = _taken(spark, plans)
+        mine = sorted(p for p, e in taken.items() if e == epoch)
+        if not mine:
+            mine = [p for p in complete_partitions(spark, base, kind) if p not in taken][:per_batch]
+            if not mine:
+                return
+            spark.createDataFrame([(p, epoch) for p in mine], "path string, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{plans}/batch={epoch}")
+        sink(read_raw(spark, base, kind, schema, paths=mine), epoch)
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    return clock.writeStream.option("checkpointLocation", f"{check}/clock").foreachBatch(batch).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+
+
+def _taken(spark: SparkSession, plans: str) -> dict[str, int]:
+    """The batch that took each partition."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(plans)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return {}
+    rows = spark.read.schema("path string, epoch long").option("recursiveFileLookup", True).parquet(plans)
+    return {r["path"]: r["epoch"] for r in rows.collect()}  # a row for each partition, as many as listed
+
+
 def dedupe_events(sdf: DataFrame, watermark: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Each event_id once; its state is kept for the watermark, later repeats count as new."""
     return sdf.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["event_id"])
