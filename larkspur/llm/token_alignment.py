@@ -94,8 +94,8 @@ def groups(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>"
-#: Bytes of text that are aligned at once.
-BLOCK = 1 << 20
+#: Bytes of text that are aligned at once (a longer text is, as one), and tokens that are written out at once.
+BLOCK, PART = 1 << 20, 1 << 18
 
 
 def align(docs: DataFrame, byte_level_file: str, piece_file: str) -> DataFrame:
@@ -139,10 +139,13 @@ def align(docs: DataFrame, byte_level_file: str, piece_file: str) -> DataFrame:
             code[place_a], code[place_b] = ia * 3, ib * 3
             code[place_a[partner]] += 1
             code[place_b[closing]] += 2
-            code = code.tolist()
             digests, at = [], 0
             for n in (n_a + n_b).tolist():
-                digests.append(hashlib.sha256("".join(map(words.__getitem__, code[at : at + n]))[:-1].encode()).hexdigest() if n else "")
+                h = hashlib.sha256()
+                for low in range(at, at + n, PART):
+                    text = "".join(map(words.__getitem__, code[low : min(low + PART, at + n)].tolist()))
+                    h.update((text[:-1] if low + PART >= at + n else text).encode())
+                digests.append(h.hexdigest() if n else "")
                 at += n
             numbers = pairs.number(ia[partner], ib[closing]).astype(np.int32)
             links = list_array(np.split(numbers, np.cumsum(n_groups)[:-1]), pa.int32())

@@ -70,6 +70,18 @@ def test_alignment_of_awkward_and_empty_tables(spark):
     assert align_and_count(empty(spark), BYTES, PIECES).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of two million characters, with and without spaces, beside a short one."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(350_000)), "ab1-" * 500_000, "short"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: tuple(r)[1:] for r in encode_decode(df, BYTES).collect()}
+    assert [got[i] for i in range(3)] == encoded(texts)
+    out = {r["doc_id"]: r for r in align_and_count(df, BYTES, PIECES).collect()}
+    assert [out[i]["n_a"] for i in range(3)] == [n for n, _, _ in encoded([" " + t for t in texts])]
+    assert all(0 < out[i]["n_groups"] == out[i]["n_links"] <= min(out[i]["n_a"], out[i]["n_b"]) for i in range(3))
+
+
 def test_groups_of_two_tilings():
     import numpy as np
 
