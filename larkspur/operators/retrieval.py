@@ -59,6 +59,20 @@ def embed(df: DataFrame, text: str = "text", encoder: Callable = hashing_encoder
     return df.withColumn(name, run(F.col(text)))
 
 
+def hashed_vectors(df: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
+    """(key, vector): signed counts of a text's words (lower case, cut at white space), scaled to unit length, in
+    DataFrame functions only. A word's place and sign are digits of its md5, so SQL can repeat them. Keys must
+    not repeat; a text without words, or null, has zeros."""
+    word = F.explode(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
+    h = F.md5(F.col("w").cast("binary"))
+    place = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") >= 8, 1.0).otherwise(-1.0)
+    places = df.select(key, word.alias("w")).select(key, place.alias("i"), sign.alias("x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+    made = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    value = lambda i: F.coalesce(F.try_divide(F.coalesce(F.try_element_at("m", i), F.lit(0.0)), F.col("norm")), F.lit(0.0))
+    return df.select(key).join(made, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("vector"))
+
+
 def dense_topk(queries: DataFrame, docs: DataFrame, k: int, min_score: float = -1.0, query_block: int = 2048, by: tuple[str, ...] = (), doc_block: int = 8192, digits: int = 9, others_only: bool = False) -> DataFrame:
     """(*by, query, doc, score, rank) of a stated query set (query, *by, vector) against all docs (doc, *by,
     vector): cosine in double precision, rounded; ties by doc. `by` restricts a query to the docs of

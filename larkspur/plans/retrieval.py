@@ -64,6 +64,12 @@ def pruned(spark, d):
     return ImpactIndex(postings(spark, d)).search(queries_text(spark, d), 10).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
+def hashed(spark, d):
+    """The values of hashed text vectors that are not zero."""
+    v = Q.hashed_vectors(table(spark, d, "documents"), "doc_id")
+    return v.select("doc_id", F.posexplode("vector").alias("i", "x")).where("x <> 0").select("doc_id", "i", F.round("x", 9).alias("x"))
+
+
 def points(spark, d):
     return Q.build_points(table(spark, d, "documents"), "source", "doc_id").select("doc_id", "point_id", F.size("vector").alias("dim"))
 
@@ -289,6 +295,8 @@ QUERIES = {
     "bm25_postings": (postings, f"WITH {_POST} SELECT * FROM po"),
     "sparse_topk": (sparse, f"WITH {_POST}, {_SPARSE} SELECT * FROM sp"),
     "pruned_topk": (pruned, f"WITH {_POST}, {_SPARSE} SELECT * FROM sp"),
+    "hashed_vectors": (hashed, """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents), p AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS i, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INT >= 8 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM w WHERE w <> '' GROUP BY ALL)
+SELECT doc_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 9) AS x FROM p QUALIFY x <> 0"""),
     "review_points": (points, "SELECT doc_id, md5(source || ':' || doc_id::VARCHAR) AS point_id, 64 AS dim FROM documents WHERE length(trim(text)) > 0"),
     "hybrid_topk": (hybrid, f"WITH {_hybrid(20)} SELECT query, doc, score, rank FROM hy"),
     "filtered_topk": (filtered, "WITH h AS (SELECT a.label, a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h QUALIFY rank <= 5"),
