@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 
-def draw(seed: int, *keys) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-
 def shuffled(seed: int, *keys) -> Column:
     """A sort key in seeded order that any engine can repeat: the md5 of seed and keys, joined by colons."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]))
@@ -193,20 +188,22 @@ def _from_pools(rows: DataFrame, key: str, n: int, pool: DataFrame, held: DataFr
     seeded place of the user's ranked pool on; adds the pool's columns and _try. The pools are exact, so
     rows should be the few for whom draws come out short."""
     free = rows.select(F.col(user).alias("_user")).distinct().crossJoin(pool.drop("_place")).join(held, (F.col("_user") == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
-    ranked = free.withColumn("_rank", F.row_number().over(Window.partitionBy("_user").orderBy(F.xxhash64(F.lit(seed), "_user", item), item)))
+    ranked = free.withColumn("_rank", F.row_number().over(Window.partitionBy("_user").orderBy(shuffled(seed, "_user", item), item)))
     sizes = ranked.groupBy(F.col("_user").alias("_owner")).agg(F.max("_rank").alias("_pool"))
     tries = rows.join(sizes, F.col(user).eqNullSafe(F.col("_owner"))).withColumn("_try", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), "_pool"))))
-    tries = tries.withColumn("_at", F.pmod(F.floor(draw(seed, key) * F.col("_pool")) + F.col("_try") - 1, F.col("_pool")) + 1)
+    tries = tries.withColumn("_at", F.pmod(F.floor(uniform(seed, key) * F.col("_pool")) + F.col("_try") - 1, F.col("_pool")) + 1)
     return tries.join(ranked, F.col("_owner").eqNullSafe(F.col("_user")) & (F.col("_at") == F.col("_rank"))).drop("_user", "_owner", "_pool", "_at", "_rank")
 
 
-def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user", item: str = "item", attributes: tuple[str, ...] = ("category", "tier")) -> DataFrame:
+def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user", item: str = "item", attributes: tuple[str, ...] = ("category", "tier"), key: tuple[str, ...] = ()) -> DataFrame:
     """df and, for each positive row, max(1, floor(ratio)) items that its user has no positive row with.
 
-    Candidates are drawn at random places of the item table (k and a margin), never by crossing users with
-    items; what a user has positively is removed by an anti join; the few rows that come out short draw
-    again with a larger margin, and those still short take from their user's exact pool; only where that
-    pool is smaller than k are there fewer. Negatives carry the item's attributes, signal NO_FEEDBACK, label 0, weight 1."""
+    Candidates are drawn at random places of the item table, never by crossing users with items: a row's draws are
+    one seeded sequence (an md5 of the row's `key` columns, by default all, its number among equal rows, and the
+    draw), of which what the user has positively and repeats are passed over. The first 2k + 4 draws serve most rows;
+    those that come out short go on in the same sequence to 16k + 64, so the result does not depend on where the first
+    look ends. Rows still short take from their user's exact pool; only where that pool is smaller than k are
+    there fewer. Negatives carry the item's attributes, signal NO_FEEDBACK, label 0, weight 1."""
     if ratio <= 0:
         return df
     k = max(1, int(ratio))
@@ -214,22 +211,25 @@ def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user
     size = items.agg(F.count(F.lit(1)).alias("_items"))
     positives = df.where("label = 1").select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct()
     scratch = Scratch(df.sparkSession, "negatives")
-    whole = scratch.put(_ordinals(df.where("label = 1")), "positives")
-    rows = whole.select("_row", user)
+    whole = scratch.put(_ordinals(df.where("label = 1"), key), "positives")
+    rows = whole.select("_row", "_name", user)
     rest = [c for c in df.columns if c not in (item, *attributes, "signal", "label", "weight")]
 
-    def picked(rows: DataFrame, want, margin: int, salt: int) -> DataFrame:
-        tries = rows.crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(margin))))
-        tries = tries.withColumn("_place", F.floor(draw(seed + salt, "_row", "_try") * F.col("_items")) + 1)
+    def picked(rows: DataFrame, look: int) -> DataFrame:
+        tries = rows.crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(look))))
+        tries = tries.select("_row", user, "_try", (F.floor(uniform(seed, "_name", "_try") * F.col("_items")) + 1).alias("_place"))
         found = tries.join(items.select("_place", item), "_place").join(positives, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
-        once = found.groupBy("_row", item).agg(F.min("_try").alias("_try"), F.first(user).alias(user))
-        return scratch.put(once.withColumn("_rn", F.row_number().over(Window.partitionBy("_row").orderBy("_try"))).where(F.col("_rn") <= want), f"picked{salt}")
-
-    first = picked(rows, k, 2 * k + 4, 0)
-    short = rows.join(first.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
-    again = picked(short, k, 16 * k + 64, 1)
-    scarce = short.join(again.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row", "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
-    exact = _from_pools(scarce, "_row", k, items, positives, user, item, seed + 2)
+        once = found.groupBy("_row", item).agg(F.min("_try").alias("_try"))
+        return scratch.put(once.withColumn("_rn", F.row_number().over(Window.partitionBy("_row").orderBy("_try"))).where(F.col("_rn") <= k), f"picked{look}")
+
+    def short_of(rows: DataFrame, got: DataFrame) -> DataFrame:
+        return rows.join(got.where(F.col("_rn") == k).select("_row"), "_row", "left_anti")
+
+    first = picked(rows, 2 * k + 4)
+    short = scratch.put(short_of(rows, first), "short")
+    again = picked(short, 16 * k + 64)
+    scarce = scratch.put(short_of(short, again), "scarce")
+    exact = _from_pools(scarce, "_name", k, items, positives, user, item, seed + 2)
     got = first.join(short.select("_row"), "_row", "left_anti").unionByName(again.join(scarce.select("_row"), "_row", "left_anti"))
     got = got.select("_row", item).unionByName(exact.select("_row", item))
     # The columns of the row and of the item come last, so that draws are narrow.
@@ -238,16 +238,19 @@ def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user
     return df.unionByName(negatives)
 
 
-def _ordinals(df: DataFrame) -> DataFrame:
+def _ordinals(df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
     """df with _row, a number from its columns and, of equal rows, from their number, so that each has draws
-    of its own. Equal rows are counted and written out again, so none needs a window over a hot group."""
+    of its own, and _name, a text from the key columns (_row without any) and that number. Equal rows are
+    counted and written out again, so none needs a window over a hot group."""
     maps = [c for c in df.columns if df.schema[c].dataType.typeName() == "map"]
     keys = [c for c in df.columns if c not in maps]
     runs = df.groupBy(*keys, *[F.to_json(c).alias(f"_{c}") for c in maps]).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in maps])
     long = F.floor((F.col("_n") - 1) / 4096)
     parts = runs.where("_n <= 4096").withColumn("_part", F.lit(0).cast("long")).unionByName(runs.where("_n > 4096").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), long))).repartition("_part", *keys))
     nth = F.explode(F.sequence(F.col("_part") * 4096 + 1, F.least(F.col("_n"), (F.col("_part") + 1) * 4096)))
-    return parts.withColumn("_nth", nth).withColumn("_row", F.xxhash64(*[F.col(c) for c in keys], *[F.col(f"_{c}") for c in maps], "_nth")).select("_row", *df.columns)
+    rows = parts.withColumn("_nth", nth).withColumn("_row", F.xxhash64(*[F.col(c) for c in keys], *[F.col(f"_{c}") for c in maps], "_nth"))
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key], F.col("_nth").cast("string")) if key else F.col("_row").cast("string")
+    return rows.select("_row", name.alias("_name"), *df.columns)
 
 
 def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, top_k: int = 1000, group: str = "grp", user: str = "user", item: str = "item", seed: int = 42) -> DataFrame:
@@ -257,7 +260,7 @@ def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, t
     short take from their user's exact pool, as in add_negatives."""
     scratch = Scratch(df.sparkSession, "lists")
     positives = df.where("label = 1").select(group, user, item)
-    pick = positives.withColumn("_d", F.xxhash64(F.lit(seed), group, item)).groupBy(group).agg(F.min_by(F.struct(user, item), F.struct("_d", item)).alias("p")).select(group, F.col(f"p.{user}").alias(user), F.col(f"p.{item}").alias(item))
+    pick = positives.withColumn("_d", shuffled(seed, group, item)).groupBy(group).agg(F.min_by(F.struct(user, item), F.struct("_d", item, user)).alias("p")).select(group, F.col(f"p.{user}").alias(user), F.col(f"p.{item}").alias(item))
     pick = scratch.put(pick, "picked")
     held = scratch.put(positives.select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct(), "held")
     counts = scratch.put(df.groupBy(item).agg(F.sum("label").alias("_c")), "counts")
@@ -267,7 +270,7 @@ def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, t
     def drawn(pool: DataFrame, n: int, salt: int) -> DataFrame:
         size = pool.agg(F.count(F.lit(1)).alias("_n"))
         tries = pick.select(group, user).crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(3 * n + 20))))
-        tries = tries.withColumn("_place", F.floor(draw(seed + salt, group, "_try") * F.col("_n")) + 1)
+        tries = tries.withColumn("_place", F.floor(uniform(seed + salt, group, "_try") * F.col("_n")) + 1)
         found = tries.join(pool, "_place").join(held, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
         once = scratch.put(found.groupBy(group, user, item).agg(F.min("_try").alias("_try")), f"drawn{salt}")
         enough = scratch.put(once.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(group), f"enough{salt}")

@@ -93,7 +93,7 @@ def zipf(spark, d):
 
 
 def negatives(spark, d):
-    return S.add_negatives(interactions(spark, d).select("ord", "line", "user", "item", "category", "tier", "signal", "label", "weight"), 2)
+    return S.add_negatives(interactions(spark, d).select("ord", "line", "user", "item", "category", "tier", "signal", "label", "weight"), 2, key=("ord", "line"))
 
 
 def eval_lists(spark, d):
@@ -155,6 +155,31 @@ m AS (SELECT grp, CASE WHEN w > 0 THEN w ELSE 1.0 END AS weight, round(d5 / i5,
 
 
 _MEAN = "count(*) AS lists, " + ", ".join(f"round(sum({c} * weight) / sum(weight), 6) AS {c}" for c in ("ndcg_5", "ndcg_10", "recall_5", "recall_10"))
+
+def _drawn(p: str, rows: str, row: str, names: tuple[str, ...], pool: str, n: int, look: int, seed: int, again: int) -> str:
+    """CTE {p} (row, user, item, try): for each row `look` seeded draws from the pool (item, place), without what its
+    user holds (hd) and repeats; rows with fewer than n have their n from the user's exact pool."""
+    free = "NOT EXISTS (SELECT 1 FROM hd WHERE hd.user = d.user AND hd.item = q.item)"
+    return f"""{p}_t AS (SELECT {row}, user, try, floor({unit(seed, *names, "try")} * (SELECT count(*) FROM {pool}))::BIGINT + 1 AS place FROM {rows}, range(1, {look + 1}) g(try)),
+{p}_o AS (SELECT {row}, d.user, q.item, min(try) AS try FROM {p}_t d JOIN {pool} q USING (place) WHERE {free} GROUP BY ALL),
+{p}_s AS (SELECT * FROM {rows} WHERE {row} NOT IN (SELECT {row} FROM {p}_o GROUP BY {row} HAVING count(*) >= {n})),
+{p}_f AS (SELECT d.user, q.item, row_number() OVER (PARTITION BY d.user ORDER BY {seeded(again, "d.user", "q.item")}, q.item) AS rank, count(*) OVER (PARTITION BY d.user) AS size FROM (SELECT DISTINCT user FROM {p}_s) d, {pool} q WHERE {free}),
+{p}_x AS (SELECT s.{row}, s.user, f.item, try FROM {p}_s s, {p}_f f, range(1, {n + 1}) g(try) WHERE f.user = s.user AND try <= size AND rank = (floor({unit(again, *names)} * size)::BIGINT + try - 1) % size + 1),
+{p} AS (SELECT {row}, user, item, try FROM {p}_o WHERE {row} NOT IN (SELECT {row} FROM {p}_s) UNION ALL SELECT {row}, user, item, try FROM {p}_x)"""
+
+
+_NEGATIVES = f"""WITH {SQL_I}, z AS (SELECT ord, line, user, item, category, tier, signal, label, weight FROM x),
+pr AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY ord, line, user, item, category, tier, signal, weight) AS nth FROM z WHERE label = 1), hd AS (SELECT DISTINCT user, item FROM pr),
+it AS (SELECT item, min(category) AS category, min(tier) AS tier, row_number() OVER (ORDER BY item) AS place FROM z GROUP BY item),
+{_drawn("dr", "pr", "rid", ("ord", "line", "nth"), "it", 2, 96, 42, 44)}, tk AS (SELECT rid, item FROM dr QUALIFY row_number() OVER (PARTITION BY rid ORDER BY try) <= 2)
+SELECT * FROM z UNION ALL SELECT ord, line, user, it.item, it.category, it.tier, 'NO_FEEDBACK', 0, 1.0::DOUBLE FROM tk JOIN pr USING (rid) JOIN it ON it.item = tk.item"""
+_EVAL = f"""WITH {SQL_I}, ps AS (SELECT ord AS grp, user, item FROM x WHERE label = 1), hd AS (SELECT DISTINCT user, item FROM ps),
+pk AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {seeded(42, "grp", "item")}, item, user) = 1),
+ct AS (SELECT item, sum(label) AS c FROM x GROUP BY item), pp AS (SELECT item, row_number() OVER (ORDER BY c DESC, item) AS place FROM ct WHERE c > 0 QUALIFY place <= 200), al AS (SELECT item, row_number() OVER (ORDER BY item) AS place FROM ct),
+{_drawn("pd", "pk", "grp", ("grp",), "pp", 10, 50, 43, 43)}, {_drawn("ad", "pk", "grp", ("grp",), "al", 20, 80, 44, 44)},
+a AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY grp ORDER BY try) <= 10), b AS (SELECT * FROM ad ANTI JOIN a USING (grp, item)),
+ng AS (SELECT * FROM (SELECT *, 0 AS o FROM a UNION ALL SELECT *, 1 AS o FROM b) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY o, try) <= 20), fl AS (SELECT grp FROM ng GROUP BY grp HAVING count(*) = 20)
+SELECT grp, user, item, 1 AS label FROM pk SEMI JOIN fl USING (grp) UNION ALL SELECT grp, user, item, 0 FROM ng SEMI JOIN fl USING (grp)"""
 _WIN = f"""{SQL_R}, p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY ts ASC NULLS LAST, doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM rv),
 cf AS (SELECT * FROM (VALUES (30, 15), (50, 25), (20, 10)) v(w, s)), st AS (SELECT source, n, w, s, unnest(generate_series(0, n - w, s)) AS start FROM (SELECT DISTINCT source, n FROM p WHERE n >= 2), cf WHERE w <= n),
 wi AS (SELECT st.source, w::INT AS window_size, s::INT AS stride, start, count(*)::INT AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY p)) AS ids FROM st JOIN p ON p.source = st.source AND p.p >= start AND p.p < start + w GROUP BY ALL
@@ -178,8 +203,8 @@ QUERIES = {
     "truth_sample": (truth_sample, f"SELECT doc_id, (row_number() OVER (ORDER BY {seeded(42, 'doc_id')}, doc_id) - 1) // 25 + 1 AS block FROM documents QUALIFY block <= 4"),
     "synthetic_members": (members, f"SELECT doc_id, doc_id % 10000 + 1 AS member, DATE '2026-01-01' - floor({unit(42, 'doc_id')} * 365)::INT AS day FROM documents"),
     "zipf_scenario": (zipf, f"WITH c AS (SELECT source AS entity, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source), w AS (SELECT entity, rank, sum(1 / rank::DOUBLE) OVER (ORDER BY rank) / sum(1 / rank::DOUBLE) OVER () AS hi, coalesce(sum(1 / rank::DOUBLE) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / sum(1 / rank::DOUBLE) OVER () AS lo FROM c), u AS (SELECT {unit(42, 'i')} AS u FROM range(10000) t(i)) SELECT entity, count(*) AS requests FROM u JOIN w ON u >= lo AND u < hi GROUP BY entity"),
-    "negative_samples": (negatives, None),
-    "eval_lists": (eval_lists, None),
+    "negative_samples": (negatives, _NEGATIVES),
+    "eval_lists": (eval_lists, _EVAL),
     "list_metrics": (list_metrics, f"WITH {_LISTS}, {_metrics()} SELECT * FROM m"),
     "ranking_metrics": (ranking, f"""WITH {_LISTS}, {_metrics(tie='item')}, f AS (SELECT grp, arg_min(user, item) AS u, min(item) AS i FROM sl WHERE label = 1 GROUP BY grp), tr AS (SELECT * FROM sl WHERE grp % 5 = 0 AND item % 3 > 0),
 j AS (SELECT m.*, CASE WHEN u NOT IN (SELECT user FROM tr) THEN 'user_cold' WHEN i NOT IN (SELECT item FROM tr) THEN 'item_cold' ELSE 'warm' END AS part FROM m JOIN f USING (grp)), b AS (SELECT * FROM j UNION ALL SELECT * REPLACE ('all' AS part) FROM j) SELECT part, {_MEAN} FROM b GROUP BY part"""),

@@ -115,6 +115,39 @@ def test_hot_users_get_their_whole_pool(spark):
     assert len(got[1]) == 2 * 995 and set(got[1]) == set(range(5)) and len(got[2]) == len(set(got[2])) == 2 and got[3] == [0] * 999
 
 
+def test_negatives_are_the_stated_draws(spark):
+    """Against plain Python: first look, further draws (users with most of the items) and exact pools."""
+    import hashlib
+
+    number = lambda *p: (int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    n, k, seed = 200, 2, 42
+    rows = [(1000 * u + i, u, i, "c", "t", "S", int(i >= free), 1.0) for u, free in ((1, 150), (2, 12), (3, 3), (4, 1), (5, 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "ord long, user long, item long, category string, tier string, signal string, label int, weight double")
+    held = {}
+    for _, u, i, *_rest in rows:
+        held.setdefault(u, set()).update([i] if _rest[3] else [])
+    want, looks = {}, [0, 0, 0]
+    for o, u, i, *_rest in rows:
+        if not _rest[3]:
+            continue
+        found, needed = [], 0
+        for t in range(1, 16 * k + 65):
+            at = int(number(seed, f"{o}:1", t) * n)
+            if at not in held[u] and at not in found:
+                found.append(at)
+                needed = t if len(found) == k else needed
+        if len(found) < k:
+            pool = sorted(set(range(n)) - held[u], key=lambda x: hashlib.md5(f"{seed + 2}:{u}:{x}".encode()).hexdigest())
+            first = int(number(seed + 2, f"{o}:1") * len(pool))
+            found = [pool[(first + t) % len(pool)] for t in range(min(k, len(pool)))]
+        looks[2 if not needed else needed > 2 * k + 4] += 1
+        want[o] = sorted(found[:k])
+    got = {o: [] for o in want}
+    for r in S.add_negatives(df, k, key=("ord",)).where("signal = 'NO_FEEDBACK'").collect():
+        got[r["ord"]].append(r["item"])
+    assert min(looks) > 10 and {o: sorted(x) for o, x in got.items()} == want
+
+
 def test_eval_lists_of_hot_users_are_whole(spark):
     rows = [(g, u, i, int(i >= free)) for g, (u, free) in enumerate([(1, 200), (2, 100), (3, 99)]) for i in range(1000)]
     lists = S.build_eval_lists(spark.createDataFrame(rows, "grp long, user long, item long, label int"), 100, 50, 1000).collect()
