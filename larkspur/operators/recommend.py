@@ -35,15 +35,16 @@ def score_sentiment(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("_w", "_f", "probability", "rawPrediction", "prediction")
 
 
-def preprocess(df: DataFrame, fields: list[str], train_end: str, valid_end: str, negatives: float = 1, cutoff: int = 2, seed: int = 42) -> dict[str, DataFrame]:
+def preprocess(df: DataFrame, fields: list[str], train_end: str, valid_end: str, negatives: float = 1, cutoff: int = 2, seed: int = 42, key: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The tables of a training run from interactions: encoded rows with split and derived features,
-    vocabulary, look-ups, sizes and counts. Statistics come from the train rows alone."""
+    vocabulary, look-ups, sizes and counts. Statistics come from the train rows alone. key: columns that
+    name a row, for its seeded negatives (see add_negatives)."""
     split = S.time_split(df, "ts", train_end, valid_end)
     train = split.where("split = 'train'")
     vocab = X.build_vocab(train, fields, cutoff)
     lookups = {"items": X.item_stats(train).drop("positives"), "categories": X.user_counts(train, "category"), "regions": X.user_counts(train, "region"), "users": X.user_stats(train)}
     maxima = lookups["categories"].agg(F.max("cnt").alias("max_category")).crossJoin(lookups["regions"].agg(F.max("cnt").alias("max_region")))
-    rows = S.add_negatives(split, negatives, seed, attributes=("category", "tier", "region"))
+    rows = S.add_negatives(split, negatives, seed, attributes=("category", "tier", "region"), key=key)
     rows = X.encode(X.exp_features(X.attach_exp(rows, lookups), maxima), vocab, fields)
     return {"features": rows, "vocab": vocab, "sizes": X.feature_sizes(vocab), "meta": X.split_meta(split), **lookups}
 

@@ -29,12 +29,12 @@ o_orderdate::TIMESTAMP + to_hours((l_orderkey * 7 + l_linenumber) % 24) AS ts, C
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 x AS (SELECT *, (signal <> 'IMPRESSION')::INT AS label, CASE signal WHEN 'REVIEW' THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS weight,
 CASE WHEN hour(ts) < 10 THEN 'breakfast' WHEN hour(ts) < 14 THEN 'lunch' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'dinner' END AS slot FROM i)"""
-_NUM = "CASE tier WHEN 'LOW' THEN 0.2::DOUBLE WHEN 'HIGH' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END"
+SQL_TIER = "CASE tier WHEN 'LOW' THEN 0.2::DOUBLE WHEN 'HIGH' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END"
 SQL_ITEMS = """t AS (SELECT item, sum(weight) AS w, sum(label) AS positives, count(*) AS n FROM x GROUP BY item),
 tm AS (SELECT max(ln(1 + w)) AS mw, max(ln(1 + positives)) FILTER (positives > 0) AS mp FROM t),
 items AS (SELECT item, round(ln(1 + w) / nullif(mw, 0), 9) AS popularity, round(coalesce(ln(1 + positives) / mp, 0.0), 9) AS signal_count, round(w / n, 9) AS avg_weight, positives::BIGINT AS positives FROM t, tm)"""
 SQL_USERS = f"""uc AS (SELECT user, category, count(*) AS cnt FROM x WHERE label = 1 GROUP BY ALL), ur AS (SELECT user, region, count(*) AS cnt FROM x WHERE label = 1 GROUP BY ALL),
-up AS (SELECT user, round(avg({_NUM}), 9) AS price_mean FROM x WHERE label = 1 GROUP BY user),
+up AS (SELECT user, round(avg({SQL_TIER}), 9) AS price_mean FROM x WHERE label = 1 GROUP BY user),
 ut AS (SELECT user, region AS top_region FROM ur QUALIFY row_number() OVER (PARTITION BY user ORDER BY cnt DESC, region) = 1),
 us AS (SELECT up.user, price_mean, top_region FROM up LEFT JOIN ut USING (user))"""
 
@@ -145,9 +145,9 @@ def context(spark, d):
 
 _DIST = "CASE WHEN value * 20 < 300 THEN 'NEAR' WHEN value * 20 < 700 THEN 'WALK' WHEN value * 20 < 1500 THEN 'MID' WHEN value IS NOT NULL THEN 'FAR' END"
 _SLOT = "CASE WHEN hour(ts) < 10 THEN 'breakfast' WHEN hour(ts) < 14 THEN 'lunch' WHEN hour(ts) < 18 THEN 'afternoon' WHEN ts IS NOT NULL THEN 'dinner' END"
-_SPLIT = "s AS (SELECT *, CASE WHEN ts < TIMESTAMP '1997-01-01' THEN 'train' WHEN ts < TIMESTAMP '1998-01-01' THEN 'valid' ELSE 'test' END AS split FROM x)"
-_LONG = "long AS (SELECT split, unnest(['category','tier','region','slot']) AS field, unnest([category, tier, region, slot]) AS value, label FROM s)"
-_VOCAB = "(SELECT field, value, count(*) AS cnt, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS idx FROM long {where} GROUP BY field, value HAVING count(*) >= 2)"
+SQL_SPLIT = "s AS (SELECT *, CASE WHEN ts < TIMESTAMP '1997-01-01' THEN 'train' WHEN ts < TIMESTAMP '1998-01-01' THEN 'valid' ELSE 'test' END AS split FROM x)"
+SQL_LONG = "long AS (SELECT split, unnest(['category','tier','region','slot']) AS field, unnest([category, tier, region, slot]) AS value, label FROM s)"
+SQL_VOCAB = "(SELECT field, value, count(*) AS cnt, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS idx FROM long {where} GROUP BY field, value HAVING count(*) >= 2)"
 _PROFILE = """cs AS (SELECT user, category, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user) AS s FROM x WHERE label = 1 GROUP BY user, category),
 c3 AS (SELECT user, list(category ORDER BY round(s, 9) DESC, category)[1:3] AS cats FROM cs GROUP BY user),
 ss AS (SELECT user, slot, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user), 9) AS s FROM x WHERE label = 1 GROUP BY user, slot),
@@ -160,20 +160,20 @@ QUERIES = {
     "popular_items": (popular_items, f"WITH {SQL_I} SELECT item, sum(label)::BIGINT AS positives FROM x GROUP BY item ORDER BY positives DESC, item LIMIT 1000"),
     "user_category_counts": (user_category, f"WITH {SQL_I}, {SQL_USERS} SELECT * FROM uc"),
     "user_stats": (user_stats, f"WITH {SQL_I}, {SQL_USERS} SELECT * FROM us"),
-    "vocabulary": (vocab, f"WITH {SQL_I}, {_SPLIT}, {_LONG} SELECT * FROM {_VOCAB.format(where='')}"),
-    "encoded": (encoded, f"WITH {SQL_I}, {_SPLIT}, {_LONG}, v AS {_VOCAB.format(where='WHERE label = 1')} SELECT ord, line, " + ", ".join(f"coalesce((SELECT idx FROM v WHERE field = '{f}' AND value = x.{f}), 0)::INT AS {f}_idx" for f in FIELDS) + " FROM x"),
-    "feature_sizes": (feature_sizes, f"WITH {SQL_I}, {_SPLIT}, {_LONG}, v AS {_VOCAB.format(where='')} SELECT field, count(*) + 1 AS size FROM v GROUP BY field"),
+    "vocabulary": (vocab, f"WITH {SQL_I}, {SQL_SPLIT}, {SQL_LONG} SELECT * FROM {SQL_VOCAB.format(where='')}"),
+    "encoded": (encoded, f"WITH {SQL_I}, {SQL_SPLIT}, {SQL_LONG}, v AS {SQL_VOCAB.format(where='WHERE label = 1')} SELECT ord, line, " + ", ".join(f"coalesce((SELECT idx FROM v WHERE field = '{f}' AND value = x.{f}), 0)::INT AS {f}_idx" for f in FIELDS) + " FROM x"),
+    "feature_sizes": (feature_sizes, f"WITH {SQL_I}, {SQL_SPLIT}, {SQL_LONG}, v AS {SQL_VOCAB.format(where='')} SELECT field, count(*) + 1 AS size FROM v GROUP BY field"),
     "exp_features": (exp_features, f"""WITH {SQL_I}, {SQL_ITEMS}, {SQL_USERS}, m AS (SELECT (SELECT max(cnt) FROM uc) AS mc, (SELECT max(cnt) FROM ur) AS mr)
 SELECT ord, line, coalesce(popularity, 0.0) AS popularity, coalesce(signal_count, 0.0) AS signal_count, coalesce(avg_weight, 0.0) AS avg_weight,
 round(coalesce(ln(1 + coalesce(uc.cnt, 0)) / nullif(ln(1 + mc), 0), 0.0), 9) AS user_category_count, round(coalesce(ln(1 + coalesce(ur.cnt, 0)) / nullif(ln(1 + mr), 0), 0.0), 9) AS user_region_count,
-coalesce(price_mean, 0.5) AS user_price_mean, coalesce((top_region = x.region)::INT::DOUBLE, 0.0) AS user_region_match, round(least(1.0, abs({_NUM} - coalesce(price_mean, 0.5)) / 3.0), 9) AS price_diff
+coalesce(price_mean, 0.5) AS user_price_mean, coalesce((top_region = x.region)::INT::DOUBLE, 0.0) AS user_region_match, round(least(1.0, abs({SQL_TIER} - coalesce(price_mean, 0.5)) / 3.0), 9) AS price_diff
 FROM x LEFT JOIN items USING (item) LEFT JOIN uc ON uc.user = x.user AND uc.category = x.category LEFT JOIN ur ON ur.user = x.user AND ur.region = x.region LEFT JOIN us ON us.user = x.user, m"""),
     "user_profiles": (user_profiles, f"WITH {SQL_I}, {_PROFILE} SELECT user, array_to_string(cats, '|') AS top3, median_price, (SELECT round(s, 6) FROM ss WHERE ss.user = mp.user AND slot = 'lunch') AS lunch FROM mp JOIN c3 USING (user)"),
     "feedback_30d": (feedback, f"WITH {SQL_I} SELECT user, item, round(avg(weight), 9) AS feedback FROM x WHERE ts <= {NOW} AND ts > {NOW} - INTERVAL 30 DAY GROUP BY user, item"),
     "rule_scores": (rule_scores, f"WITH {SQL_I}, {_PROFILE} SELECT ord, line, x.user, item, round(list_contains(cats, category)::INT * 0.30::DOUBLE + (CASE WHEN median_price * 12 < 10000 THEN 'LOW' WHEN median_price * 12 < 20000 THEN 'MID' ELSE 'HIGH' END = tier)::INT * 0.15::DOUBLE + coalesce(s, 0.0) * 0.15::DOUBLE, 12) AS score FROM x JOIN c3 USING (user) JOIN mp USING (user) LEFT JOIN ss ON ss.user = x.user AND ss.slot = x.slot WHERE ts > {NOW}"),
-    "feature_dist": (feature_dist, f"WITH {SQL_I}, {_SPLIT}, l AS (SELECT split, unnest(['weight','price','label']) AS feature, unnest([weight, price, label::DOUBLE]) AS v FROM s) SELECT split, feature, count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0.0), 6) AS std FROM l GROUP BY split, feature"),
-    "feature_top": (feature_top, f"WITH {SQL_I}, {_SPLIT}, l AS (SELECT split, unnest(['weight','label','quarter']) AS feature, unnest([weight, label::DOUBLE, quarter(ts)::DOUBLE]) AS v FROM s), c AS (SELECT split, feature, v, count(*) AS c FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY split, feature ORDER BY c DESC, v) AS r FROM c QUALIFY r <= 5) SELECT split, feature, string_agg(round(v, 4)::VARCHAR || ':' || c::VARCHAR, ',' ORDER BY r) AS top FROM r GROUP BY split, feature"),
-    "split_meta": (split_meta, f"WITH {SQL_I}, {_SPLIT} SELECT split, count(DISTINCT user) AS users, count(DISTINCT item) AS items, sum(label)::BIGINT AS positives FROM s GROUP BY split"),
+    "feature_dist": (feature_dist, f"WITH {SQL_I}, {SQL_SPLIT}, l AS (SELECT split, unnest(['weight','price','label']) AS feature, unnest([weight, price, label::DOUBLE]) AS v FROM s) SELECT split, feature, count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0.0), 6) AS std FROM l GROUP BY split, feature"),
+    "feature_top": (feature_top, f"WITH {SQL_I}, {SQL_SPLIT}, l AS (SELECT split, unnest(['weight','label','quarter']) AS feature, unnest([weight, label::DOUBLE, quarter(ts)::DOUBLE]) AS v FROM s), c AS (SELECT split, feature, v, count(*) AS c FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY split, feature ORDER BY c DESC, v) AS r FROM c QUALIFY r <= 5) SELECT split, feature, string_agg(round(v, 4)::VARCHAR || ':' || c::VARCHAR, ',' ORDER BY r) AS top FROM r GROUP BY split, feature"),
+    "split_meta": (split_meta, f"WITH {SQL_I}, {SQL_SPLIT} SELECT split, count(DISTINCT user) AS users, count(DISTINCT item) AS items, sum(label)::BIGINT AS positives FROM s GROUP BY split"),
     "contract_ids": (contract_ids, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS id, o_orderkey % 3 = 2 AS bad FROM orders"),
     "context_snapshots": (context, f"SELECT event_id, '{{' || array_to_string(list_filter(['\"dow\":' || (isodow(ts) - 1)::VARCHAR, '\"slot\":\"' || {_SLOT} || '\"', '\"distance\":\"' || {_DIST} || '\"'], lambda v: v IS NOT NULL), ',') || '}}' AS snapshot, CASE {_DIST} WHEN 'NEAR' THEN 1.0::DOUBLE WHEN 'WALK' THEN 0.8::DOUBLE WHEN 'MID' THEN 0.5::DOUBLE WHEN 'FAR' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS score FROM events"),
 }

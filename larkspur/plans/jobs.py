@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import recommend as C
+from ..operators.fm import INPUTS, load_fm
 from ..operators.sampling import uniform
 from ..scratch import Scratch, new_folder
 from ..sources import readers as I
@@ -14,7 +15,8 @@ from ..sources import writers as O
 from ..streaming import jobs as S
 from ..streaming import state as ST
 from .base import table
-from .features import FIELDS, interactions
+from .features import FIELDS, SQL_I, SQL_ITEMS, SQL_LONG, SQL_SPLIT, SQL_TIER, SQL_USERS, SQL_VOCAB, interactions
+from .sampling import sql_drawn
 
 
 def _scratch(spark) -> str:
@@ -100,7 +102,7 @@ TRAIN_ROWS = 50_000
 def _model(spark, d):
     """(tables, model, indices, numbers): preprocessing of all interactions, and a model trained on a bounded
     sample of the train rows."""
-    t = C.preprocess(interactions(spark, d).drop("flag"), FIELDS, "1997-01-01", "1998-01-01", 1)
+    t = C.preprocess(interactions(spark, d).drop("flag"), FIELDS, "1997-01-01", "1998-01-01", 1, key=("ord", "line"))
     idx = [f"{f}_idx" for f in FIELDS]
     numbers = ["popularity", "signal_count", "avg_weight", "user_category_count", "price_diff"]
     t["features"] = Scratch(spark, "features").put(t["features"], "rows")
@@ -127,6 +129,30 @@ def batch_recommendations(spark, d):
     return spark.read.schema("user_key string, restaurant long, score double, rank int, pipeline_version string, dt string").json(path)
 
 
+def preprocessed_rows(spark, d):
+    """The rows that a model is trained on: split, negatives, vocabulary indices, derived features."""
+    t = C.preprocess(interactions(spark, d).drop("flag"), FIELDS, "1997-01-01", "1998-01-01", 1, key=("ord", "line"))
+    return t["features"].select("split", "ord", "line", "user", "item", "label", *[f"{f}_idx" for f in FIELDS], "popularity", "signal_count", "avg_weight", "user_category_count", "price_diff")
+
+
+def stored_model_recommendations(spark, d):
+    """Ranked lists by a model that is read from its tables, whose coefficients follow from the parts, written
+    by version and day and read back. The coefficients are parts of 64 and 16, so any order of sums is exact."""
+    path, n = _scratch(spark), 101
+    inputs = [(0, "user_idx", 0, 32, None, None), (1, "item_idx", 32, 64, None, None), (2, "tier_idx", 96, 3, None, None), (3, "hour", None, None, 12.0, 8.0)]
+    spark.createDataFrame(inputs, INPUTS).write.parquet(f"{path}/model/inputs")
+    j = (F.col("p_partkey") % n).alias("j")
+    shares = table(spark, d, "part").select(j).distinct()
+    shares.select("j", ((F.col("j") * 37 % 64 - 32) / 64).alias("c0"), ((F.col("j") * 11 % 16 - 8) / 16).alias("c1"), ((F.col("j") * 7 % 16 - 8) / 16).alias("c2")).write.parquet(f"{path}/model/coefficients")
+    rows = interactions(spark, d).where("ts >= TIMESTAMP '1997-01-01'")
+    tier = F.when(F.col("tier") == "LOW", 0).when(F.col("tier") == "MID", 1).otherwise(2)
+    rows = rows.select(F.col("user").cast("string").alias("member"), F.lit(None).cast("string").alias("anonymous"), F.col("item").cast("string").alias("restaurant"), (F.col("user") % 32).alias("user_idx"), (F.col("item") % 64).alias("item_idx"), tier.alias("tier_idx"), F.hour("ts").alias("hour"))
+    recs = C.batch_inference(rows, load_fm(spark, f"{path}/model"), "v2", F.lit("2026-01-01").cast("timestamp"))
+    O.write_recs(recs.select("user_key", "restaurant", "score", "rank", "pipeline_version", "dt"), f"{path}/lists")
+    back = spark.read.schema("user_key string, restaurant long, score double, rank int, pipeline_version string, dt string").json(f"{path}/lists")
+    return back.withColumn("score", F.round("score", 9))
+
+
 def sentiment_scores(spark, d):
     x = table(spark, d, "documents").join(table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label")), "doc_id")
     model = C.train_sentiment(x.select("text", "label"))
@@ -216,6 +242,23 @@ r AS (SELECT key, id, n, t AS last, false AS skip FROM e WHERE n = 1 UNION ALL S
 _GOODPUT = """WITH r AS (SELECT event_type AS key, value AS ms, length(props) AS tokens, value / 4 < 20 AS met FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 100)
 SELECT key, count(*) AS requests, coalesce(round(coalesce(sum(tokens) FILTER (met), 0) * 1000 / nullif(sum(ms), 0), 4), 0.0)::DOUBLE AS goodput_tps FROM r GROUP BY key"""
 
+_IDX = ", ".join(f"coalesce((SELECT idx FROM v WHERE field = '{f}' AND value = al.{f}), 0)::INT AS {f}_idx" for f in FIELDS)
+_ROWS = f"""WITH {SQL_I.replace("x AS (", "y AS (", 1)}, sp AS (SELECT * FROM (WITH x AS (SELECT * FROM y), {SQL_SPLIT} SELECT * FROM s)), x AS (SELECT * FROM sp WHERE split = 'train'), s AS (SELECT * FROM x),
+{SQL_ITEMS}, {SQL_USERS}, {SQL_LONG}, v AS {SQL_VOCAB.format(where="")}, m AS (SELECT (SELECT max(cnt) FROM uc) AS mc),
+pr AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY ord, line, user, item, region, signal, ts) AS nth FROM sp WHERE label = 1), hd AS (SELECT DISTINCT user, item FROM pr),
+it AS (SELECT item, min(category) AS category, min(tier) AS tier, min(region) AS region, row_number() OVER (ORDER BY item) AS place FROM sp GROUP BY item),
+{sql_drawn("dr", "pr", "rid", ("ord", "line", "nth"), "it", 1, 80, 42, 44)}, tk AS (SELECT rid, item FROM dr QUALIFY row_number() OVER (PARTITION BY rid ORDER BY try) = 1),
+al AS (SELECT split, ord, line, user, item, label, category, tier, region, slot FROM sp UNION ALL SELECT split, ord, line, user, it.item, 0, it.category, it.tier, it.region, slot FROM tk JOIN pr USING (rid) JOIN it ON it.item = tk.item)
+SELECT split, ord, line, al.user, item, label, {_IDX}, coalesce(popularity, 0.0) AS popularity, coalesce(signal_count, 0.0) AS signal_count, coalesce(avg_weight, 0.0) AS avg_weight,
+round(coalesce(ln(1 + coalesce(uc.cnt, 0)) / nullif(ln(1 + mc), 0), 0.0), 9) AS user_category_count, round(least(1.0, abs({SQL_TIER} - coalesce(price_mean, 0.5)) / 3.0), 9) AS price_diff
+FROM al LEFT JOIN items USING (item) LEFT JOIN uc ON uc.user = al.user AND uc.category = al.category LEFT JOIN us ON us.user = al.user, m"""
+_MODEL = f"""WITH {SQL_I}, co AS (SELECT DISTINCT p_partkey % 101 AS j FROM part), th AS (SELECT list(CASE WHEN co.j IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [(g.j * 37 % 64 - 32) / 64.0::DOUBLE, (g.j * 11 % 16 - 8) / 16.0::DOUBLE, (g.j * 7 % 16 - 8) / 16.0::DOUBLE] END ORDER BY g.j) AS th FROM range(101) g(j) LEFT JOIN co USING (j)),
+r AS (SELECT 'u_' || user AS user_key, item AS restaurant, list_transform([1 + user % 32, 33 + item % 64, CASE tier WHEN 'LOW' THEN 97 WHEN 'MID' THEN 98 ELSE 99 END], lambda j: th[j + 1]) AS c, (hour(ts) - 12) / 8.0::DOUBLE AS h, th[1][1] AS b, th[101] AS n FROM x, th WHERE ts >= TIMESTAMP '1997-01-01'),
+z AS (SELECT user_key, restaurant, b + list_sum(list_transform(c, lambda q: q[1])) + h * n[1]
++ 0.5::DOUBLE * (pow(list_sum(list_transform(c, lambda q: q[2])) + h * n[2], 2) - list_sum(list_transform(c, lambda q: q[2] * q[2])) - h * h * n[2] * n[2])
++ 0.5::DOUBLE * (pow(list_sum(list_transform(c, lambda q: q[3])) + h * n[3], 2) - list_sum(list_transform(c, lambda q: q[3] * q[3])) - h * h * n[3] * n[3]) AS z FROM r)
+SELECT user_key, restaurant, round(1 / (1 + exp(-z)), 9) AS score, row_number() OVER (PARTITION BY user_key ORDER BY z DESC, restaurant::VARCHAR)::INT AS rank, 'v2' AS pipeline_version, '2026-01-01' AS dt FROM z QUALIFY rank <= 20"""
+
 QUERIES = {
     "read_delimited": (delimited, "SELECT md5(trim(regexp_replace(text, '[\\t\\r]', ' ', 'g'), ' ')) AS md5 FROM documents WHERE trim(text, ' ') <> ''"),
     "read_nested_json": (nested_json, "SELECT regexp_extract(source, '[0-9]+')::BIGINT AS restaurant_id, doc_id AS id, md5(text) AS md5 FROM documents"),
@@ -230,6 +273,8 @@ QUERIES = {
     "fm_scores": (fm_scores, None),
     "batch_recommendations": (batch_recommendations, None),
     "sentiment_scores": (sentiment_scores, None),
+    "preprocessed_rows": (preprocessed_rows, _ROWS),
+    "stored_model_recommendations": (stored_model_recommendations, _MODEL),
     "stream_dedupe": (stream_dedupe, "SELECT event_id, event_type FROM events"),
     "stream_event_counts": (stream_counts, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "stream_success_rate": (stream_success, "WITH w AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) - to_hours(o * 3) AS start, event_type FROM events, (VALUES (0), (1)) v(o)) SELECT start, count(*) AS requests, round(avg((event_type <> 'error')::INT), 6) AS success_rate FROM w GROUP BY start"),

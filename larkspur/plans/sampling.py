@@ -156,7 +156,7 @@ m AS (SELECT grp, CASE WHEN w > 0 THEN w ELSE 1.0 END AS weight, round(d5 / i5,
 
 _MEAN = "count(*) AS lists, " + ", ".join(f"round(sum({c} * weight) / sum(weight), 6) AS {c}" for c in ("ndcg_5", "ndcg_10", "recall_5", "recall_10"))
 
-def _drawn(p: str, rows: str, row: str, names: tuple[str, ...], pool: str, n: int, look: int, seed: int, again: int) -> str:
+def sql_drawn(p: str, rows: str, row: str, names: tuple[str, ...], pool: str, n: int, look: int, seed: int, again: int) -> str:
     """CTE {p} (row, user, item, try): for each row `look` seeded draws from the pool (item, place), without what its
     user holds (hd) and repeats; rows with fewer than n have their n from the user's exact pool."""
     free = "NOT EXISTS (SELECT 1 FROM hd WHERE hd.user = d.user AND hd.item = q.item)"
@@ -171,12 +171,12 @@ def _drawn(p: str, rows: str, row: str, names: tuple[str, ...], pool: str, n: in
 _NEGATIVES = f"""WITH {SQL_I}, z AS (SELECT ord, line, user, item, category, tier, signal, label, weight FROM x),
 pr AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY ord, line, user, item, category, tier, signal, weight) AS nth FROM z WHERE label = 1), hd AS (SELECT DISTINCT user, item FROM pr),
 it AS (SELECT item, min(category) AS category, min(tier) AS tier, row_number() OVER (ORDER BY item) AS place FROM z GROUP BY item),
-{_drawn("dr", "pr", "rid", ("ord", "line", "nth"), "it", 2, 96, 42, 44)}, tk AS (SELECT rid, item FROM dr QUALIFY row_number() OVER (PARTITION BY rid ORDER BY try) <= 2)
+{sql_drawn("dr", "pr", "rid", ("ord", "line", "nth"), "it", 2, 96, 42, 44)}, tk AS (SELECT rid, item FROM dr QUALIFY row_number() OVER (PARTITION BY rid ORDER BY try) <= 2)
 SELECT * FROM z UNION ALL SELECT ord, line, user, it.item, it.category, it.tier, 'NO_FEEDBACK', 0, 1.0::DOUBLE FROM tk JOIN pr USING (rid) JOIN it ON it.item = tk.item"""
 _EVAL = f"""WITH {SQL_I}, ps AS (SELECT ord AS grp, user, item FROM x WHERE label = 1), hd AS (SELECT DISTINCT user, item FROM ps),
 pk AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {seeded(42, "grp", "item")}, item, user) = 1),
 ct AS (SELECT item, sum(label) AS c FROM x GROUP BY item), pp AS (SELECT item, row_number() OVER (ORDER BY c DESC, item) AS place FROM ct WHERE c > 0 QUALIFY place <= 200), al AS (SELECT item, row_number() OVER (ORDER BY item) AS place FROM ct),
-{_drawn("pd", "pk", "grp", ("grp",), "pp", 10, 50, 43, 43)}, {_drawn("ad", "pk", "grp", ("grp",), "al", 20, 80, 44, 44)},
+{sql_drawn("pd", "pk", "grp", ("grp",), "pp", 10, 50, 43, 43)}, {sql_drawn("ad", "pk", "grp", ("grp",), "al", 20, 80, 44, 44)},
 a AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY grp ORDER BY try) <= 10), b AS (SELECT * FROM ad ANTI JOIN a USING (grp, item)),
 ng AS (SELECT * FROM (SELECT *, 0 AS o FROM a UNION ALL SELECT *, 1 AS o FROM b) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY o, try) <= 20), fl AS (SELECT grp FROM ng GROUP BY grp HAVING count(*) = 20)
 SELECT grp, user, item, 1 AS label FROM pk SEMI JOIN fl USING (grp) UNION ALL SELECT grp, user, item, 0 FROM ng SEMI JOIN fl USING (grp)"""
