@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.text import TOKEN
+from ..sources.readers import spread
 
 #: Dictionaries for the driver's tables, whose texts are invented words; parameters of the operators.
 KEYWORDS = {"service": ("tion", "queu"), "price": ("nd", "ch"), "food": ("ou", "er")}
@@ -23,6 +24,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are taken apart row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_tokens(text: str = "text", n: int = 2) -> str:
     return f"list_filter(regexp_extract_all(coalesce({text}, ''), '{TOKEN}'), lambda x: length(x) >= {n})"
 

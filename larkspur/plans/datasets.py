@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx as J
 from ..functions import rules as R
 from ..operators import datasets as D
-from .base import HINTS, sql_any, table
+from .base import HINTS, sql_any, table, texts
 from .phrases import _SENT, _norm
 
 
@@ -96,7 +96,7 @@ def visits(spark, d):
 
 
 def preprocessed(spark, d):
-    return D.preprocess(table(spark, d, "documents")).select("doc_id", F.size("sentences").alias("n"))
+    return D.preprocess(texts(spark, d)).select("doc_id", F.size("sentences").alias("n"))
 
 
 def event_props(spark, d):

@@ -14,7 +14,7 @@ from ..sources import readers as I
 from ..sources import writers as O
 from ..streaming import jobs as S
 from ..streaming import state as ST
-from .base import table
+from .base import table, texts
 from .features import FIELDS, SQL_I, SQL_ITEMS, SQL_LONG, SQL_SPLIT, SQL_TIER, SQL_USERS, SQL_VOCAB, interactions
 from .sampling import sql_drawn
 
@@ -156,7 +156,7 @@ def stored_model_recommendations(spark, d):
 def sentiment_scores(spark, d):
     x = table(spark, d, "documents").join(table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label")), "doc_id")
     model = C.train_sentiment(x.select("text", "label"))
-    return C.score_sentiment(model, table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "score")
+    return C.score_sentiment(model, texts(spark, d).select("doc_id", "text")).select("doc_id", "score")
 
 
 def _stream(spark, d):

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import phrases as P
-from .base import HINTS, KEYWORDS, POSITIVE, sql_any, sql_bigrams, sql_positive, sql_tokens, table
+from .base import HINTS, KEYWORDS, POSITIVE, sql_any, sql_bigrams, sql_positive, sql_tokens, texts
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return texts(spark, d)
 
 
 def _classes(column: str = "phrase") -> str:

@@ -12,7 +12,7 @@ from ..operators.delta_table import DeltaTable
 from ..operators.impact_index import ImpactIndex
 from ..operators.vector_index import VectorIndex
 from ..scratch import new_folder
-from .base import KEYWORDS, sql_any, sql_tokens, table
+from .base import KEYWORDS, sql_any, sql_tokens, table, texts
 from .phrases import SEEDS, seeded
 from .sampling import SQL_R, reviews
 
@@ -48,7 +48,7 @@ def index_recall(spark, d):
 
 
 def postings(spark, d):
-    return Q.bm25_index(table(spark, d, "documents"))
+    return Q.bm25_index(texts(spark, d))
 
 
 def queries_text(spark, d):
@@ -66,12 +66,12 @@ def pruned(spark, d):
 
 def hashed(spark, d):
     """The values of hashed text vectors that are not zero."""
-    v = Q.hashed_vectors(table(spark, d, "documents"), "doc_id")
+    v = Q.hashed_vectors(texts(spark, d), "doc_id")
     return v.select("doc_id", F.posexplode("vector").alias("i", "x")).where("x <> 0").select("doc_id", "i", F.round("x", 9).alias("x"))
 
 
 def points(spark, d):
-    return Q.build_points(table(spark, d, "documents"), "source", "doc_id").select("doc_id", "point_id", F.size("vector").alias("dim"))
+    return Q.build_points(texts(spark, d), "source", "doc_id").select("doc_id", "point_id", F.size("vector").alias("dim"))
 
 
 def _embedded(spark, d):
@@ -96,7 +96,7 @@ def filtered_hybrid(spark, d):
     q, docs = _embedded(spark, d)
     x = table(spark, d, "documents")
     lang = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (F.pmod("query", F.lit(3)) + 1).cast("int")).alias("lang")
-    index = Q.bm25_index(x.where("lang is not null"), by=("lang",))
+    index = Q.bm25_index(texts(spark, d).where("lang is not null"), by=("lang",))
     return Q.hybrid_topk(q.select("*", lang), docs.join(x.select(F.col("doc_id").alias("doc"), "lang"), "doc"), index, 10, by=("lang",))
 
 
@@ -104,8 +104,8 @@ def cascade(spark, d):
     """Category retrieval: each query's class decides the keywords."""
     q, docs = _embedded(spark, d)
     cat = q.select("query", F.element_at(F.array(*[F.lit(k) for k in KEYWORDS]), (F.pmod("query", F.lit(len(KEYWORDS))) + 1).cast("int")).alias("category"))
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    with_text = lambda h: h.join(texts, "doc").join(cat, "query")
+    wording = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    with_text = lambda h: h.join(wording, "doc").join(cat, "query")
     dn, hy = Q.dense_topk(q, docs, 50, 0.0), Q.hybrid_topk(q, docs, postings(spark, d), 30)
     return Q.dedupe_hits(Q.choose_hits(dn, hy, Q.hit_ratio(with_text(dn), KEYWORDS), Q.hit_ratio(with_text(hy), KEYWORDS)))
 
@@ -117,7 +117,7 @@ def evidence(spark, d):
 
 
 def seed_queries(spark, d):
-    return Q.seed_queries(P.recall_seeds(table(spark, d, "documents"), KEYWORDS))
+    return Q.seed_queries(P.recall_seeds(texts(spark, d), KEYWORDS))
 
 
 def keyword_hits(spark, d):

@@ -18,6 +18,15 @@ def read_reviews_delimited(spark: SparkSession, path: str, sep: str = "\t", name
     return df.select(F.trim(F.col(have[0])).alias("content")).where("content <> ''")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, for work that is heavy on each row: dealt out to all cores where Spark would read it in
+    fewer partitions than there are cores, as a file of one row group is otherwise one task. What moves is then
+    at most the content of a scan's partition for each core; a table of more partitions stays as it is. Filters
+    and column choices made later still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 REVIEW = "struct<id:bigint,review_id:bigint,restaurant_id:bigint,content:string,text:string,created_at:string>"
 NESTED = f"struct<reviews:array<{REVIEW}>,restaurants:array<struct<id:bigint,restaurant_id:bigint,name:string,restaurant_name:string,reviews:array<{REVIEW}>>>>"
 

@@ -120,3 +120,20 @@ def test_evidence_of_an_entity_with_many_bullets(spark):
     out = Q.map_evidence(many)
     n = out.agg(F.count(F.lit(1)), F.count_distinct("bullet"), F.count_distinct("doc")).first()
     assert n[0] == n[1] == n[2] > 9900
+
+
+def test_few_partitions_are_spread_and_many_are_left(spark, tmp_path):
+    from larkspur.sources.readers import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).withColumn("text", F.col("id").cast("string")).withColumn("more", F.lit("x")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    got = spread(one)
+    assert got.rdd.getNumPartitions() == cores and sorted(r["id"] for r in got.collect()) == list(range(1000))
+    plan = got.where("id > 500").select("text")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,text:string>" in plan and "GreaterThan(id,500)" in plan
+    many = one.repartition(cores + 1)
+    many.write.parquet(f"{tmp_path}/many")
+    back = spark.read.option("maxPartitionBytes", 1).parquet(*[str(p) for p in sorted((tmp_path / "many").glob("*.parquet"))])
+    assert spread(many) is many
+    assert spread(spark.range(0)).count() == 0 and spread(back).count() == 1000
