@@ -20,6 +20,23 @@ def uniform(seed: int, *keys) -> Column:
     return (F.conv(F.substring(shuffled(seed, *keys), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
+#: A prime; sequences of draws are polynomials modulo it.
+PRIME = (1 << 31) - 1
+
+
+def seeds(seed: int, *keys) -> Column:
+    """Three numbers below PRIME (a struct) from shuffled(), the start of a sequence of draws."""
+    h = shuffled(seed, *keys)
+    return F.struct(*[(F.conv(F.substring(h, at, 8), 16, 10).cast("long") % PRIME).alias(c) for c, at in (("a", 1), ("b", 9), ("c", 17))])
+
+
+def nth_place(s: Column, nth: Column, n: Column) -> Column:
+    """The nth draw from 1..n by seeds(): a quadratic in nth modulo PRIME, so any three draws are independent and
+    cost no hash. Reaches all of 1..n up to n = PRIME."""
+    y = ((s["a"] * nth + s["b"]) % PRIME * nth + s["c"]) % PRIME
+    return F.call_function("div", y * n, F.lit(PRIME)) + 1
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
     """Adds the row's position from 1 in the order, which must be total up to rows that are equal.
 
@@ -199,8 +216,7 @@ def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user
     """df and, for each positive row, max(1, floor(ratio)) items that its user has no positive row with.
 
     Candidates are drawn at random places of the item table, never by crossing users with items: a row's draws are
-    one seeded sequence (an md5 of the row's `key` columns, by default all, its number among equal rows, and the
-    draw), of which what the user has positively and repeats are passed over. The first 2k + 4 draws serve most rows;
+    one seeded sequence (from an md5 of the row's `key` columns, by default all, and its number among equal rows), of which what the user has positively and repeats are passed over. The first 2k + 4 draws serve most rows;
     those that come out short go on in the same sequence to 16k + 64, so the result does not depend on where the first
     look ends. Rows still short take from their user's exact pool; only where that pool is smaller than k are
     there fewer. Negatives carry the item's attributes, signal NO_FEEDBACK, label 0, weight 1."""
@@ -211,13 +227,13 @@ def add_negatives(df: DataFrame, ratio: float, seed: int = 42, user: str = "user
     size = items.agg(F.count(F.lit(1)).alias("_items"))
     positives = df.where("label = 1").select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct()
     scratch = Scratch(df.sparkSession, "negatives")
-    whole = scratch.put(_ordinals(df.where("label = 1"), key), "positives")
-    rows = whole.select("_row", "_name", user)
+    whole = scratch.put(_ordinals(df.where("label = 1"), key).withColumn("_seeds", seeds(seed, "_name")), "positives")
+    rows = whole.select("_row", "_name", "_seeds", user)
     rest = [c for c in df.columns if c not in (item, *attributes, "signal", "label", "weight")]
 
     def picked(rows: DataFrame, look: int) -> DataFrame:
-        tries = rows.crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(look))))
-        tries = tries.select("_row", user, "_try", (F.floor(uniform(seed, "_name", "_try") * F.col("_items")) + 1).alias("_place"))
+        tries = rows.crossJoin(F.broadcast(size)).select("_row", user, "_seeds", "_items", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(look).cast("long"))).alias("_try"))
+        tries = tries.select("_row", user, "_try", nth_place(F.col("_seeds"), F.col("_try"), F.col("_items")).alias("_place"))
         found = tries.join(items.select("_place", item), "_place").join(positives, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
         once = found.groupBy("_row", item).agg(F.min("_try").alias("_try"))
         return scratch.put(once.withColumn("_rn", F.row_number().over(Window.partitionBy("_row").orderBy("_try"))).where(F.col("_rn") <= k), f"picked{look}")
@@ -269,8 +285,9 @@ def build_eval_lists(df: DataFrame, num_neg: int = 100, num_popular: int = 50, t
 
     def drawn(pool: DataFrame, n: int, salt: int) -> DataFrame:
         size = pool.agg(F.count(F.lit(1)).alias("_n"))
-        tries = pick.select(group, user).crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(3 * n + 20))))
-        tries = tries.withColumn("_place", F.floor(uniform(seed + salt, group, "_try") * F.col("_n")) + 1)
+        start = scratch.put(pick.select(group, user, seeds(seed + salt, group).alias("_seeds")), f"seeds{salt}")
+        tries = start.crossJoin(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3 * n + 20).cast("long"))))
+        tries = tries.select(group, user, "_try", nth_place(F.col("_seeds"), F.col("_try"), F.col("_n")).alias("_place"))
         found = tries.join(pool, "_place").join(held, (F.col(user) == F.col("_u")) & (F.col(item) == F.col("_i")), "left_anti")
         once = scratch.put(found.groupBy(group, user, item).agg(F.min("_try").alias("_try")), f"drawn{salt}")
         enough = scratch.put(once.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(group), f"enough{salt}")

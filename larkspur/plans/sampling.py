@@ -159,8 +159,9 @@ _MEAN = "count(*) AS lists, " + ", ".join(f"round(sum({c} * weight) / sum(weight
 def sql_drawn(p: str, rows: str, row: str, names: tuple[str, ...], pool: str, n: int, look: int, seed: int, again: int) -> str:
     """CTE {p} (row, user, item, try): for each row `look` seeded draws from the pool (item, place), without what its
     user holds (hd) and repeats; rows with fewer than n have their n from the user's exact pool."""
+    seeds = "[" + ", ".join(f"('0x' || substr({seeded(seed, *names)}, {at}, 8))::BIGINT % {S.PRIME}" for at in (1, 9, 17)) + "]"
     free = "NOT EXISTS (SELECT 1 FROM hd WHERE hd.user = d.user AND hd.item = q.item)"
-    return f"""{p}_t AS (SELECT {row}, user, try, floor({unit(seed, *names, "try")} * (SELECT count(*) FROM {pool}))::BIGINT + 1 AS place FROM {rows}, range(1, {look + 1}) g(try)),
+    return f"""{p}_t AS (SELECT {row}, user, try, ((c[1] * try + c[2]) % {S.PRIME} * try + c[3]) % {S.PRIME} * (SELECT count(*) FROM {pool}) // {S.PRIME} + 1 AS place FROM (SELECT {row}, user, {seeds} AS c FROM {rows}), range(1, {look + 1}) g(try)),
 {p}_o AS (SELECT {row}, d.user, q.item, min(try) AS try FROM {p}_t d JOIN {pool} q USING (place) WHERE {free} GROUP BY ALL),
 {p}_s AS (SELECT * FROM {rows} WHERE {row} NOT IN (SELECT {row} FROM {p}_o GROUP BY {row} HAVING count(*) >= {n})),
 {p}_f AS (SELECT d.user, q.item, row_number() OVER (PARTITION BY d.user ORDER BY {seeded(again, "d.user", "q.item")}, q.item) AS rank, count(*) OVER (PARTITION BY d.user) AS size FROM (SELECT DISTINCT user FROM {p}_s) d, {pool} q WHERE {free}),

@@ -131,8 +131,9 @@ def test_negatives_are_the_stated_draws(spark):
         if not _rest[3]:
             continue
         found, needed = [], 0
+        a, b, c = (int(hashlib.md5(f"{seed}:{o}:1".encode()).hexdigest()[j : j + 8], 16) % S.PRIME for j in (0, 8, 16))
         for t in range(1, 16 * k + 65):
-            at = int(number(seed, f"{o}:1", t) * n)
+            at = ((a * t + b) % S.PRIME * t + c) % S.PRIME * n // S.PRIME
             if at not in held[u] and at not in found:
                 found.append(at)
                 needed = t if len(found) == k else needed
@@ -148,6 +149,19 @@ def test_negatives_are_the_stated_draws(spark):
     assert min(looks) > 10 and {o: sorted(x) for o, x in got.items()} == want
 
 
+def test_draws_are_even(spark):
+    """First draws, later ones and pairs of them fall on every part of the range alike."""
+    rows = spark.range(40_000).select(S.seeds(7, "id").alias("s"))
+    tenth = lambda t: S.nth_place(F.col("s"), F.lit(t).cast("long"), F.lit(1000).cast("long"))
+    got = rows.select(*[F.floor((tenth(t) - 1) / 100).alias(f"t{t}") for t in (1, 2, 96)], tenth(1).alias("p"))
+    assert got.agg(F.min("p"), F.max("p")).first()[:] == (1, 1000)
+    for c in ("t1", "t2", "t96"):
+        n = {r[0]: r[1] for r in got.groupBy(c).count().collect()}
+        assert sorted(n) == list(range(10)) and all(3700 < x < 4300 for x in n.values())
+    pairs = [r["count"] for r in got.groupBy("t1", "t2").count().collect()]
+    assert len(pairs) == 100 and 300 < min(pairs) and max(pairs) < 500
+
+
 def test_eval_lists_of_hot_users_are_whole(spark):
     rows = [(g, u, i, int(i >= free)) for g, (u, free) in enumerate([(1, 200), (2, 100), (3, 99)]) for i in range(1000)]
     lists = S.build_eval_lists(spark.createDataFrame(rows, "grp long, user long, item long, label int"), 100, 50, 1000).collect()
