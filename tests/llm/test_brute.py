@@ -40,6 +40,72 @@ def test_quality_of_ties_and_of_long_texts(spark):
     assert {r["predicted"] for r in quality.rank_quality(docs, labels.where("quality = 1")).collect()} == {1}
 
 
+def test_quality_threshold_and_fit_use_every_labelled_row(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(9_000):
+        junk = min(1.0, max(0.0, rng.gauss(0.35 if i % 2 else 0.55, 0.2)))
+        rows.append((i, " ".join(rng.choice(["zz!", "7#7", "QQ"]) if rng.random() < junk else H.prose(rng, 1) for _ in range(12)), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.rank_quality(docs, labels).collect()}
+    y = np.array([rows[i][2] for i in sorted(got)])
+    s = np.array([got[i][0] for i in sorted(got)])
+    v, at = np.unique(s, return_inverse=True)
+    # Errors if everything below the k-th score is called poor, and if everything is.
+    wrong = (y == 0).sum() + np.concatenate(([0], np.cumsum(np.bincount(at, 2 * y - 1))))
+    assert len(got) == 9_000 and sum(got[i][1] != rows[i][2] for i in got) == wrong.min() < 4_000
+
+
+def _labelled(rng, good, poor):
+    x = np.abs(rng.normal(size=(good + poor, quality.WIDTH))).astype(np.float32) * (rng.random((good + poor, quality.WIDTH)) < 0.1)
+    y = np.array([1] * good + [0] * poor)
+    x[:, 5] += (y + rng.normal(size=len(y))).astype(np.float32)
+    return x, y
+
+
+def _found(spark, x, y, n):
+    return spark.createDataFrame([(i, i * 7, int(q), int(k), v.tolist()) for i, (q, k, v) in enumerate(zip(y, n, x))], "doc_id long, h long, quality int, n long, x array<float>")
+
+
+def test_quality_fit_in_blocks_equals_the_plain_one(spark):
+    rng = np.random.default_rng(2)
+    x, y = _labelled(rng, 150, 60)
+    n = np.where(np.arange(len(y)) % 50 == 0, 3, 1)
+    want = quality.fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    got = [quality.fit_blocks(_found(spark, x, y, n).repartition(k), quality.Scratch(spark, "test")) for k in (1, 5)]
+    assert np.array_equal(got[0].weights, got[1].weights) and (got[0].at, got[0].scale) == (got[1].at, got[1].scale)
+    assert np.allclose(got[0].weights, want.weights, atol=1e-4) and np.isclose(got[0].at, want.at, atol=1e-2) and np.isclose(got[0].scale, want.scale, rtol=1e-3)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quality_threshold_of_tied_cuts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(float(i), rng.randint(0, 2), rng.randint(0, 2)) for i in range(12)] + [(20.0, 1, 1)] if seed else [(1.0, 0, 2), (2.0, 3, 0)]
+    rows = rows if seed < 3 else [(-s, g + 5 * (s > 6), p) for s, g, p in rows]
+    wrong = [sum(p for _, _, p in rows)] + [sum(g for s, g, _ in rows if s <= c) + sum(p for s, _, p in rows if s > c) for c in sorted(r[0] for r in rows)]
+    edges = [min(rows)[0] - 1, *sorted(r[0] for r in rows), max(rows)[0] + 1]
+    best = [k for k, x in enumerate(wrong) if x == min(wrong)]
+    k = best[len(best) // 2]
+    median = lambda j: sorted(r[0] for r in rows for _ in range(r[j]))[(sum(r[j] for r in rows) - 1) // 2]
+    got = quality.threshold(spark.createDataFrame(rows, "s double, good long, poor long"), quality.Scratch(spark, "test"))
+    assert got == ((edges[k] + edges[k + 1]) / 2, median(1) - median(2))
+
+
+@pytest.mark.parametrize("good,poor", [(2_600, 20), (300, 2_000), (1_500, 1_400), (10, 7)])
+def test_quality_blocks_hold_every_row_and_both_labels(spark, good, poor):
+    x, y = np.zeros((good + poor, 2)), np.array([1] * good + [0] * poor)
+    rows = quality.blocks_of(_found(spark, x, y, y + 1), {0: poor, 1: good}, quality.Scratch(spark, "test")).selectExpr("*", "input_file_name() AS file").collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in rows if r["nth"] == 0} == set(range(good + poor))
+    assert len({(r["doc_id"], r["block"]) for r in rows}) == len(rows) <= 2 * (good + poor)
+    for block in {r["block"] for r in rows}:
+        mine = [r for r in rows if r["block"] == block]
+        count = Counter(r["quality"] for r in mine)
+        assert len({r["file"] for r in mine}) == 1 and max(count.values()) < 700 and min(count.values()) >= min(good, poor, 30)
+    order = [(r["file"], r["block"]) for r in rows]
+    assert sum(a != b for a, b in zip(order, order[1:])) == len(set(order)) - 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_contamination_equals_every_diagonal(spark, seed):
     rng = random.Random(seed)
