@@ -98,15 +98,19 @@ def clip_items(c: Column, n: int = 8) -> Column:
 
 
 def fit_items(lists: list[Column], limit: int, n: int = 8) -> Column:
-    """The largest k <= n for which the first k items of all lists stay within `limit` estimated tokens; 1 at least."""
+    """The largest k <= n for which the first k items of all lists stay within `limit` estimated tokens; 1 at least, and
+    1 where no list has an item."""
     def cost(k):
         chars = F.lit(0)
         for xs in lists:
             chars = chars + F.aggregate(F.slice(xs, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x))
         return F.floor((chars + 1) / 2)
 
+    some = F.lit(False)
+    for xs in lists:
+        some = some | (F.size(xs) > 0)
     ok = F.filter(F.sequence(F.lit(1), F.lit(n)), lambda k: cost(k) <= limit)
-    return F.coalesce(F.array_max(ok), F.lit(1))
+    return F.when(some, F.coalesce(F.array_max(ok), F.lit(1))).otherwise(F.lit(1))
 
 
 def sentence_with_percent(c: Column) -> Column:
