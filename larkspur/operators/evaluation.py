@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,15 +187,55 @@ def rouge_l(df: DataFrame, pred: str, ref: str, key: str) -> DataFrame:
     return df.select(key, F.round(lcs_f(words(pred), words(ref)), 6).alias("rougeL"))
 
 
+#: Words that are compared at once.
+WORDS_AT_ONCE = 1 << 20
+
+
+def clipped_matches(a: pa.ListArray, b: pa.ListArray, most: int = 4) -> np.ndarray:
+    """Of rows of two lists of words: a row of how many of the first's runs of 1, .., most words the second has too, each
+    run as often as both have it."""
+    n, sizes = len(a), [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    words = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    text, first = np.repeat(np.arange(2 * n), np.concatenate(sizes)), int(sizes[0].sum())  # a's texts come first
+    out, at, run, distinct = np.zeros((n, most), np.int64), np.arange(len(words)), words, int(words.max(initial=0)) + 1
+    for m in range(most):
+        if m:
+            whole = text[at] == text[np.minimum(at + m, len(words) - 1)] if len(words) else at > 0
+            whole &= at + m < len(words)
+            at = at[whole]
+            run = np.unique(run[whole] * distinct + words[at + m], return_inverse=True)[1]
+        size = int(run.max(initial=0)) + 1
+        key, mine = text[at] % n * size + run if n else run, at < first
+        (x, cx), (y, cy) = (np.unique(key[side], return_counts=True) for side in (mine, ~mine))
+        both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        out[:, m] = np.bincount(both // size, np.minimum(cx[i], cy[j]), n) if n else 0
+    return out
+
+
 def bleu(df: DataFrame, pred: str, ref: str, key: str, eps: float = 0.1) -> DataFrame:
-    """(key, bleu): up to 4-grams of blank-separated words, zero matches count eps, brevity penalty."""
-    t = df.select(key, *[F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda w: w != "").alias(n) for c, n in ((pred, "a"), (ref, "b"))])
-    out = t.select(key, F.size("a").alias("la"), F.size("b").alias("lb"))
+    """(key, bleu): up to 4-grams of blank-separated words, zero matches count eps, brevity penalty. Matches are counted
+    within the row, in Arrow batches; nothing is shuffled."""
+    shipped(df.sparkSession)
+    t = df.select(key, *[F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda w: w != "").alias(n) for c, n in ((pred, "_a"), (ref, "_b"))])
+    names = ["m1", "m2", "m3", "m4"]
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c) for c in ("_a", "_b"))
+            la, lb = (pc.list_value_length(x) for x in (a, b))
+            ends = np.cumsum(np.asarray(la, np.int64) + np.asarray(lb, np.int64))
+            at = 0
+            while at < len(batch):
+                before = int(ends[at - 1]) if at else 0
+                n = max(1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, "right")) - at)
+                m = clipped_matches(a.slice(at, n), b.slice(at, n))
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, n), la.slice(at, n), lb.slice(at, n), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(4))], [key, "la", "lb", *names])
+                at += n
+
+    out = t.mapInArrow(matched, f"`{key}` {t.schema[key].dataType.simpleString()}, la int, lb int, " + ", ".join(f"{c} long" for c in names))
     logs = F.lit(0.0)
-    for n in (1, 2, 3, 4):
-        m = _matches(t, "a", "b", key, n).select(key, F.log(F.when(F.col("match") > 0, F.col("match").cast("double")).otherwise(eps) / F.greatest(F.lit(1), F.col("na"))).alias(f"l{n}"), *([F.col("match").alias("m1")] if n == 1 else []))
-        out = out.join(m, key)
-        logs = logs + F.col(f"l{n}") / 4
+    for i, c in enumerate(names):
+        logs = logs + F.log(F.when(F.col(c) > 0, F.col(c).cast("double")).otherwise(eps) / F.greatest(F.lit(1), F.col("la") - i)) / 4
     penalty = F.when(F.col("la") >= F.col("lb"), 1.0).otherwise(F.exp(1 - F.col("lb") / F.nullif(F.col("la"), F.lit(0))))
     return out.select(key, F.when((F.col("la") == 0) | (F.col("m1") == 0), 0.0).otherwise(F.round(penalty * F.exp(logs), 6)).alias("bleu"))
 
