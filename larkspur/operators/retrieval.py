@@ -130,13 +130,13 @@ def fuse(dense: DataFrame, sparse: DataFrame, limit: int, k: int = 60, by: tuple
     return _ranked(both.groupBy(*by, "query", "doc").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score")), limit, (*by, "query"))
 
 
-def hybrid_topk(queries: DataFrame, docs: DataFrame, index: DataFrame, limit: int, dense_n: int = 200, sparse_n: int = 300, fallback_min_score: float = 0.2, k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+def hybrid_topk(queries: DataFrame, docs: DataFrame, index: DataFrame | Callable[[DataFrame, int], DataFrame], limit: int, dense_n: int = 200, sparse_n: int = 300, fallback_min_score: float = 0.2, k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
     """Fused hits of queries (query, *by, text, vector); a query without sparse hits gets its dense ones of at
-    least the fallback score. `by` restricts both sides to the query's entity or category. Both lists are
-    stored, as each is read more than once."""
+    least the fallback score. `by` restricts both sides to the query's entity or category. index: postings, or
+    a search that gives the sparse hits of (queries, number). Both lists are stored, as each is read more than once."""
     scratch = Scratch(docs.sparkSession, "hybrid")
     dense = scratch.put(dense_topk(queries, docs, dense_n, by=by), "dense")
-    sparse = scratch.put(sparse_topk(queries, index, sparse_n, by), "sparse")
+    sparse = scratch.put(index(queries, sparse_n) if callable(index) else sparse_topk(queries, index, sparse_n, by), "sparse")
     keys = [*by, "query"]
     known = sparse.select(*keys).distinct()
     fused = fuse(dense.join(known, keys, "left_semi"), sparse, limit, k, by)
