@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as K
 from ..operators import sampling as S
+from ..scratch import Scratch
 from .base import table
 from .features import SQL_I, interactions
 from .phrases import seeded, unit
@@ -93,7 +94,8 @@ def zipf(spark, d):
 
 
 def negatives(spark, d):
-    return S.add_negatives(interactions(spark, d).select("ord", "line", "user", "item", "category", "tier", "signal", "label", "weight"), 2, key=("ord", "line"))
+    rows = interactions(spark, d).select("ord", "line", "user", "item", "category", "tier", "signal", "label", "weight")
+    return S.add_negatives(Scratch(spark, "interactions").put(rows, "rows"), 2, key=("ord", "line"))
 
 
 def eval_lists(spark, d):

@@ -48,3 +48,27 @@ def test_draws_are_not_shuffled(spark, monkeypatch):
     df = spark.createDataFrame([(g, g % 9, (g * 7 + i) % 500, i % 2) for g in range(60) for i in range(4)], ROWS)
     lists = S.build_eval_lists(df, 20, 10, 400)
     assert lists.groupBy("grp").count().where("count = 21").count() == 60
+
+
+@pytest.mark.parametrize("asks,at_once,sent", [(20_000, 8192, 200_000), (9, 5, 0)])
+def test_negatives_equal_those_by_joins(spark, monkeypatch, asks, at_once, sent):
+    """Also of rows that repeat, and of a user who holds nearly all."""
+    from pyspark.sql import functions as F
+
+    df = table(spark, 2).selectExpr("grp", "user", "item", "label", "IF(item % 5 = 0, NULL, concat('c', item % 7)) AS category", "item % 3 AS tier", "'CLICK' AS signal", "1.0D AS weight")
+    df = df.unionByName(df.where("grp < 20"))
+    got = lambda: sorted((r["grp"], str(r["user"]), r["item"], str(r["category"]), r["tier"], r["signal"], r["label"], r["weight"]) for r in S.add_negatives(df, 2, key=("grp",)).collect())
+    with monkeypatch.context() as m:
+        m.setattr(D, "MOST_ITEMS", 0)
+        want = got()
+    monkeypatch.setattr(D, "ASKS", asks)
+    monkeypatch.setattr(D, "AT_ONCE", at_once)
+    monkeypatch.setattr(S, "SENT_KINDS", sent)
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if asks > 9 else 3)
+    try:
+        assert len(want) > df.count() * 1.5 and got() == want
+        monkeypatch.setattr(S, "nth_place", None)  # no draw is a row; before, all were joined
+        assert S.add_negatives(df.where(F.col("user") != 99), 2, key=("grp",)).count() > 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
